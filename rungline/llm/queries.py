@@ -5,6 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe as _bpe
+from . import language as _language
+from . import packing as _packing
+from . import quality_model as _quality
+from . import quality_rules as _rules
+from . import sharding as _sharding
 from . import token_output as _out
 
 
@@ -16,5 +22,29 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out.token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output,)}
+def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.best_two_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_two_fit, op4_language_id, op6_quality_classifier, op7_speculative_bpe, op8_quality_rules, op9_hash_tree_sharding)}
 ORACLE: dict[str, str] = {}
