@@ -19,7 +19,7 @@ _LETTER = regex.compile(r"\p{L}")
 LANG = "lang_pred string, score double, rejected boolean"
 
 
-def learn(docs: DataFrame, learn_rows: Column, dictionary_bytes: int = 96 << 10, longest: int = 16 << 10, rows: int = 400) -> dict[str, bytes]:
+def learn(docs: DataFrame, learn_rows: Column, dictionary_bytes: int = 128 << 10, longest: int = 16 << 10, rows: int = 400) -> dict[str, bytes]:
     """A dictionary for each lang value. The sample is bounded: about `rows` texts a language (by a hash of doc_id), each at most
     `longest` bytes where such exist, and at most dictionary_bytes are used."""
     known = docs.where(learn_rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
@@ -44,7 +44,7 @@ def learn(docs: DataFrame, learn_rows: Column, dictionary_bytes: int = 96 << 10,
     return out
 
 
-def predictor(dictionaries: dict[str, bytes], margin_bytes: int = 1, margin_share: float = 0.0, block: int = 8 << 10, level: int = 3):
+def predictor(dictionaries: dict[str, bytes], margin_bytes: int = 1, margin_share: float = 0.0, block: int = 4 << 10, level: int = 9):
     """A column function from text to struct(lang_pred, score, rejected). Rejected: `und`, or the runner-up is less than margin_bytes, or less than margin_share of the best size, behind."""
     names = sorted(dictionaries)
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, fold, slices, word_hashes, words
 
-TERMS, EXTRA = 4096, 8
+TERMS, EXTRA = 4096, 2
+EXTRA_WEIGHT = 8.0  # a repetition term against a single byte term
 
 
 def term_counts(block: np.ndarray, off: np.ndarray, terms: int = TERMS) -> np.ndarray:
@@ -60,6 +61,7 @@ class NeighbourModel:
         self.labels = labels.astype(np.float32)
         n = len(labels)
         self.idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+        self.idf[TERMS:] *= EXTRA_WEIGHT
         x = weigh(counts, self.idf)
         rank = min(rank, *x.shape) if n else 0
         if rank:

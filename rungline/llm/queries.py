@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe as _bpe
+from . import ctw as _ctw
 from . import language as _language
 from . import packing as _packing
 from . import quality_model as _quality
 from . import quality_rules as _rules
 from . import sharding as _sharding
 from . import token_output as _out
+from . import topk as _topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,18 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.best_two_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ctw.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,5 +56,5 @@ def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_two_fit, op4_language_id, op6_quality_classifier, op7_speculative_bpe, op8_quality_rules, op9_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_two_fit, op3_context_tree_weighting, op4_language_id, op5_max_score, op6_quality_classifier, op7_speculative_bpe, op8_quality_rules, op9_hash_tree_sharding)}
 ORACLE: dict[str, str] = {}
