@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe as _bpe
 from . import ctw as _ctw
 from . import language as _language
+from . import near_dup as _near
 from . import packing as _packing
 from . import quality_model as _quality
 from . import quality_rules as _rules
@@ -56,5 +57,9 @@ def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_two_fit, op3_context_tree_weighting, op4_language_id, op5_max_score, op6_quality_classifier, op7_speculative_bpe, op8_quality_rules, op9_hash_tree_sharding)}
+def op10_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_two_fit, op3_context_tree_weighting, op4_language_id, op5_max_score, op6_quality_classifier, op7_speculative_bpe, op8_quality_rules, op9_hash_tree_sharding, op10_hyperminhash_dedup)}
 ORACLE: dict[str, str] = {}
