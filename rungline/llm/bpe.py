@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import _BYTE_LEVEL, _ODD, cuts
+from .pieces import _BYTE_LEVEL, cuts, ordinary, runs
 
 #: Fixed value: the splitting pattern for any text, with Unicode's white space spelled out.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -142,7 +142,7 @@ class SpeculativeBPE:
         return [self.merge([self.byte_id[c] for c in raw[k]]) if bad[k] else flat[first[k] : first[k + 1]] for k in range(len(texts))]
 
     def split(self, text: str) -> list[str]:
-        fast = not _ODD.search(text) and (text.isascii() or _is_latin(text))
+        fast = ordinary(text)
         out: list[str] = []
         for part in cuts(text):
             out += (_BYTE_LEVEL if fast else _ANY).findall(part)
@@ -176,14 +176,6 @@ class SpeculativeBPE:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", errors="replace")
 
 
-def _is_latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 _models: dict[str, SpeculativeBPE] = {}
 
 
@@ -202,18 +194,12 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             docs_, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             out: list[tuple] = []
-            k = 0
-            while k < len(texts):
-                size, m = 0, k
-                while m < len(texts) and (m == k or size + len(texts[m]) < 2 << 20):
-                    size += len(texts[m])
-                    m += 1
-                for coded in bpe.encode_many(texts[k:m]):
+            for a, z in runs(texts):
+                for coded in bpe.encode_many(texts[a:z]):
                     said = ",".join([c for _, c, _ in coded])
                     raw = b"".join([r for _, _, r in coded])
                     plain = raw.decode("utf-8", errors="replace").encode()
                     out.append((said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()))
-                k = m
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([docs_, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -1,6 +1,6 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block is coded by itself: its tables start empty and its ids carry a CRC-32. Its tokens are dealt to up to 4096 lanes, equal runs of
+A block is coded by itself: its tables start empty and its ids carry a CRC-32. Its tokens are dealt to up to 8192 lanes, equal runs of
 the block; all lanes advance together, one token a step, and share the tables, so a step is a few array operations. For each token the
 order-2 and order-1 tables each predict one id with a confidence. Adaptive counts for each pair of confidences mix four outcomes: the
 order-2 id, the order-1 id, an id by the adaptive order-0 distribution, or an id that this block hasn't had (uniform). The outcome, and
@@ -17,22 +17,21 @@ MAGIC = b"RLID"
 _HEAD = struct.Struct("<4sIQQII")  # magic, documents, tokens, doc index bytes, lanes, crc32
 _TOTAL, _TOP, _MASK = 1 << 16, 1 << 32, (1 << 32) - 1
 _HASH_BITS = 18
-_LANES, _LEAST_STEPS = 4096, 256
+_LANES, _LEAST_STEPS = 8192, 256
 VOCABULARY = 1 << 16
 
 
 class _Model:
-    """What encoder and decoder both know after each step."""
+    """What encoder and decoder both know after each step. A table's entry is an id and its confidence 1..7, or 0: id * 8 + confidence."""
 
     def __init__(self, lanes: int):
-        self.id2, self.n2 = np.full(1 << _HASH_BITS, -1, np.int64), np.zeros(1 << _HASH_BITS, np.int64)
-        self.id1, self.n1 = np.full(VOCABULARY, -1, np.int64), np.zeros(VOCABULARY, np.int64)
-        self.outcomes = np.ones((128, 4), np.int64)
-        self.outcomes[:, 2] += 2
+        self.table2, self.table1 = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(VOCABULARY, np.int32)
+        self.outcomes = np.ones(512, np.int64)
+        self.outcomes[2::4] += 2
         self.counts = np.zeros(VOCABULARY, np.int64)
         self.fresh: list[np.ndarray] = []
         self.step, self.due = 0, 1
-        self.p1 = self.p2 = np.zeros(lanes, np.int64)
+        self.p1 = self.p2 = np.zeros(lanes, np.int32)
         self._order0()
         self._mix()
 
@@ -42,39 +41,42 @@ class _Model:
             self.fresh = []
         seen = np.flatnonzero(self.counts)
         self.f0, self.c0 = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64)
-        self.by_slot = np.zeros(_TOTAL, np.int64)
+        self.by_slot = np.zeros(_TOTAL, np.int32)
         if len(seen):
             c = self.counts[seen]
             f = 1 + c * (_TOTAL - len(seen)) // c.sum()
             f[np.argmax(f)] += _TOTAL - f.sum()
             self.f0[seen], self.c0[seen] = f, np.cumsum(f) - f
-            self.by_slot = np.repeat(seen, f)
+            self.by_slot = np.repeat(seen.astype(np.int32), f)
 
     def _mix(self) -> None:
-        above = np.cumsum(self.outcomes, axis=1)
+        """Where each outcome's share of the range begins (and its end), by context: 5 entries each."""
+        above = np.cumsum(self.outcomes.reshape(128, 4), axis=1)
         edges = np.zeros((128, 5), np.int64)
         edges[:, 1:] = above * (_TOTAL - 4) // above[:, 3:] + np.arange(1, 5)
-        self.edges = edges
+        self.edges = edges.ravel()
 
-    def look(self):
-        self.at2 = ((self.p2 * 0x9E3779B1 ^ self.p1 * 0x85EBCA6B) >> 7) & ((1 << _HASH_BITS) - 1)
-        self.g2, self.k2 = self.id2[self.at2], self.n2[self.at2]
-        self.g1, self.k1 = self.id1[self.p1], self.n1[self.p1]
-        self.ctx = (self.k2 * 8 + self.k1) * 2 + (self.g1 == self.g2)
+    def look(self) -> np.ndarray:
+        self.at2 = (self.p2.astype(np.uint32) * np.uint32(0x9E3779B1) ^ self.p1.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _HASH_BITS)
+        self.t2, self.t1 = self.table2.take(self.at2), self.table1.take(self.p1)
+        self.g2, self.g1 = self.t2 >> 3, self.t1 >> 3
+        self.ctx = (self.t2 & 7) * 16 + (self.t1 & 7) * 2 + (self.g1 == self.g2)
         return self.ctx
 
+    @staticmethod
+    def _next(t: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        k = t & 7
+        return np.where(hit, t + (k < 7), np.where(k > 1, t - (k - (k >> 1)), ids * 8 + 1))
+
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        self.outcomes += np.bincount(self.ctx * 4 + outcome, minlength=512).reshape(128, 4)
-        hit2, hit1 = self.g2 == ids, self.g1 == ids
-        keep2, keep1 = hit2 | (self.k2 > 1), hit1 | (self.k1 > 1)
-        self.id2[self.at2] = np.where(keep2, self.g2, ids)
-        self.n2[self.at2] = np.where(hit2, np.minimum(self.k2 + 1, 7), np.maximum(self.k2 >> 1, 1))
-        self.id1[self.p1] = np.where(keep1, self.g1, ids)
-        self.n1[self.p1] = np.where(hit1, np.minimum(self.k1 + 1, 7), np.maximum(self.k1 - 1, 1))
+        self.outcomes += np.bincount(self.ctx * 4 + outcome, minlength=512)
+        self.table2[self.at2] = self._next(self.t2, self.g2 == ids, ids)
+        self.table1[self.p1] = self._next(self.t1, self.g1 == ids, ids)
         self.fresh.append(ids)
         self.p2, self.p1 = self.p1, ids
         self.step += 1
-        self._mix()
+        if self.step < 64 or self.step % 4 == 0:
+            self._mix()
         if self.step == self.due:
             self._order0()
             self.due = self.step * 2 if self.step < 16 else self.step + 16
@@ -87,11 +89,11 @@ def _lanes(n: int) -> tuple[int, int]:
 
 def _encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
     lanes, steps = _lanes(len(ids))
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-    digits, pos = np.zeros((2 * steps + 4, lanes), np.int64), np.zeros(lanes, np.int64)
+    digits, pos = np.zeros((2 * steps + 4) * lanes, np.int32), np.arange(lanes)  # a lane's digits stand `lanes` apart
     model = _Model(lanes)
 
     def put(at, start, size):
@@ -100,26 +102,29 @@ def _encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
         lo, rn = low[at] + r * start, r * size
         small = np.flatnonzero(rn < _TOP)
         j = small if isinstance(at, slice) else at[small]
-        digits[pos[j], j] = lo[small] >> 32
-        pos[j] += 1
-        lo[small] = (lo[small] & _MASK) << 16
+        at_small = lo.take(small)
+        place = pos.take(j)
+        digits[place] = at_small >> 32
+        pos[j] = place + lanes
+        lo[small] = (at_small & _MASK) << 16
         rn[small] <<= 16
         low[at], rng[at] = lo, rn
 
     for x in grid:
         ctx = model.look()
-        outcome = np.where(model.g2 == x, 0, np.where(model.g1 == x, 1, np.where(model.f0[x] > 0, 2, 3)))
-        start = model.edges[ctx, outcome]
-        put(slice(None), start, model.edges[ctx, outcome + 1] - start)
+        outcome = np.where(model.g2 == x, 0, np.where(model.g1 == x, 1, np.where(model.f0.take(x) > 0, 2, 3)))
+        edge = ctx * 5 + outcome
+        start = model.edges.take(edge)
+        put(slice(None), start, model.edges.take(edge + 1) - start)
         if len(j := np.flatnonzero(outcome == 2)):
-            put(j, model.c0[x[j]], model.f0[x[j]])
+            put(j, model.c0.take(x[j]), model.f0.take(x[j]))
         if len(j := np.flatnonzero(outcome == 3)):
             put(j, x[j], np.ones(len(j), np.int64))
         model.learn(x, outcome)
-    all_lanes = np.arange(lanes)
     for part in (low >> 32, (low >> 16) & 0xFFFF, low & 0xFFFF):
-        digits[pos, all_lanes] = part
-        pos += 1
+        digits[pos] = part
+        pos += lanes
+    digits, pos = digits.reshape(-1, lanes), pos // lanes
     for k in range(int(pos.max()) - 1, 0, -1):
         digits[k - 1] += digits[k] >> 16
         digits[k] &= 0xFFFF
@@ -135,7 +140,7 @@ def _decode_ids(n: int, lanes: int, coded: memoryview) -> np.ndarray:
     dif = digits[at] << 32 | digits[at + 1] << 16 | digits[at + 2]
     at = at + 3
     rng = np.full(lanes, (1 << 48) - 1, np.int64)
-    model, grid = _Model(lanes), np.empty((steps, lanes), np.int64)
+    model, grid = _Model(lanes), np.empty((steps, lanes), np.int32)
 
     def slot(where):
         r = rng[where] >> 16
@@ -145,23 +150,25 @@ def _decode_ids(n: int, lanes: int, coded: memoryview) -> np.ndarray:
         df, rn = dif[where] - r * start, r * size
         small = np.flatnonzero(rn < _TOP)
         j = small if isinstance(where, slice) else where[small]
-        df[small] = df[small] << 16 | digits[at[j]]
-        at[j] += 1
+        place = at.take(j)
+        df[small] = df.take(small) << 16 | digits.take(place)
+        at[j] = place + 1
         rn[small] <<= 16
         dif[where], rng[where] = df, rn
 
     for k in range(steps):
         ctx = model.look()
-        edges = model.edges[ctx]
         r, v = slot(slice(None))
-        outcome = (v >= edges[:, 1]).astype(np.int64) + (v >= edges[:, 2]) + (v >= edges[:, 3])
-        start = np.take_along_axis(edges, outcome[:, None], 1)[:, 0]
-        take(slice(None), r, start, np.take_along_axis(edges, outcome[:, None] + 1, 1)[:, 0] - start)
+        edge = ctx * 5
+        outcome = (v >= model.edges.take(edge + 1)).astype(np.int32) + (v >= model.edges.take(edge + 2)) + (v >= model.edges.take(edge + 3))
+        edge += outcome
+        start = model.edges.take(edge)
+        take(slice(None), r, start, model.edges.take(edge + 1) - start)
         x = np.where(outcome == 0, model.g2, model.g1)
         if len(j := np.flatnonzero(outcome == 2)):
             r, v = slot(j)
-            x[j] = got = model.by_slot[v]
-            take(j, r, model.c0[got], model.f0[got])
+            x[j] = got = model.by_slot.take(v)
+            take(j, r, model.c0.take(got), model.f0.take(got))
         if len(j := np.flatnonzero(outcome == 3)):
             r, v = slot(j)
             x[j] = v

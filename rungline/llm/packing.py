@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .pieces import encoder
+from .pieces import encoder, runs
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -28,14 +28,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = memoryview(enc.ids(text.as_py()) + end)
-                n = len(ids) // 4
-                at, k = 0, 0
-                size = n % capacity or capacity
-                while at < n:
-                    out.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-                    at, k, size = at + size, k + 1, capacity
+            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for a, z in runs(texts):
+                for doc, x in zip(names[a:z], enc.ids_many(texts[a:z]), strict=True):
+                    ids = memoryview(x + end)
+                    n = len(ids) // 4
+                    at, k = 0, 0
+                    size = n % capacity or capacity
+                    while at < n:
+                        out.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                        at, k, size = at + size, k + 1, capacity
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -11,12 +11,15 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: The two splitting patterns, for Latin-1 texts without the characters in _ODD.
 _BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\xaa\xb2\xb3\xb5\xb9\xba\xbc\xbd\xbe]")
+_ODD = "\x1c\x1d\x1e\x1f\x85\xa0\xaa\xb2\xb3\xb5\xb9\xba\xbc\xbd\xbe"
 _CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
 _LONG = 1 << 20
+_DOUBLE = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
 
 
 def cuts(text: str, limit: int = _LONG):
@@ -31,10 +34,21 @@ def cuts(text: str, limit: int = _LONG):
     yield text[at:]
 
 
+def ordinary(text: str) -> bool:
+    """Latin-1 without the characters in _ODD, so that all pattern engines split it alike."""
+    if text.isascii():
+        return not any(c in text for c in _ODD[:4])
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(c in text for c in _ODD)
+
+
 class PieceEncoder:
-    """ids(text): the little-endian unsigned 32-bit ids, as bytes. Keeps at most `keep` pieces."""
+    """ids(text): the little-endian unsigned 32-bit ids, as bytes. Keeps about `keep` chunks and pieces at most."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,43 +63,94 @@ class PieceEncoder:
             self.pattern = _BYTE_LEVEL
         elif [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and "[\\p{N}]|" in pre["pretokenizers"][0]["pattern"].get("Regex", "") and "Lowercase" in norm:
             self.pattern, self.lower = _WORD_LEVEL, True
+        # ids that close a word of the word-level vocabulary, or open one (a space) of the byte-level vocabulary
+        vocab = self.tok.get_vocab()
+        self.edge = np.zeros(1 + max(vocab.values()), bool)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.edge[[i for t, i in vocab.items() if (t.endswith(suffix) if self.lower and suffix else t.startswith("\u0120"))]] = True
         self.kept: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.keep = keep
+        self.marks = {c: self.whole(c) for c in ".,;:!?"}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def plain(self, text: str) -> bool:
-        if self.pattern is None or any(s in text for s in self.special):
-            return False
-        if text.isascii():
-            return not re.search("[\x1c-\x1f]", text)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return not _ODD.search(text)
+        return self.pattern is not None and not any(s in text for s in self.special) and ordinary(text)
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.plain(text):
-            return self.whole(text)
-        return b"".join(self._plain(part) for part in cuts(text)) if len(text) > _LONG else self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        found = self.pattern.findall(text.lower() if self.lower else text)
-        kept = self.kept
-        try:
-            return b"".join(map(kept.__getitem__, found))
-        except KeyError:
-            pass
-        if len(kept) > self.keep:
-            kept.clear()
-        new = [p for p in set(found) if p not in kept]
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            kept[p] = array("I", e.ids).tobytes()
-        return b"".join(map(kept.__getitem__, found))
+        return self.ids_many([text])[0]
+
+    def ids_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; what is new in any of them is encoded together.
+
+        A text is first cut at white space into chunks, which are looked up; a new chunk is made of pieces, which are looked up too."""
+        split, whole = [], {}
+        for k, t in enumerate(texts):
+            if t and not self.plain(t):
+                whole[k], t = self.whole(t), ""
+            split.append(self._chunks(t.lower() if self.lower else t) if t else [])
+        kept, used = self.kept, set().union(*split)
+        if len(kept) > self.keep:  # what these texts use stays: that holds the frequent ones
+            kept = self.kept = {c: kept[c] for c in used & kept.keys()}
+        new = []
+        for c in used - kept.keys():
+            # a known word and a mark: letters and marks are never in one piece
+            if (mark := self.marks.get(c[-1])) is not None and len(c) > 1 and (word := kept.get(c[:-1])) is not None and c[-2].isalpha():
+                kept[c] = word + mark
+            else:
+                new.append(c)
+        found = [self.pattern.findall(c) for c in new] if new else []
+        if len(self.pieces) > self.keep:
+            self.pieces.clear()
+        self._learn([p for p in set().union(*found) if p not in self.pieces])
+        piece = self.pieces.__getitem__
+        for c, f in zip(new, found, strict=True):
+            kept[c] = piece(f[0]) if len(f) == 1 else b"".join(map(piece, f))
+        return [whole[k] if k in whole else b"".join(map(kept.__getitem__, chunks)) for k, chunks in enumerate(split)]
+
+    def _chunks(self, text: str) -> list[str]:
+        if self.lower:
+            return text.split()
+        # a space belongs to what follows it; cuts fall at single spaces only
+        if any(x in text for x in _DOUBLE) or text[0] == " " or text[-1] == " ":
+            return [p for part in cuts(text, 1 << 12) for p in self.pattern.findall(part)]
+        head, *tail = text.split(" ")
+        return [head, *[" " + c for c in tail]]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new pieces. Words are joined into one text where that splits into the same pieces again: with spaces if the splitting
+        drops them, else as they are if each is a space and letters. Which ids open (or close) a word shows where each one ends."""
+        if self.lower:
+            joined, rest, glue = new, [], " "
+        else:
+            joined, rest, glue = [p for p in new if p[0] == " " and p[1:].isalpha()], [p for p in new if not (p[0] == " " and p[1:].isalpha())], ""
+        if joined:
+            ids = np.array(self.tok.encode_batch_fast([glue.join(joined)], add_special_tokens=False)[0].ids, np.uint32)
+            mark = np.flatnonzero(self.edge[ids])
+            first = np.concatenate([[0], mark[:-1] + 1]) if self.lower else mark
+            if len(mark) == len(joined) and len(ids):
+                raw, stops = ids.tobytes(), np.append(first[1:], len(ids)) * 4
+                for p, a, z in zip(joined, (first * 4).tolist(), stops.tolist(), strict=True):
+                    self.pieces[p] = raw[a:z]
+            else:
+                rest = new
+        for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.pieces[p] = array("I", e.ids).tobytes()
+
+
+def runs(texts: list[str | None], limit: int = 1 << 22):
+    """Ranges of texts with about `limit` characters; a longer text stands alone."""
+    a, size = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > a and size + n > limit:
+            yield a, k
+            a, size = k, 0
+        size += n
+    if a < len(texts):
+        yield a, len(texts)
 
 
 _encoders: dict[str, PieceEncoder] = {}

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, shuffle_width
 from .idcoder import decode_block, encode_block
-from .pieces import encoder
+from .pieces import encoder, runs
 
 BLOCKS = "part int, block int, part_start long, n_tokens long, n_docs int, data binary"
 
 
-def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens: int = 1 << 20, width: int | None = None) -> None:
+def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens: int = 4 << 20, width: int | None = None) -> None:
     """Encode docs(doc_id, text) and write blocks to the folder `path`. Partitions follow doc_id by range, so part and block give the order."""
 
     def encode(batches):
@@ -38,14 +38,15 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int,
             return row
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = enc.ids(text.as_py()) + end
-                ids.append(x)
-                docs_.append(doc)
-                sizes.append(len(x) // 4)
-                held += len(x) // 4
-                if held >= block_tokens:
-                    yield flush()
+            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for a, z in runs(texts):
+                for doc, x in zip(names[a:z], enc.ids_many(texts[a:z]), strict=True):
+                    ids += [x, end]
+                    docs_.append(doc)
+                    sizes.append(len(x) // 4 + 1)
+                    held += len(x) // 4 + 1
+                    if held >= block_tokens:
+                        yield flush()
         if docs_:
             yield flush()
 
@@ -84,7 +85,7 @@ def _documents(spark, path: str, last: str, made) -> DataFrame:
     return placed.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last}")
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None, block_tokens: int = 1 << 20) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None, block_tokens: int = 4 << 20) -> DataFrame:
     """Write all documents and read the files back: doc_id, start, n_tokens, ids_crc32 for each document."""
     path = path or scratch_path(docs.sparkSession, "token-blocks")
     write_token_blocks(docs, path, tokenizer, end_id, block_tokens)
