@@ -178,12 +178,20 @@ def _decode_ids(n: int, lanes: int, coded: memoryview) -> np.ndarray:
     return grid.T.reshape(-1)[:n]
 
 
+def _checksum(head: tuple, index, coded, ids) -> int:
+    """CRC-32 of the head, the index, the coded bytes and the ids themselves."""
+    crc = 0
+    for part in (_HEAD.pack(*head, 0), index, coded, np.asarray(ids, "<u4").tobytes()):
+        crc = zlib.crc32(part, crc)
+    return crc
+
+
 def encode_block(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """One block: documents' ids and lengths, then the coded token ids (below 65536)."""
     index = np.array([-1 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.asarray(sizes, "<u4").tobytes()
     lanes, coded = _encode_ids(ids) if len(ids) else (0, b"")
-    crc = zlib.crc32(np.asarray(ids, "<u4").tobytes(), zlib.crc32(index))
-    return _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(index), lanes, crc) + index + coded
+    head = MAGIC, len(doc_ids), len(ids), len(index), lanes
+    return _HEAD.pack(*head, _checksum(head, index, coded, ids)) + index + coded
 
 
 def decode_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -194,13 +202,15 @@ def decode_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     magic, n_docs, n, index_size, lanes, crc = _HEAD.unpack(view[: _HEAD.size])
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    index = view[_HEAD.size : _HEAD.size + index_size]
+    index, coded = view[_HEAD.size : _HEAD.size + index_size], view[_HEAD.size + index_size :]
+    if index_size != 13 * n_docs or len(index) != index_size or lanes > n or (n > 0) != (lanes > 0):
+        raise ValueError("damaged block: sizes differ")
     try:
-        ids = _decode_ids(n, lanes, view[_HEAD.size + index_size :]) if n else np.zeros(0, np.int64)
-    except (IndexError, ValueError) as e:
+        ids = _decode_ids(n, lanes, coded) if n else np.zeros(0, np.int64)
+    except (IndexError, ValueError, MemoryError) as e:
         raise ValueError(f"damaged block: {e}") from e
     out = ids.astype("<u4")
-    if zlib.crc32(out.tobytes(), zlib.crc32(index)) != crc:
+    if _checksum((magic, n_docs, n, index_size, lanes), index, coded, out) != crc:
         raise ValueError("damaged block: checksum differs")
     null = np.frombuffer(index[8 * n_docs : 9 * n_docs], "u1")
     docs = [None if z else int(d) for d, z in zip(np.frombuffer(index[: 8 * n_docs], "<i8"), null, strict=True)]
