@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, partners
 
     # back to all rows
     class_of = classes.select("digest", "rid").join(whole.withColumnRenamed("node", "rid"), "rid", "left").select("digest", F.coalesce("component", "rid").alias("component"))
-    rows = table.drop("registers").join(class_of, "digest", "left")
+    rows = table.drop("registers").withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))).join(class_of, "digest", "left")
     lowest = classes.select("rid", "doc_id").join(whole.withColumnRenamed("node", "rid"), "rid", "left").groupBy(F.coalesce("component", "rid").alias("component")).agg(F.min(F.struct("doc_id", "rid")).alias("low"))
     rows = rows.join(lowest, "component", "left")
     own = F.coalesce(F.col("low.doc_id"), F.col("doc_id"))
