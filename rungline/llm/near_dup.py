@@ -7,10 +7,12 @@ empty buckets borrow from others by a fixed draw. Runs of registers form bands,
 share of agreeing registers, corrected for chance agreement, estimates their similarity; pairs that can't reach the threshold go, and
 the rest are confirmed on their full sets.
 
-Large candidate groups are not expanded into pairs. First each class is tried against the best of a few common partners (the least
+Candidate groups are not expanded into pairs. First each class is tried against the best of a few common partners (the least
 classes of its groups), which joins most of a large group into one component. Then, in groups that still hold several components,
-members of different components are compared by sketch, in blocks of bounded size, and every promising pair is confirmed. No link
-between texts of different components is left untried, and links inside a component don't change the result.
+members of different components are compared by sketch, in blocks of bounded size; a pair is looked at in the first band that it shares.
+Members with a promising partner meet once more with their full sets, and each block confirms what can still join two of its components
+and returns those links alone, fewer than its members. No link between texts of different components is left untried, and links inside a
+component don't change the result.
 
 Null and empty texts have no shingles and link with nothing. Rows with a null doc_id take no part: component_id is null and kept is true.
 Rows that repeat a doc_id are linked by their texts; `first` marks one row of each component, also among repeated rows."""
@@ -127,9 +129,9 @@ def _agreement(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, estimate double")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(a, b) with 100 * intersection >= percent * union, on full sets made again from the texts of the classes' rows."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(classes.select("rid", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")), "rid")
+def _full_sets(rids: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """rid, shingles for the classes in `rids`, made again from the texts of their rows and written."""
+    wanted = rids.select("rid").distinct().join(classes.select("rid", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")), "rid")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     found = texts.join(wanted, (F.col("doc_id") == F.col("__id")) & (F.col("h") == F.col("__h"))).select("rid", "text")
 
@@ -138,27 +140,83 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             for k, s in _sets(b.column(1), width):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([s.tobytes()], pa.binary())], ["rid", "shingles"])
 
-    sets = written(found.mapInArrow(build, "rid long, shingles binary").groupBy("rid").agg(F.first("shingles").alias("shingles")), "sets")
+    return written(found.mapInArrow(build, "rid long, shingles binary").groupBy("rid").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets (not empty)."""
+    if len(u) > len(v):
+        u, v = v, u
+    at = np.searchsorted(v, u)
+    both = int((v[np.minimum(at, len(v) - 1)] == u).sum())
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs(a, b) that are linked by their full sets."""
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rid")), docs, classes, width)
 
     def check(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                both = int((v[np.minimum(at, len(v) - 1)] == u).sum())
-                ok.append(100 * both >= percent * (len(u) + len(v) - both))
+            ok = [similar(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("shingles").alias(f"s{x}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, partners: int = 4, block: int = 1024, slack: float = 0.16) -> DataFrame:
+class Block:
+    """Members of one candidate group: two blocks of it, or one against itself."""
+
+    def __init__(self, pdf: pd.DataFrame, percent: int, least: float):
+        self.rid, self.comp, self.n = (pdf[c].to_numpy() for c in ("rid", "component", "n_shingles"))
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        side = pdf["at"].to_numpy()
+        self.left, self.right, self.same = np.flatnonzero(side == i), np.flatnonzero(side == j), i == j
+        regs = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, REGISTERS)
+        self.keys, self.regs = band_keys(regs), np.ascontiguousarray(regs.T)
+        self.band = int(np.argmax((self.keys == pdf["key"].iloc[0]).all(axis=0)))
+        self.percent, self.least = percent, least
+
+    def promising(self):
+        """For each member on the left: its place, and places and estimates of partners of other components that it meets here first."""
+        for x in self.left:
+            y = self.right[(self.comp[self.right] != self.comp[x]) & ((self.rid[self.right] > self.rid[x]) if self.same else True)]
+            # sets whose sizes differ too much can't be similar enough
+            y = y[np.minimum(self.n[y], self.n[x]) * 100 >= self.percent * np.maximum(self.n[y], self.n[x])]
+            if not len(y):
+                continue
+            agree = np.add.reduce((self.regs[:, y] == self.regs[:, x, None]).view(np.uint8), axis=0, dtype=np.uint8)
+            e = estimate(agree.astype(np.int64), self.n[y], np.full(len(y), self.n[x]))
+            good = np.flatnonzero(e >= self.least)
+            good = good[~(self.keys[y[good], : self.band] == self.keys[x, : self.band]).any(axis=1)]
+            if len(good):
+                yield x, y[good], e[good]
+
+
+def _joining(block: Block, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join the block's components, likeliest first; a pair within one component by then is not looked at."""
+    root = {c: c for c in block.comp.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for x, ys, es in block.promising():
+        for y in ys[np.argsort(-es)]:
+            a, b = find(block.comp[x]), find(block.comp[y])
+            if a != b and similar(sets[x], sets[y], percent):
+                root[max(a, b)] = min(a, b)
+                out.append((int(block.rid[x]), int(block.rid[y])))
+    return out
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, partners: int = 4, block: int = 1024, block_shingles: int = 2_000_000, slack: float = 0.16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash, first for each row.
 
+    block, block_shingles: about how many members, and how many shingles of theirs, a block of a candidate group holds.
     slack: how far below the threshold an estimate may lie, some 5.5 of its standard deviations."""
     least = percent / 100 - slack
     table = written(describe(docs, width), "sketches")
@@ -173,9 +231,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, partners
             for at in range(0, len(rid), 4000):
                 regs = np.frombuffer(b"".join(b.column(1).slice(at, 4000).to_pylist()), "<u2")
                 keys = band_keys(regs)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rid[at : at + 4000], BANDS))], ["key", "rid"])
+                n = np.asarray(b.column(2))[at : at + 4000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rid[at : at + 4000], BANDS)), pa.array(np.repeat(n, BANDS))], ["key", "rid", "n_shingles"])
 
-    banded = classes.select("rid", "registers").mapInArrow(bands, "key long, rid long")
+    banded = classes.select("rid", "registers", "n_shingles").mapInArrow(bands, "key long, rid long, n_shingles long")
     groups = banded.groupBy("key").agg(F.min("rid").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     shared = written(banded.join(groups, "key"), "bands")
 
@@ -187,32 +246,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, partners
     joined = connected_components(links)
 
     # what is left: members of different components in one group
-    placed = shared.select("key", "rid").join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = shared.select("key", "rid", "n_shingles").join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    size = F.greatest(F.count("*") / F.lit(block), F.sum("n_shingles") / F.lit(block_shingles))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(size).cast("int").alias("blocks")).where("low < high").select("key", "blocks")
     at = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = placed.join(mixed, "key").withColumn("at", at).withColumn("other", other).select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "rid", "component")
+    spread = placed.drop("n_shingles").join(mixed, "key").withColumn("at", at).withColumn("other", other).select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "rid", "component")
     spread = spread.join(classes.select("rid", "n_shingles", "registers"), "rid")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        regs = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, REGISTERS)
-        rid, comp, n = (pdf[c].to_numpy() for c in ("rid", "component", "n_shingles"))
-        left, right = np.flatnonzero(pdf["at"] == i), np.flatnonzero(pdf["at"] == j)
-        out = []
-        for x in left:
-            with_ = right[(comp[right] != comp[x]) & ((rid[right] > rid[x]) if i == j else True)]
-            # sets whose sizes differ too much can't be similar enough
-            with_ = with_[np.minimum(n[with_], n[x]) * 100 >= percent * np.maximum(n[with_], n[x])]
-            if len(with_):
-                e = estimate((regs[with_] == regs[x]).sum(axis=1), n[with_], np.full(len(with_), n[x]))
-                out += [(min(rid[x], y), max(rid[x], y)) for y in rid[with_[e >= least]]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    more = spread.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = written(more.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    found = links.select("a", "b").unionByName(_confirm(cross, docs, classes, width, percent))
+    def involved(pdf: pd.DataFrame) -> pd.DataFrame:
+        b, there = Block(pdf, percent, least), np.zeros(len(pdf), bool)
+        for x, y, _ in b.promising():
+            there[x] = there[y] = True
+        return pdf.loc[there, ["key", "i", "j", "at", "rid", "component", "n_shingles", "registers"]]
+
+    def joining(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_joining(Block(pdf, percent, least), [np.frombuffer(x, _U) for x in pdf.shingles], percent), columns=["a", "b"], dtype=np.int64)
+
+    group = ["key", "i", "j"]
+    open_ = written(spread.groupBy(*group).applyInPandas(involved, "key long, i int, j int, at int, rid long, component long, n_shingles long, registers binary"), "open")
+    sets = _full_sets(open_, docs, classes, width)
+    more = open_.join(sets, "rid").groupBy(*group).applyInPandas(joining, "a long, b long")
+    found = links.select("a", "b").unionByName(written(more, "links"))
     whole = connected_components(found)
 
     # back to all rows
