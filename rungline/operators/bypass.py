@@ -1,4 +1,4 @@
-"""Bypassed logic: findings over the branch tree of each rung, all as joins of nodes within a unit.
+"""Bypassed logic: findings over the branch tree of each rung.
 
 Kinds: afi (a series with AFI), never-true (XIC and XIO of one operand in a series), empty-leg and nop-leg (a passive leg beside a leg with
 a condition), always-true (two legs of one instruction each, XIC and XIO of one operand)."""
@@ -8,32 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rung, tables
+from ..functions import rung
 
 
 def findings(units: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, kind, node, operands. Each unit is one array of nodes; higher-order functions look at it in place, so nothing is shuffled."""
-    t = units.select(*keys, rung.parse_rung("txt").alias("t"))
-    # the operand of contacts, lower-cased; a literal is no condition
-    t = t.withColumn("series", F.expr("array_distinct(transform(t, x -> named_struct('parent', x.parent, 'leg', x.leg)))"))
-    afi = t.select(*keys, F.explode(F.expr("filter(series, s -> exists(t, x -> x.parent = s.parent AND x.leg = s.leg AND x.name = 'AFI'))")).alias("s"))
-    afi = afi.select(*keys, F.lit("afi").alias("kind"), F.col("s.parent").alias("node"), F.lit(None).cast("string").alias("operand"))
-    never = t.select(*keys, F.explode(F.expr("filter(t, x -> x.name = 'XIO' AND exists(t, y -> y.name = 'XIC' AND y.parent = x.parent AND y.leg = x.leg AND lower(coalesce(y.operands[0], '')) = lower(coalesce(x.operands[0], ''))))")).alias("s"))
-    never = never.select(*keys, F.lit("never-true").alias("kind"), F.col("s.node").alias("node"), F.col("s.operands")[0].alias("operand"))
-    # all nodes below a leg: paths of (branch, leg) pairs, made once for each node from its parents
-    up = F.expr("aggregate(t, cast(map() AS map<int, array<string>>), (m, x) -> map_concat(m, map(x.node, CASE WHEN x.parent = 0 THEN cast(array() AS array<string>) ELSE concat(m[x.parent], array(concat(x.parent, '/', x.leg))) END)))")
-    b = t.where(F.expr("exists(t, x -> x.kind = 'branch')")).withColumn("up", up)
-    b = b.select(*keys, "t", "up", F.explode(F.expr("filter(t, x -> x.kind = 'branch')")).alias("b"))
-    conditions = ", ".join(f"'{c}'" for c in tables.CONDITIONS)
-    literal = r"(o RLIKE '^[-+]?([0-9]|\\.[0-9]|16#|8#|2#)' OR o IN ('?', '') OR o RLIKE '^\'.*\'$')"
-    legs = f"""transform(sequence(0, b.legs - 1), l -> named_struct(
-        'empty', NOT exists(t, x -> x.parent = b.node AND x.leg = l),
-        'idle', NOT exists(t, x -> x.kind = 'ins' AND x.name <> 'NOP' AND array_contains(up[x.node], concat(b.node, '/', l))),
-        'operands', flatten(transform(filter(t, x -> x.name IN ({conditions}) AND array_contains(up[x.node], concat(b.node, '/', l))), x -> filter(x.operands, o -> NOT {literal}))),
-        'only', CASE WHEN size(filter(t, x -> x.parent = b.node AND x.leg = l)) = 1 THEN filter(t, x -> x.parent = b.node AND x.leg = l)[0] END))"""
-    b = b.withColumn("legs", F.expr(legs)).drop("t", "up")
-    passive = b.where("exists(legs, l -> l.idle) AND exists(legs, l -> NOT l.idle AND size(l.operands) > 0)")
-    passive = passive.select(*keys, F.expr("CASE WHEN exists(legs, l -> l.empty) THEN 'empty-leg' ELSE 'nop-leg' END").alias("kind"), F.col("b.node").alias("node"), F.expr("array_join(flatten(transform(filter(legs, l -> NOT l.idle), l -> l.operands)), ',')").alias("operand"))
-    always = b.select(*keys, "b.node", F.explode(F.expr("filter(legs, l -> l.only.name = 'XIC' AND exists(legs, m -> m.only.name = 'XIO' AND lower(coalesce(m.only.operands[0], '')) = lower(coalesce(l.only.operands[0], ''))))")).alias("l"))
-    always = always.select(*keys, F.lit("always-true").alias("kind"), "node", F.col("l.only.operands")[0].alias("operand"))
-    return afi.unionByName(never).unionByName(passive).unionByName(always)
+    """keys, kind, node, operand. Rungs without a branch, AFI or a pair of opposite contacts have none and aren't parsed; nothing is shuffled."""
+    may = F.col("txt").rlike(r"\[|(?i:AFI) *\(") | (F.col("txt").rlike(r"(?i)XIC *\(") & F.col("txt").rlike(r"(?i)XIO *\("))
+    return units.where(may).select(*keys, F.explode(rung.parse_findings("txt")).alias("f")).select(*keys, "f.*")

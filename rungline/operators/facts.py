@@ -13,7 +13,7 @@ from ..functions import paths, rung, tables
 
 def instructions(units: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pos, name, operands, text: one row for each instruction of each unit."""
-    return units.select(*keys, F.explode(rung.parse_instructions("txt")).alias("i")).select(*keys, "i.*")
+    return units.select(*keys, F.explode(rung.instructions_of(F.col("txt"))).alias("i")).select(*keys, "i.*")
 
 
 def operand_uses(units: DataFrame, keys: list[str], aoi_args: DataFrame | None = None, aoi_inner: DataFrame | None = None) -> DataFrame:
@@ -21,10 +21,10 @@ def operand_uses(units: DataFrame, keys: list[str], aoi_args: DataFrame | None =
 
     aoi_args(aoi upper, ord from 1, param, usage): arguments of user-defined instructions after the instance. aoi_inner(aoi, param lower,
     suffix, is_write): what their logic does with in-out parameters. A known mnemonic hides a user-defined one of the same name."""
-    writes = F.create_map(*[x for k, v in tables.WRITES.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]).cast("array<int>"))])
+    written = [f"{k}#{i}" for k, v in tables.WRITES.items() for i in v]
     known = F.col("name").isin(*tables.WRITES)
     ops = instructions(units, keys).select(*keys, "pos", "name", F.posexplode("operands").alias("idx", "operand"))
-    is_write = known & F.coalesce(F.array_contains(writes[F.col("name")], F.col("idx")), F.lit(False))
+    is_write = F.concat_ws("#", "name", "idx").isin(*written)
     ops = ops.where(~(F.col("name").isin(*tables.NAME_FIRST) & (F.col("idx") == 0))).withColumn("is_write", is_write)
     expression = F.col("name").isin(*tables.EXPRESSIONS) & ~F.col("is_write")
     found = F.filter(F.regexp_extract_all("operand", F.lit(paths.IDENTIFIER), F.lit(1)), lambda x: ~F.upper(x).isin(*tables.EXPRESSION_FUNCTIONS))

@@ -87,3 +87,16 @@ def test_path_expressions(spark):
 def test_fixed_tables():
     assert len(tables.WRITES) == 117 and sum(not v for v in tables.WRITES.values()) == 15
     assert not set(tables.ALSO_KNOWN) & set(tables.WRITES) and len(set(tables.ALSO_KNOWN)) == 112
+
+
+def test_both_ways_to_take_a_text_apart_agree(spark):
+    import random
+
+    r = random.Random(8)
+    texts = ["", None, "XIC(a)OTE( b , c );", "x (a)", "XIC(a", "CPT(a,(b+c));", "MOV(A[1],B)", "9XIC(a)A B(,)", "\tTON(t,?,\n?)", "NOP()AFI( )", "a)(b", "XIC(a))OTE(b)"]
+    texts += ["".join(r.choice(["XIC(", "a", ",", ")", "[", "]", " ", "OTE", "(", ";", "b.c"]) for _ in range(r.randrange(12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from pyspark.sql import functions as F
+
+    for row in df.select("t", rung.instructions_of(F.col("t")).alias("i")).collect():
+        assert [tuple(x) for x in row.i] == rung.instructions(row.t), row.t
