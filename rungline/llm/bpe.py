@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_model
 from .pieces import _BYTE_LEVEL, cuts, ordinary, runs
 
 #: Fixed value: the splitting pattern for any text, with Unicode's white space spelled out.
@@ -176,14 +177,9 @@ class SpeculativeBPE:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", errors="replace")
 
 
-_models: dict[str, SpeculativeBPE] = {}
-
-
 def model(path: str) -> SpeculativeBPE:
     """One for each worker process and vocabulary file."""
-    if path not in _models:
-        _models[path] = SpeculativeBPE(path)
-    return _models[path]
+    return worker_model(("bpe", path), lambda: SpeculativeBPE(path))
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:

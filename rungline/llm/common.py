@@ -37,6 +37,23 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_worker: dict = {}
+
+
+def worker_model(key: tuple | None, make=None):
+    """What a worker process holds between tasks: one model at a time, so that operators that follow each other don't add up in its memory.
+
+    Without a key, whatever is held goes, and freed memory is given back."""
+    if key is None or key not in _worker:
+        held = bool(_worker)
+        _worker.clear()
+        if held or key is None:
+            pa.default_memory_pool().release_unused()
+        if key is not None:
+            _worker[key] = make()
+    return _worker.get(key)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

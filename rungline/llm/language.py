@@ -8,12 +8,14 @@ score: 1 - 2**-(runner-up minus best, in bytes, over 2), near 1 for a clear winn
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, worker_model
 
 _LETTER = regex.compile(r"\p{L}")
 LANG = "lang_pred string, score double, rejected boolean"
@@ -48,15 +50,17 @@ def predictor(dictionaries: dict[str, bytes], margin_bytes: int = 1, margin_shar
     """A column function from text to struct(lang_pred, score, rejected). Rejected: `und`, or the runner-up is less than margin_bytes, or less than margin_share of the best size, behind."""
     names = sorted(dictionaries)
 
-    def tools(kept: list = []):  # noqa: B006  compressors are made once a worker
+    mark = uuid.uuid4().hex
+
+    def make():
         import zstandard
 
-        if not kept:
-            for n in names:
-                d = zstandard.ZstdCompressionDict(dictionaries[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                kept.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False))
-        return kept
+        out = []
+        for n in names:
+            d = zstandard.ZstdCompressionDict(dictionaries[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            out.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False))
+        return out
 
     def one(text, ways):
         if not text or not ways or not _LETTER.search(text):
@@ -76,7 +80,7 @@ def predictor(dictionaries: dict[str, bytes], margin_bytes: int = 1, margin_shar
 
     @F.pandas_udf(LANG)
     def predict(text: pd.Series) -> pd.DataFrame:
-        ways = tools()
+        ways = worker_model(("language", mark), make)
         return pd.DataFrame([one(t, ways) for t in text], columns=["lang_pred", "score", "rejected"])
 
     return predict.asNondeterministic()  # computed once, even where its fields are used twice

@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from .common import worker_model
+
 #: The two splitting patterns, for Latin-1 texts without the characters in _ODD.
 _BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -48,7 +50,7 @@ def ordinary(text: str) -> bool:
 class PieceEncoder:
     """ids(text): the little-endian unsigned 32-bit ids, as bytes. Keeps about `keep` chunks and pieces at most."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -153,11 +155,6 @@ def runs(texts: list[str | None], limit: int = 1 << 22):
         yield a, len(texts)
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One for each worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return worker_model(("pieces", path), lambda: PieceEncoder(path))

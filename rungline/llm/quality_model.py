@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, slices, word_hashes, words
+from .common import LOWER, fold, slices, word_hashes, words, worker_model
 
 TERMS, EXTRA = 4096, 2
 EXTRA_WEIGHT = 8.0  # a repetition term against a single byte term
@@ -136,6 +136,7 @@ def scorer(spark, model: NeighbourModel):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        worker_model(None)
         out = np.zeros(len(text))
         for start, block, off in slices(text):
             for a in range(0, len(off) - 1, 512):
