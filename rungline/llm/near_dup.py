@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, shingle_hashes, slices, word_hashes, words, written
+from .common import LOWER, mix64, shingle_hashes, slices, word_hashes, words, worker_model, written
 from .components import connected_components
 
 BANDS, PER_BAND = 32, 5
@@ -98,6 +98,7 @@ def describe(docs: DataFrame, width: int = 5) -> DataFrame:
     """rid, doc_id, text_hash, n_shingles, digest, registers for each row. rid is the row's number, the same only within one run: write the table before use."""
 
     def run(batches):
+        worker_model(None)
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
             n, digest, regs = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
@@ -165,16 +166,23 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
+def agreeing(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many registers of each row equal those of `one`: eight flags are added at a time, as bytes of a long (a byte holds up to 255)."""
+    lanes = (many == one).view("<u8").sum(axis=1, dtype=_U)
+    return ((lanes * _U(0x0101010101010101)) >> _U(56)).astype(np.int64)
+
+
 class Block:
     """Members of one candidate group: two blocks of it, or one against itself."""
 
     def __init__(self, pdf: pd.DataFrame, percent: int, least: float):
+        worker_model(None)
         self.rid, self.comp, self.n = (pdf[c].to_numpy() for c in ("rid", "component", "n_shingles"))
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         side = pdf["at"].to_numpy()
         self.left, self.right, self.same = np.flatnonzero(side == i), np.flatnonzero(side == j), i == j
         regs = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, REGISTERS)
-        self.keys, self.regs = band_keys(regs), np.ascontiguousarray(regs.T)
+        self.keys, self.regs = band_keys(regs), regs
         self.band = int(np.argmax((self.keys == pdf["key"].iloc[0]).all(axis=0)))
         self.percent, self.least = percent, least
 
@@ -186,8 +194,10 @@ class Block:
             y = y[np.minimum(self.n[y], self.n[x]) * 100 >= self.percent * np.maximum(self.n[y], self.n[x])]
             if not len(y):
                 continue
-            agree = np.add.reduce((self.regs[:, y] == self.regs[:, x, None]).view(np.uint8), axis=0, dtype=np.uint8)
-            e = estimate(agree.astype(np.int64), self.n[y], np.full(len(y), self.n[x]))
+            agree = agreeing(self.regs[y], self.regs[x])
+            some = agree >= self.least * REGISTERS  # the correction only lowers an estimate
+            y, agree = y[some], agree[some]
+            e = estimate(agree, self.n[y], np.full(len(y), self.n[x]))
             good = np.flatnonzero(e >= self.least)
             good = good[~(self.keys[y[good], : self.band] == self.keys[x, : self.band]).any(axis=1)]
             if len(good):
