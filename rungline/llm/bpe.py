@@ -32,7 +32,7 @@ def _byte_letters() -> list[str]:
 
 
 class SpeculativeBPE:
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 700_000):
         import ahocorasick
 
         with open(path, encoding="utf-8") as f:
