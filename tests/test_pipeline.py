@@ -1,0 +1,29 @@
+"""The pipeline's stages."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+
+from .conftest import MIDDLE
+from .llm.cases import frame
+
+
+def pair(name: str, n: int, shared: int) -> tuple[str, str]:
+    """Two texts of n shingles each, of which they share the first `shared`."""
+    own = [f"{name}{k}" for k in range(n + 4)]
+    return " ".join(own), " ".join(own[: shared + 4] + [f"{name}x{k}" for k in range(n - shared)])
+
+
+def test_near_dedup_starts_at_80_percent(spark):
+    """Of pairs at 0.80 and 0.82 one text stays, of pairs at 0.79 both do."""
+    rows, pairs = [], {80: (180, 160), 82: (182, 164), 79: (179, 158)}
+    for percent, (n, shared) in pairs.items():
+        assert 100 * shared == percent * (2 * n - shared)
+        for k in range(6):
+            rows += [(1000 * percent + 2 * k + j, t, "en", "web", len(t)) for j, t in enumerate(pair(f"w{percent}p{k}q", n, shared))]
+    docs = frame(spark, rows, extra=False)
+    got = corpus_pipeline.one_of_each(spark, docs, MIDDLE)
+    assert got.columns == docs.columns
+    ids = {r.doc_id for r in got.collect()}
+    for percent, each in ((80, 6), (82, 6), (79, 12)):
+        assert sum(i // 1000 == percent for i in ids) == each
