@@ -7,10 +7,11 @@ weighted probability is half its own block probability and half the product of i
 "look one byte further" is known for every node, and a prediction mixes the estimates of all depths. A context that the model doesn't
 hold leaves the decision to the depths above it.
 
-Training counts are (context, byte) counts of all training texts, gathered by a shuffle that grows with the input; trees are built per
-group of the last two context bytes. What is broadcast is bounded: the `max_nodes` most counted nodes at most, by one count threshold,
-and the `max_words` most counted words for the unigram base; all other words go through a shuffled join. Words are told apart by 64-bit
-hashes. Null and empty texts are just the end sign; rows with null or repeated doc_id are scored like any other."""
+Training counts are (context, byte) counts of all training texts, gathered by a shuffle that grows with the input. Each distinct window of
+the texts to score meets the whole subtree of its last three context bytes and gets its mix of the depths below; the nodes of depths 0 to
+2 (fewer than 2**24, whatever the input) are broadcast and finish it. So a score comes from all nodes at any size of the input. What else
+is broadcast is a cache: the logs of the `max_windows` most counted windows and the counts of the `max_words` most counted words, each by
+one count threshold; all other windows and words go through shuffled joins and count the same. Words are told apart by 64-bit hashes. Null and empty texts are just the end sign; rows with null or repeated doc_id are scored like any other."""
 
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ from .common import LOWER, fold, shared_dir, slices, word_hashes, words, worker_
 
 DEPTH = 5
 END = 0x0A
+RUN = 1 << 20  # bytes of text coded at a time, which bounds the arrays a worker needs for it
 _U = np.uint64
 
 
@@ -99,7 +101,7 @@ def gather(train: DataFrame) -> DataFrame:
     def count(batches):
         word, window, docs = Counter(), Counter(), 0
         for b in batches:
-            for _, block, off in slices(b.column(0)):
+            for _, block, off in slices(b.column(0), RUN):
                 low = LOWER[block]
                 starts, ends, _ = words(low, off)
                 word.add(word_hashes(low, starts, ends))
@@ -135,8 +137,8 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _log_rise(n0, _HALF, 0.5) + _log_rise(n1, _HALF, 0.5) - _log_rise(n0 + n1, _WHOLE, 1.0)
 
 
-def nodes_of(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (context << 8 | place in the byte's binary tree) and their counts of zeros and ones."""
+def nodes_of(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (context << 8 | place in the byte's binary tree), their counts of zeros and ones, and the place of each window's eight keys."""
     level = np.arange(8)
     place = (1 << level) | (byte[:, None].astype(np.int64) >> (8 - level))
     bit = (byte[:, None].astype(np.int64) >> (7 - level)) & 1
@@ -144,7 +146,7 @@ def nodes_of(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     u, at = np.unique(key, return_inverse=True)
     ones = np.bincount(at, weights=(bit * n[:, None]).ravel(), minlength=len(u)).astype(np.int64)
     both = np.bincount(at, weights=np.broadcast_to(n[:, None], bit.shape).ravel(), minlength=len(u)).astype(np.int64)
-    return u, both - ones, ones
+    return u, both - ones, ones, at.reshape(bit.shape)
 
 
 def weigh(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None):
@@ -171,7 +173,7 @@ NODES = "depth int, key long, n long, n1 long, stop double, log double"
 
 
 def trees(windows: DataFrame, width: int) -> DataFrame:
-    """Nodes of depths 2 to DEPTH. Rows that share the last two context bytes meet in one partition, so subtrees are whole."""
+    """Nodes of depths 2 to DEPTH, for fit(). Rows that share the last two context bytes meet in one partition, so subtrees are whole."""
 
     def build(batches):
         parts = [(np.asarray(b.column(0)).view(_U), np.asarray(b.column(1))) for b in batches]
@@ -181,7 +183,7 @@ def trees(windows: DataFrame, width: int) -> DataFrame:
         ctx, byte = turned(code)
         below = None
         for depth in range(DEPTH, 1, -1):
-            key, n0, n1 = nodes_of(ctx >> _U(8 * (DEPTH - depth)), byte, n)
+            key, n0, n1, _ = nodes_of(ctx >> _U(8 * (DEPTH - depth)), byte, n)
             log, stop = weigh(key, n0, n1, below)
             below = key, log
             for a in range(0, len(key), 50_000):
@@ -192,6 +194,108 @@ def trees(windows: DataFrame, width: int) -> DataFrame:
     return windows.select("key", "n").repartition(width, last_two).mapInArrow(build, NODES)
 
 
+UPPER = 2
+
+
+def mixed(deeper: np.ndarray, bit: np.ndarray, n: np.ndarray, n1: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Probabilities of bits by the depths so far and one depth above them. NaN: no depth so far has the node; n = 0: this one hasn't either."""
+    kt = (np.where(bit, n1, n - n1) + 0.5) / (n + 1.0)
+    return np.where(n > 0, np.where(np.isnan(deeper), kt, stop * kt + (1 - stop) * deeper), deeper)
+
+
+def subtrees(windows: DataFrame, width: int, block: int = 100_000) -> DataFrame:
+    """From (key, n in training texts, seen in all texts), kind 1: each distinct window, how often it was seen (n), and its bits'
+    probabilities by depths DEPTH to UPPER + 1; kind 0: parts of the sums that the nodes of depth UPPER need.
+
+    Rows that share the last UPPER + 1 context bytes meet in one partition; about `block` of them are expanded to nodes at a time."""
+
+    def build(batches):
+        parts = [[np.asarray(b.column(k)) for k in range(3)] for b in batches]
+        if not parts:
+            return
+        code, n, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ctx, byte = turned(code.view(_U))
+        whole, first, back = np.unique(((ctx << _U(8)) | byte).astype(np.int64), return_index=True, return_inverse=True)
+        code = code[first]
+        n, seen = (np.bincount(back, weights=x, minlength=len(whole)).astype(np.int64) for x in (n, seen))
+        top = whole >> 8 * (DEPTH - UPPER)
+        cuts = np.append(np.flatnonzero(top[1:] != top[:-1]) + 1, len(whole))
+        a = 0
+        while a < len(whole):
+            z = int(cuts[min(np.searchsorted(cuts, a + block), len(cuts) - 1)])
+            ctx, byte = whole[a:z] >> 8, whole[a:z] & 255
+            bit = (byte[:, None] >> (7 - np.arange(8))) & 1
+            q, below = np.full(bit.shape, np.nan), None
+            for depth in range(DEPTH, UPPER, -1):
+                # windows of other texts add nodes with no counts, whose weighted log is 0
+                key, n0, n1, at = nodes_of(ctx >> 8 * (DEPTH - depth), byte, n[a:z])
+                log, stop = weigh(key, n0, n1, below)
+                below = key, log
+                q = mixed(q, bit, (n0 + n1)[at], n1[at], stop[at])
+            for y in range(a, z, 10_000):
+                x = min(z, y + 10_000)
+                part = [r.tobytes() for r in q[y - a : x - a].astype("<f4")]
+                zero = np.zeros(x - y)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(x - y, np.int32)), pa.array(code[y:x]), pa.array(seen[y:x]), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(part, pa.binary())], SUBTREES_NAMES)
+            there = n0 + n1 > 0
+            up, at = np.unique(((key >> 16 << 8) | (key & 255))[there], return_inverse=True)
+            add = lambda x: np.bincount(at, weights=x[there], minlength=len(up))  # noqa: E731, B023
+            for y in range(0, len(up), 50_000):
+                s = slice(y, y + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(up[s]), np.int32)), pa.array(up[s]), pa.array(add(n0 + n1)[s].astype(np.int64)), pa.array(add(n1)[s].astype(np.int64)), pa.array(add(log)[s]), pa.nulls(len(up[s]), pa.binary())], SUBTREES_NAMES)
+            a = z
+
+    last_three = F.shiftright(F.col("key"), 8).bitwiseAND(F.lit((1 << 8 * (UPPER + 1)) - 1))
+    return windows.select("key", "n", "seen").repartition(width, last_three).mapInArrow(build, SUBTREES)
+
+
+SUBTREES = "kind int, key long, n long, n1 long, log double, part binary"
+SUBTREES_NAMES = ["kind", "key", "n", "n1", "log", "part"]
+
+
+class Upper:
+    """All nodes of depths UPPER to 0, from the sums of depth UPPER: sorted keys, counts, counts of ones, weighted logs of the children."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, n1: np.ndarray, under: np.ndarray):
+        self.nodes = []
+        for d in range(UPPER, -1, -1):
+            own = log_kt(n - n1, n1)
+            both = np.logaddexp(own, under) + np.log(0.5)
+            self.nodes.append((d, key, n, n1, np.exp(np.log(0.5) + own - both)))
+            if d:
+                up, at = np.unique((key >> 16 << 8) | (key & 255), return_inverse=True)
+                add = lambda x: np.bincount(at, weights=x, minlength=len(up))  # noqa: E731, B023
+                key, n, n1, under = up, add(n).astype(np.int64), add(n1).astype(np.int64), add(both)
+
+    def logs(self, code: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each window's last byte. q: its bits' probabilities by the depths below."""
+        ctx, byte = (x.astype(np.int64)[:, None] for x in turned(code))
+        level = np.arange(8)
+        place, bit = (1 << level) | (byte >> (8 - level)), (byte >> (7 - level)) & 1
+        for d, key, n, n1, stop in self.nodes:
+            if len(key):
+                k = ((ctx >> 8 * (DEPTH - d)) << 8) | place
+                at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                q = mixed(q, bit, np.where(key[at] == k, n[at], 0), n1[at], stop[at])
+        return np.log10(np.where(np.isnan(q), 0.5, q)).sum(axis=1)  # nothing was learned: every bit is even
+
+
+def window_logs(windows: DataFrame, width: int) -> DataFrame:
+    """key, n, log for each distinct window of (key, n, seen): how often it was seen, and the log10 of its last byte's probability by all nodes."""
+    parts = written(subtrees(windows, width), "subtrees")
+    sums = parts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum("log").alias("under")).orderBy("key").toArrow()
+    upper = windows.sparkSession.sparkContext.broadcast(Upper(*(np.asarray(sums[c]) for c in ("key", "n", "n1", "under"))))
+
+    def finish(batches):
+        for b in batches:
+            if b.num_rows:
+                q = np.frombuffer(b"".join(b.column(2).to_pylist()), "<f4").reshape(-1, 8).astype(float)
+                log = upper.value.logs(np.asarray(b.column(0)).view(_U), q)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(log)], ["key", "n", "log"])
+
+    return written(parts.where("kind = 1").select("key", "n", "part").mapInArrow(finish, "key long, n long, log double"), "window-logs")
+
+
 class Table:
     """Look up 64-bit keys: sorted, with a directory of their hashed top bits."""
 
@@ -224,7 +328,7 @@ class Table:
 
 
 class Model:
-    """The broadcast part: pruned nodes of all depths, and the most counted words."""
+    """The nodes of all depths in one table: the plain version for small inputs, which the tests hold the scores against."""
 
     def __init__(self, depth: np.ndarray, key: np.ndarray, kt: np.ndarray, stop: np.ndarray, word: np.ndarray, word_n: np.ndarray, all_words_held: bool):
         self.depth, self.key, self.kt, self.stop = depth.astype(np.int8), key.astype(np.int64), kt.astype(np.float32), stop.astype(np.float32)
@@ -233,8 +337,6 @@ class Model:
 
     def open(self) -> Model:
         self.nodes = Table(self.key.astype(_U) | (self.depth.astype(_U) << _U(56)))
-        self.words = Table(self.word)
-        self.gram, self.logp = np.full(1 << 22, ~_U(0), _U), np.zeros(1 << 22, np.float32)
         return self
 
     def window_logs(self, code: np.ndarray) -> np.ndarray:
@@ -256,22 +358,36 @@ class Model:
             total += np.log10(np.where((byte >> (7 - level)) & 1, p, 1 - p))
         return total
 
+
+class Held:
+    """The broadcast part: logs of the most counted windows, and the most counted words."""
+
+    def __init__(self, window: np.ndarray, log: np.ndarray, word: np.ndarray, word_n: np.ndarray):
+        self.window, self.log, self.word, self.word_n = window, log, word, word_n
+        self.name = np.random.default_rng().integers(1 << 62)
+
+    def open(self) -> Held:
+        self.windows, self.words = Table(self.window), Table(self.word)
+        self.gram, self.logp = np.full(1 << 22, ~_U(0), _U), np.zeros(1 << 22)
+        return self
+
     def logs(self, code: np.ndarray) -> np.ndarray:
-        """As window_logs; what was computed before is kept in a table of fixed size."""
+        """The log10 of each window, NaN where it isn't held. What was looked up before is kept in a table of fixed size."""
         at = ((code * _U(0x9E3779B97F4A7C15)) >> _U(42)).astype(np.int64)
         out = self.logp[at]
         miss = np.flatnonzero(self.gram[at] != code)
         if len(miss):
             new, back = np.unique(code[miss], return_inverse=True)
-            got = np.concatenate([self.window_logs(new[a : a + 100_000]) for a in range(0, len(new), 100_000)])
+            where = self.windows.find(new)
+            got = np.where(where >= 0, self.log[where], np.nan) if len(self.log) else np.full(len(new), np.nan)
             slot = ((new * _U(0x9E3779B97F4A7C15)) >> _U(42)).astype(np.int64)
             self.gram[slot], self.logp[slot] = new, got
             out[miss] = got[back]
         return out
 
 
-def opened(model: Model) -> Model:
-    return worker_model(("ctw", model.name), model.open)
+def opened(held: Held) -> Held:
+    return worker_model(("ctw", held.name), held.open)
 
 
 def _threshold(counts: DataFrame, most: int) -> int:
@@ -289,6 +405,7 @@ def _threshold(counts: DataFrame, most: int) -> int:
 
 
 def fit(gathered: DataFrame, max_nodes: int, max_words: int, width: int) -> Model:
+    """The plain version: the `max_nodes` most counted nodes at most. score_documents() needs no such bound."""
     words_, windows = gathered.where("kind = 0"), gathered.where("kind = 1")
     least_word = _threshold(words_, max_words)
     held = words_.where(F.col("n") >= least_word).select("key", "n").toArrow()
@@ -315,8 +432,10 @@ def fit(gathered: DataFrame, max_nodes: int, max_words: int, width: int) -> Mode
 # ------------------------------------------------------------------ scoring
 
 
-def score_documents(docs: DataFrame, held_out: Column | None = None, max_nodes: int = 1 << 21, max_words: int = 1 << 19) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns from the rows that are not held out."""
+def score_documents(docs: DataFrame, held_out: Column | None = None, max_windows: int = 1 << 21, max_words: int = 1 << 19) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns from the rows that are not held out.
+
+    max_windows, max_words: how many windows and words are broadcast at most; the results don't depend on them."""
     spark = docs.sparkSession
     shared_dir(spark)
     held = held_out if held_out is not None else fold(F.col("doc_id"), 7) == 2
@@ -325,18 +444,29 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, max_nodes:
     totals = {r.kind: (r.n, r.v) for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     ends = totals.get(2, (0, 0))[0]
     tokens, distinct = totals.get(0, (0, 0))[0] + ends, totals.get(0, (0, 0))[1] + (ends > 0)
-    model = spark.sparkContext.broadcast(fit(gathered, max_nodes, max_words, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    others = written(gather(rows.where(F.coalesce("held_out", F.lit(True)))).where("kind = 1"), "other-counts")
+    windows = gathered.where("kind = 1").select("key", "n", F.col("n").alias("seen")).unionByName(others.select("key", F.lit(0).cast("long").alias("n"), F.col("n").alias("seen")))
+    logs = window_logs(windows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = gathered.where("kind = 0").select("key", "n")
+    least_window, least_word = _threshold(logs, max_windows), _threshold(counted, max_words)
+    some, common = logs.where(F.col("n") >= least_window).select("key", "log").toArrow(), counted.where(F.col("n") >= least_word).toArrow()
+    model = spark.sparkContext.broadcast(Held(np.asarray(some["key"]).view(_U), np.asarray(some["log"]), np.asarray(common["key"]).view(_U), np.asarray(common["n"])))
+    all_words_held, all_windows_held = least_word <= 1, least_window <= 1
     log_end = float(np.log10(ends + 1.0))
 
     def score(batches):
         m, part, at = opened(model.value), TaskContext.get().partitionId(), 0
         log_n = np.log10(m.word_n + 1.0)
         for b in batches:
-            for start, block, off in slices(b.column(2)):
+            for start, block, off in slices(b.column(2), RUN):
                 low = LOWER[block]
                 starts, ends_, first = words(low, off)
                 code, stop = coded(low, off, starts, ends_)
-                sums = np.add.reduceat(m.logs(code).astype(float), np.concatenate([[0], stop[:-1]]))
+                log = m.logs(code)
+                absent = np.flatnonzero(np.isnan(log))
+                log[absent] = 0.0
+                sums = np.add.reduceat(log, np.concatenate([[0], stop[:-1]]))
+                rest, rest_cut = code[absent].view(np.int64), np.searchsorted(absent, np.concatenate([[0], stop]))
                 h = word_hashes(low, starts, ends_)
                 where = m.words.find(h)
                 known = where >= 0
@@ -344,7 +474,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, max_nodes:
                 n = len(off) - 1
                 base = np.bincount(row, weights=np.where(known, log_n[where] if len(log_n) else 0.0, 0.0), minlength=n) + log_end
                 n_known = np.bincount(row[known], minlength=n) + (ends > 0)
-                if m.all_words_held:
+                if all_words_held:
                     rare, cut = np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
                 else:
                     rare = h[~known].view(np.int64)
@@ -353,14 +483,18 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, max_nodes:
                 at += n
                 for a in range(0, n, 2000):
                     z = min(n, a + 2000)
+                    tail = pa.ListArray.from_arrays(pa.array((rest_cut[a : z + 1] - rest_cut[a]).astype(np.int32)), pa.array(rest[rest_cut[a] : rest_cut[z]]))
                     lists = pa.ListArray.from_arrays(pa.array((cut[a : z + 1] - cut[a]).astype(np.int32)), pa.array(rare[cut[a] : cut[z]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a:z]), b.column(0).slice(start + a, z - a), b.column(1).slice(start + a, z - a), pa.array(np.diff(first)[a:z] + 1), pa.array(n_known[a:z].astype(np.int64)), pa.array(base[a:z]), pa.array(sums[a:z]), lists], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a:z]), b.column(0).slice(start + a, z - a), b.column(1).slice(start + a, z - a), pa.array(np.diff(first)[a:z] + 1), pa.array(n_known[a:z].astype(np.int64)), pa.array(base[a:z]), pa.array(sums[a:z]), lists, tail], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "tail"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = written(rows.mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>"), "scores")
+    scored = written(rows.mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>, tail array<long>"), "scores")
     # words beyond the broadcast ones: occurrences meet their counts by hash
     rare = scored.select("row", F.explode("rare").alias("key"))
     found = rare.join(gathered.where("kind = 0").select("key", "n"), "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
+    # and windows beyond the broadcast ones their logs
+    tail = scored.select("row", F.explode("tail").alias("key")).join(logs.select("key", "log"), "key").groupBy("row").agg(F.sum("log").alias("tail_logs"))
     norm = float(np.log10(tokens + 1.0 * (distinct + 1)))
-    both = scored.drop("rare").join(found, "row", "left")
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
+    both = scored.drop("rare", "tail").join(found, "row", "left")
+    both = both.withColumn("tail_logs", F.lit(0.0)) if all_windows_held else both.join(tail, "row", "left")
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col("score") + F.coalesce("tail_logs", F.lit(0.0))).alias("score"))

@@ -82,6 +82,21 @@ def test_scores_of_repeated_and_no_rows(spark):
     assert len(got) == len(only_held) and all(r.train_tokens == 0 and math.isfinite(r.score) and r.n_known == 0 for r in got)
 
 
+def test_scores_come_from_all_nodes(spark):
+    """However little is broadcast, a score is that of all nodes in one table."""
+    rows = awkward()
+    train = frame(spark, [r for r in rows if fold(r[0], 7) != 2], extra=False)
+    plain = ctw.fit(ctw.gather(train), 1 << 40, 1 << 10, 4).open()
+    want = {}
+    for i, t, *_ in rows:
+        body = b"\n" * ctw.DEPTH + b"".join(w.encode() + b" " for w in words(lower(t))) + b"\n"
+        codes = [int.from_bytes(body[k - ctw.DEPTH : k + 1], "big") for k in range(ctw.DEPTH, len(body))]
+        want[i] = plain.window_logs(np.array(codes, np.uint64)).sum()
+    for bound in (1 << 21, 200, 0):
+        got = ctw.score_documents(frame(spark, rows), None, bound).collect()
+        assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-5)
+
+
 # ---------------------------------------------------------------- operator 4
 
 
