@@ -54,12 +54,21 @@ def operand_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT program, routine, n, false AS w, l_partkey % 200 = 7 AS hit FROM ({rungs_sql('l_partkey')})
   UNION ALL SELECT program, routine, n, true, l_orderkey % 300 = 7 FROM ({rungs_sql('l_orderkey')})) WHERE hit GROUP BY ALL""")
 def xref_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where tags In7 and Out7 are read and written (J-01, A-01, X-01)."""
+    """Where tags In7 and Out7 are read and written (J-01, A-01, X-01); xref_all has every tag."""
     uses = facts.operand_uses(rungs(spark, sf_dir), ["program", "routine", "n"]).where("base IN ('In7', 'Out7')")
     rw = F.when(F.col("is_write"), "write").otherwise("read")
     return uses.groupBy("program", "routine", rw.alias("rw")).agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("places"))
 
 
+@query(f"""SELECT base, program, routine, CASE WHEN w THEN 'write' ELSE 'read' END AS rw, array_to_string(list_sort(list(DISTINCT n)), ',') AS places FROM (
+  SELECT {IN} AS base, program, routine, n, false AS w FROM ({rungs_sql('l_partkey')}) UNION ALL SELECT {OUT}, program, routine, n, true FROM ({rungs_sql('l_orderkey')})) GROUP BY ALL""")
+def xref_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every tag is read and written (J-01, A-01, X-01)."""
+    uses = facts.operand_uses(rungs(spark, sf_dir), ["program", "routine", "n"])
+    rw = F.when(F.col("is_write"), "write").otherwise("read")
+    return uses.groupBy("base", "program", "routine", rw.alias("rw")).agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("places"))
+
+
 @query(f"""SELECT base, CAST(sum(r) AS BIGINT) AS n_reads, CAST(sum(w) AS BIGINT) AS n_writes FROM (
   SELECT {IN} AS base, 1 AS r, 0 AS w FROM lineitem UNION ALL SELECT {OUT}, 0, 1 FROM lineitem) GROUP BY base""")
 def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +117,29 @@ def unproduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.dangling(_some(spark, sf_dir, _FEW), False, ["program", "n"]).select("use_key", "places")
 
 
+# over every line: outputs are multiples of three, so two of three tags that are read are never written, and tags grow with the tables
+_EVERY = "concat(CASE WHEN l_partkey % 7 <> 0 THEN concat('XIC(Out', CAST(l_partkey AS STRING), '.Cmd)') ELSE '' END, 'OTE(Out', CAST(l_orderkey * 3 AS STRING), '.Cmd);')"
+
+
+def _every(spark, sf_dir):
+    units = table(spark, sf_dir, "lineitem").selectExpr(f"{PROGRAM} AS program", "l_orderkey AS n", f"{_EVERY} AS txt")
+    return facts.keyed(facts.operand_uses(units, ["program", "n"]), F.lit(""))
+
+
+@query(f"""SELECT concat('|out', CAST(l_orderkey * 3 AS STRING), '.cmd') AS use_key, CAST(count(DISTINCT ({PROGRAM}, l_orderkey)) AS BIGINT) AS places FROM lineitem
+WHERE l_orderkey * 3 NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 7 <> 0) GROUP BY 1""")
+def unconsumed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written signals that nothing reads, over every line (J-15, A-06, X-06)."""
+    return facts.dangling(_every(spark, sf_dir), True, ["program", "n"]).select("use_key", "places")
+
+
+@query(f"""SELECT concat('|out', CAST(l_partkey AS STRING), '.cmd') AS use_key, CAST(count(DISTINCT ({PROGRAM}, l_orderkey)) AS BIGINT) AS places FROM lineitem
+WHERE l_partkey % 7 <> 0 AND l_partkey NOT IN (SELECT l_orderkey * 3 FROM lineitem) GROUP BY 1""")
+def unproduced_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read signals that nothing writes, over every line (J-16, X-07)."""
+    return facts.dangling(_every(spark, sf_dir), False, ["program", "n"]).select("use_key", "places")
+
+
 @query(f"""SELECT program, scope, CAST(count(*) AS BIGINT) AS n_uses FROM (SELECT {PROGRAM} AS program,
   CASE WHEN l_suppkey % 10 < 5 AND l_partkey % 200 < 100 THEN {PROGRAM} WHEN l_partkey % 200 < 150 THEN '' ELSE '?' END AS scope FROM lineitem) GROUP BY ALL""")
 def scope_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,27 +221,56 @@ def layout_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "SELECT DISTINCT l_orderkey % 1000 AS src, l_partkey % 1000 AS dst FROM lineitem WHERE l_orderkey < 1500 AND l_linenumber = 7"
 
 
-def _edges(spark, sf_dir):
+#: Every line as an edge between whole keys: nodes and edges grow with the table.
+_ALL_EDGES = "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem"
+
+
+def _edges(spark, sf_dir, edges=_EDGES):
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem_edges")
-    return spark.sql(_EDGES.replace("lineitem", "lineitem_edges"))
+    return spark.sql(edges.replace("lineitem", "lineitem_edges"))
 
 
 _REACH = f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT DISTINCT src FROM e WHERE src < 20 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src)"
+_REACH_ALL = _REACH.replace(_EDGES, _ALL_EDGES)
+
+
+def _reached(e):
+    return graph.reachable(e, e.where("src < 20").select(F.col("src").alias("node"))).select("node")
+
+
+def _unreached(e):
+    every = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return every.join(_reached(e), "node", "left_anti")
+
+
+def _sinks(e, start):
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    sinks = nodes.where("node % 50 = 0 OR node % 11 = 0").selectExpr("node", "CASE WHEN node % 50 = 0 THEN 1000 ELSE 100 - node % 10 END AS rank")
+    return graph.nearest_sink(e, start.select(F.col("src").alias("start"), F.col("src").alias("node")), sinks).select("start", "sink", long(F.col("hops")).alias("hops"))
 
 
 @query(f"{_REACH} SELECT node FROM r")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that calls reach from the seeds (G-01, G-03, X-12)."""
-    e = _edges(spark, sf_dir)
-    return graph.reachable(e, e.where("src < 20").select(F.col("src").alias("node"))).select("node")
+    return _reached(_edges(spark, sf_dir))
+
+
+@query(f"{_REACH_ALL} SELECT node FROM r")
+def reachability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that calls reach from the seeds, over every line (G-01, G-03, X-12)."""
+    return _reached(_edges(spark, sf_dir, _ALL_EDGES))
 
 
 @query(f"{_REACH} SELECT node FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) WHERE node NOT IN (SELECT node FROM r)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that no call reaches (G-03, SO-02)."""
-    e = _edges(spark, sf_dir)
-    every = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return every.join(graph.reachable(e, e.where("src < 20").select(F.col("src").alias("node"))), "node", "left_anti")
+    return _unreached(_edges(spark, sf_dir))
+
+
+@query(f"{_REACH_ALL} SELECT node FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) WHERE node NOT IN (SELECT node FROM r)")
+def orphans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that no call reaches, over every line (G-03, SO-02)."""
+    return _unreached(_edges(spark, sf_dir, _ALL_EDGES))
 
 
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), r(start, node, hops) AS (SELECT DISTINCT src, src, 0 FROM e WHERE src < 60 UNION SELECT r.start, e.dst, r.hops + 1 FROM r JOIN e ON r.node = e.src WHERE r.hops < 12),
@@ -218,10 +279,14 @@ SELECT start, sink, CAST(hops AS BIGINT) AS hops FROM s WHERE k = 1""")
 def path_to_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best-ranked sink at the least number of hops, 12 at most (G-04, G-05)."""
     e = _edges(spark, sf_dir)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    sinks = nodes.where("node % 50 = 0 OR node % 11 = 0").selectExpr("node", "CASE WHEN node % 50 = 0 THEN 1000 ELSE 100 - node % 10 END AS rank")
-    start = e.where("src < 60").select(F.col("src").alias("start"), F.col("src").alias("node"))
-    return graph.nearest_sink(e, start, sinks).select("start", "sink", long(F.col("hops")).alias("hops"))
+    return _sinks(e, e.where("src < 60"))
+
+
+@query()
+def path_to_sink_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from every source over every line (G-04, G-05). No SQL: recursion over all walks is too much; the test searches each start."""
+    e = _edges(spark, sf_dir, _ALL_EDGES)
+    return _sinks(e, e)
 
 
 @query("""SELECT concat('R', CAST(r_regionkey AS STRING)) AS node, concat('R', CAST(r_regionkey AS STRING)) AS path, CAST(0 AS BIGINT) AS level FROM region
@@ -271,8 +336,19 @@ def blank_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT concat('Q', CAST(p_size % 4 AS STRING)), true, CAST(2 AS BIGINT) FROM part WHERE p_partkey % 10 = 3 UNION ALL SELECT concat('S', CAST(p_size % 3 AS STRING)), false, CAST(2 AS BIGINT) FROM part WHERE p_partkey % 10 = 3) GROUP BY ALL""")
 def st_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads and writes of Structured Text routines of four lines each (P-14, P-15)."""
+    return _st_uses(table(spark, sf_dir, "part").where("p_partkey % 10 = 3"))
+
+
+@query("""SELECT base, is_write, line, CAST(count(*) AS BIGINT) AS n_uses FROM (SELECT 'Cnt' AS base, false AS is_write, CAST(1 AS BIGINT) AS line FROM part
+  UNION ALL SELECT concat('Q', CAST(p_size % 4 AS STRING)), true, CAST(2 AS BIGINT) FROM part UNION ALL SELECT concat('S', CAST(p_size % 3 AS STRING)), false, CAST(2 AS BIGINT) FROM part) GROUP BY ALL""")
+def st_uses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads and writes of Structured Text routines, one for every part (P-14, P-15)."""
+    return _st_uses(table(spark, sf_dir, "part"))
+
+
+def _st_uses(parts):
     lines = "array('// set Old := 1;', 'IF Cnt > 5 (* Gone *) THEN', concat('  Q', p_size % 4, ' := S', p_size % 3, ' + 16#FF;'), 'END_IF;')"
-    t = table(spark, sf_dir, "part").where("p_partkey % 10 = 3").selectExpr("p_partkey AS routine", f"posexplode({lines}) AS (n, txt)")
+    t = parts.selectExpr("p_partkey AS routine", f"posexplode({lines}) AS (n, txt)")
     return st.routine_uses(t, ["routine"]).groupBy("base", "is_write", F.col("n").alias("line")).agg(F.count("*").alias("n_uses"))
 
 
@@ -351,7 +427,17 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_type, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS brand FROM part WHERE p_size < 3 GROUP BY p_type")
 def unique_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value where a key has only one (A-05, J-10): least equals greatest, so no set is gathered."""
-    return table(spark, sf_dir, "part").where("p_size < 3").groupBy("p_type").agg(F.when(F.min("p_brand") == F.max("p_brand"), F.min("p_brand")).alias("brand"))
+    return _only_brand(table(spark, sf_dir, "part").where("p_size < 3"))
+
+
+@query("SELECT p_type, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS brand FROM part GROUP BY p_type")
+def unique_or_null_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value where a key has only one, over every part (A-05, J-10)."""
+    return _only_brand(table(spark, sf_dir, "part"))
+
+
+def _only_brand(parts):
+    return parts.groupBy("p_type").agg(F.when(F.min("p_brand") == F.max("p_brand"), F.min("p_brand")).alias("brand"))
 
 
 @query("SELECT concat('C', CAST(s_suppkey AS STRING)) AS name, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT) AS place FROM supplier")
