@@ -1,9 +1,9 @@
 """Operator 8, quality rules with risk-controlled thresholds (DataFrame and SQL functions only).
 
 Each rule rejects documents whose measure lies above a cutoff. Cutoffs are learned in each stratum from the labelled good documents that
-pass the base rules: a cutoff is certified if, with k of n such documents above it, P(Binomial(n, max_false) <= k) is at most
-error / (strata x rules x grid), the exact one-sided bound with Bonferroni's correction. Then with probability 1 - error no rule in any
-stratum rejects more than max_false of its good documents. Each rule takes its smallest certified cutoff, or none.
+pass the base rules: a cutoff is certified if, with k of n such documents above it, P(Binomial(n, max_false / rules) <= k) is at most
+error / (strata x rules x grid), the exact one-sided bound with Bonferroni's correction. Then with probability 1 - error all rules
+together reject at most max_false of the good documents of any stratum. Each rule takes its smallest certified cutoff, or none.
 
 Null or empty text has no words (base_failed). A null stratum is a stratum of its own; one without labels has the base rules only.
 Repeated doc_ids keep their rows; a label counts for each of them."""
@@ -91,7 +91,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, max_false: flo
     share = error / max(1, len(rows) * sum(map(len, RULES.values())))
     out = []
     for r in rows:
-        most = most_allowed(r.n, max_false, share)
+        # a document goes by any rule, so the rules share max_false
+        most = most_allowed(r.n, max_false / len(RULES), share)
         out.append({"__stratum": r[stratum]} | {f"cut_{rule}": next((c for k, c in enumerate(grid) if r[f"{rule}_{k}"] <= most), None) for rule, grid in RULES.items()})
     return out
 

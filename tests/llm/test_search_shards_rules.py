@@ -126,6 +126,17 @@ def test_good_documents_stay(spark):
         assert sum(not rows[i].kept for i in own) <= len(quality_rules.RULES) * 0.02 * len(own)
 
 
+def test_rules_share_the_false_rejections(spark):
+    """Each rule could reject another one percent of the good documents; together they reject at most two."""
+    high = {r: (12.0 if r == "mean_word" else 0.3) for r in quality_rules.RULES}
+    values = [f"IF(id % 100 = {k}, {x}D, 0.0D) AS {r}" for k, (r, x) in enumerate(high.items())]
+    measured = spark.range(6000).selectExpr("id AS doc_id", "'en' AS lang", "false AS base_failed", *values)
+    labels = spark.range(6000).selectExpr("id AS doc_id", "1 AS quality")
+    (row,) = quality_rules.cutoffs(measured, labels, "lang", 0.02, 0.05)
+    cuts = {r: row[f"cut_{r}"] for r in high}
+    assert sum(60 for r, x in high.items() if cuts[r] is not None and x > cuts[r]) <= 0.02 * 6000
+
+
 # ---------------------------------------------------------------- operator 9
 
 
