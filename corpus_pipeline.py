@@ -34,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", good_quality), ("language_id", known_language), ("near_dedup", one_of_each), ("packing", packed)]
 
-#: Nearest-neighbour votes, compressed sizes and sketches are beyond SQL; tests hold run() against brute force.
+#: Nearest-neighbour votes, compressed sizes and sketches are beyond SQL. tests/test_pipeline.py holds the near-dedup stage at its threshold; no test runs the other stages or run() yet.
 ORACLE_SQL = None
 
 
