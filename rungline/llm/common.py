@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -14,10 +16,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one temporary folder per application."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets one temporary folder; any other is refused."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-rungline-")
@@ -43,17 +47,42 @@ _worker: dict = {}
 def worker_model(key: tuple | None, make=None):
     """What a worker process holds between tasks: one model at a time, so that operators that follow each other don't add up in its memory.
 
-    Without a key, whatever is held goes, and freed memory is given back."""
+    Without a key, whatever is held goes. Freed memory is given back to the system."""
     if key is None or key not in _worker:
-        held = bool(_worker)
         _worker.clear()
-        if held or key is None:
-            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
         if key is not None:
             _worker[key] = make()
     return _worker.get(key)
 
 
+def bare(run):
+    """A function of batches that holds no model: a worker lets go of what it held before."""
+
+    @functools.wraps(run)
+    def first_let_go(batches):
+        worker_model(None)
+        yield from run(batches)
+
+    return first_let_go
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -85,7 +114,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(column: pa.Array, limit: int = 4 << 20):
+def slices(column: pa.Array, limit: int = 1 << 20):
     """Cut an Arrow text column into runs of rows of about `limit` bytes (a longer row stands alone): yields (first row, bytes, offsets)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
