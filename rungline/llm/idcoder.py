@@ -144,6 +144,8 @@ def _decode_ids(n: int, lanes: int, coded: memoryview) -> np.ndarray:
 
     def slot(where):
         r = rng[where] >> 16
+        if not r.all():  # an undamaged block never gets here
+            raise ValueError("range is used up")
         return r, np.minimum((dif[where] / r).astype(np.int64), _TOTAL - 1)  # exact: below 2**48, quotients below 2**17
 
     def take(where, r, start, size):

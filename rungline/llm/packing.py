@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bare, written
 from .pieces import encoder, runs
 
 
@@ -109,33 +109,44 @@ def place(bins: list[tuple[list[int], int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, np.int64) for c in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 4
 
 
-def best_two_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, salts: int = 64) -> DataFrame:
+def best_two_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
-    table = written(pieces(docs, tokenizer, end_id, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
+    table = written(pieces(docs, tokenizer, end_id, capacity).withColumn("mark", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
     return pack_pieces(table, capacity)
 
 
-def pack_pieces(table: DataFrame, capacity: int) -> DataFrame:
-    """table: pieces with a column salt that splits every length; read twice, so it is best a written table."""
+def pack_pieces(table: DataFrame, capacity: int, share: int = 100_000) -> DataFrame:
+    """table: pieces with a hash in the column mark; read a few times, so it is best a written table.
+
+    The pieces of a length are numbered in parts of about `share`, however many there are, so no task holds a whole length."""
     spark = table.sparkSession
-    counts = table.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity x salts rows
-    if not counts:
-        return table.drop("salt").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    grid = np.zeros((capacity + 1, max(r.salt for r in counts) + 1), np.int64)
-    for r in counts:
-        grid[r.length, r.salt] = r.n
-    before = np.cumsum(grid, axis=1) - grid
-    runs = spark.sparkContext.broadcast((before, *place(plan_bins(grid.sum(axis=1), capacity))))
+    per_length = {r.length: r.n for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    if not per_length:
+        return table.drop("mark").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    parts = np.zeros(capacity + 1, np.int64)
+    for n, c in per_length.items():
+        parts[n] = 1 + c // share
+    base = np.cumsum(parts) - parts
+    deal = spark.createDataFrame([(int(n), int(parts[n]), int(base[n])) for n in per_length], "length long, parts long, base long")
+    dealt = table.join(F.broadcast(deal), "length").withColumn("part", F.col("base") + F.pmod(F.col("mark"), F.col("parts"))).drop("parts", "base", "mark")
+    here = np.zeros(int(parts.sum()), np.int64)
+    for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect():  # at most capacity rows and one for each `share` pieces
+        here[r.part] = r.n
+    before = np.cumsum(here) - here
+    before -= np.repeat(before[np.minimum(base, len(before) - 1)], parts)  # within its length
+    count = np.zeros(capacity + 1, np.int64)
+    count[list(per_length)] = list(per_length.values())
+    runs = spark.sparkContext.broadcast((before, *place(plan_bins(count, capacity))))
 
     def look(batches):
         first, lengths, starts, base, at = runs.value
         step = np.int64(1) << 40  # (length, number) as one sorted key
         keys = lengths * step + starts
         for b in batches:
-            size, salt, rank = (np.asarray(b.column(k)) for k in ("length", "salt", "rank"))
-            number = first[size, salt] + rank - 1
+            size, part, rank = (np.asarray(b.column(k)) for k in ("length", "part", "rank"))
+            number = first[part] + rank - 1
             i = np.searchsorted(keys, size * step + number, "right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(base[i] + number - starts[i]), pa.array(at[i])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = table.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-    return ranked.mapInArrow(look, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "piece", "ids_crc32")))
+    return ranked.mapInArrow(bare(look), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

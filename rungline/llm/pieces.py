@@ -1,8 +1,9 @@
-"""Whole-text encoding with the tokenizers library, one library call per new piece.
+"""Whole-text encoding with the tokenizers library, which sees each distinct chunk of text about once.
 
-Both public vocabularies split a text by a pattern and encode each piece by itself, so a piece that was encoded before is looked up.
-Texts outside Latin-1, with characters whose class differs between pattern engines, or with the text of a special token go through
-the library whole, as does every text of a tokenizer whose splitting is not one of the two known ones."""
+Both public vocabularies split a text by a pattern and encode each piece by itself, so texts are cut at white space into chunks, Arrow
+numbers the distinct ones, and ids that are known are looked up by number. Texts outside Latin-1, with characters whose class differs
+between pattern engines, or with the text of a special token go through the library whole, as does every text of a tokenizer whose
+splitting is not one of the two known ones."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_model
 
@@ -21,7 +24,7 @@ _WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _ODD = "\x1c\x1d\x1e\x1f\x85\xa0\xaa\xb2\xb3\xb5\xb9\xba\xbc\xbd\xbe"
 _CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
 _LONG = 1 << 20
-_DOUBLE = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
+_SEP = "\x1c"  # in no ordinary text
 
 
 def cuts(text: str, limit: int = _LONG):
@@ -47,10 +50,28 @@ def ordinary(text: str) -> bool:
     return not any(c in text for c in _ODD)
 
 
+def _pairs(text: str) -> bool:
+    """Is there a space before other white space, or at an end of the text?"""
+    return "  " in text or " \n" in text or text[0] == " " or text[-1] == " " or any(c in text and " " + c in text for c in "\t\r\x0b\x0c")
+
+
+def spaced(text: str) -> str:
+    """An ordinary text with a mark before each single space: what stands between marks is split the same way by itself."""
+    return _SEP.join([p for part in cuts(text, 1 << 12) for p in _BYTE_LEVEL.findall(part)]) if _pairs(text) else text.replace(" ", _SEP + " ")
+
+
+def numbered(texts: list[str], words: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks of texts cut at marks (or, for words, at white space), each text's chunks by number, and where each text's end."""
+    rows = pa.array(texts, pa.large_string())
+    lists = pc.ascii_split_whitespace(rows) if words else pc.split_pattern(rows, _SEP)
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices), np.cumsum(np.asarray(pc.list_value_length(lists)), dtype=np.int64)
+
+
 class PieceEncoder:
-    """ids(text): the little-endian unsigned 32-bit ids, as bytes. Keeps about `keep` chunks and pieces at most."""
+    """ids(text): the little-endian unsigned 32-bit ids, as bytes. Known chunks take about `keep` bytes, and what a call adds to them."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 72 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,14 +86,14 @@ class PieceEncoder:
             self.pattern = _BYTE_LEVEL
         elif [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and "[\\p{N}]|" in pre["pretokenizers"][0]["pattern"].get("Regex", "") and "Lowercase" in norm:
             self.pattern, self.lower = _WORD_LEVEL, True
-        # ids that close a word of the word-level vocabulary, or open one (a space) of the byte-level vocabulary
+        # ids that close a piece of the word-level vocabulary, or open one with a space of the byte-level vocabulary
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(1 + max(vocab.values()), bool)
         suffix = spec["model"].get("end_of_word_suffix")
         self.edge[[i for t, i in vocab.items() if (t.endswith(suffix) if self.lower and suffix else t.startswith("\u0120"))]] = True
-        self.kept: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.keep = keep
+        self.keep, self.held = keep, 0
+        self.known: dict[str, bytes] = {"": b""}
+        self.once = bytearray(1 << 22)  # by hash: was a chunk new before? What comes but once isn't kept
         self.marks = {c: self.whole(c) for c in ".,;:!?"}
 
     def whole(self, text: str) -> bytes:
@@ -85,61 +106,91 @@ class PieceEncoder:
         return self.ids_many([text])[0]
 
     def ids_many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; what is new in any of them is encoded together.
-
-        A text is first cut at white space into chunks, which are looked up; a new chunk is made of pieces, which are looked up too."""
-        split, whole = [], {}
+        """The ids of each text; chunks that are new in any of them are encoded together."""
+        ready, whole = [], {}
         for k, t in enumerate(texts):
             if t and not self.plain(t):
                 whole[k], t = self.whole(t), ""
-            split.append(self._chunks(t.lower() if self.lower else t) if t else [])
-        kept, used = self.kept, set().union(*split)
-        if len(kept) > self.keep:  # what these texts use stays: that holds the frequent ones
-            kept = self.kept = {c: kept[c] for c in used & kept.keys()}
-        new = []
-        for c in used - kept.keys():
-            # a known word and a mark: letters and marks are never in one piece
-            if (mark := self.marks.get(c[-1])) is not None and len(c) > 1 and (word := kept.get(c[:-1])) is not None and c[-2].isalpha():
-                kept[c] = word + mark
+            ready.append((t.lower() if self.lower else spaced(t)) if t else "")
+        chunks, code, stop = numbered(ready, self.lower)
+        got = self._look(chunks)
+        size = np.fromiter(map(len, got), np.int32, len(got)) >> 2
+        first = np.cumsum(size, dtype=np.int32) - size
+        n = size[code]
+        end = np.cumsum(n, dtype=np.int64)
+        at = np.repeat((first[code] - (end - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        flat = np.frombuffer(b"".join(got), "<u4")[at].tobytes()
+        cut = np.concatenate([[0], end])[np.concatenate([[0], stop])] * 4
+        return [whole[k] if k in whole else flat[a:z] for k, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))]
+
+    @staticmethod
+    def _size(chunks) -> int:
+        """About how many bytes chunks and their ids take."""
+        return 170 * len(chunks) + 3 * sum(map(len, chunks))
+
+    def _look(self, chunks: list[str]) -> list[bytes]:
+        got = list(map(self.known.get, chunks))
+        new = [c for c, g in zip(chunks, got, strict=True) if g is None]
+        if new:
+            if self.held > self.keep:  # what these texts use stays: that holds the frequent chunks
+                self.known = {"": b""} | {c: g for c, g in zip(chunks, got, strict=True) if g is not None}
+                self.held, self.once = self._size(self.known), bytearray(len(self.once))
+            fresh = iter(self._learn(new))
+            got = [next(fresh) if g is None else g for g in got]
+        return got
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of new chunks; those that were new before become known."""
+        known, marks, base = self.known, self.marks, {}
+        for c in new:
+            # a word and a mark: letters and marks are never in one piece
+            c = c[:-1] if c[-1] in marks and c[-2:-1].isalpha() else c
+            if c not in known:
+                base[c] = None
+        # together: words between spaces, of which the ids tell where a piece ends, and chunks that begin with their only space
+        joint = list(base) if self.lower else [c for c in base if c[0] == " " and len(c) > 1 and not c[1].isspace()]
+        rest = [] if self.lower else [c for c in base if not (c[0] == " " and len(c) > 1 and not c[1].isspace())]
+        for at in range(0, len(joint), 20_000):
+            rest += self._encode(joint[at : at + 20_000], base)
+        for at in range(0, len(rest), 20_000):
+            for c, e in zip(rest[at : at + 20_000], self.tok.encode_batch_fast(rest[at : at + 20_000], add_special_tokens=False), strict=True):
+                base[c] = array("I", e.ids).tobytes()
+        out, once, top = [], self.once, len(self.once) - 1
+        for c in new:
+            ids = base.get(c)
+            if ids is None:
+                word = c[:-1]
+                ids = (base.get(word) or known[word]) + marks[c[-1]]
+            out.append(ids)
+            h = hash(c) & top
+            if once[h]:
+                known[c] = ids
+                self.held += 170 + 3 * len(c)
             else:
-                new.append(c)
-        found = [self.pattern.findall(c) for c in new] if new else []
-        if len(self.pieces) > self.keep:
-            self.pieces.clear()
-        self._learn([p for p in set().union(*found) if p not in self.pieces])
-        piece = self.pieces.__getitem__
-        for c, f in zip(new, found, strict=True):
-            kept[c] = piece(f[0]) if len(f) == 1 else b"".join(map(piece, f))
-        return [whole[k] if k in whole else b"".join(map(kept.__getitem__, chunks)) for k, chunks in enumerate(split)]
-
-    def _chunks(self, text: str) -> list[str]:
+                once[h] = 1
+        return out
+
+    def _encode(self, chunks: list[str], out: dict[str, bytes]) -> list[str]:
+        """Encode chunks together, into `out`; returns them if the ids don't show where each one ends."""
+        glue = " " if self.lower else ""
+        texts = [glue.join(chunks[k : k + 500]) for k in range(0, len(chunks), 500)]  # short texts stay in the processor's cache
+        ids = np.array([i for e in self.tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+        mark = np.flatnonzero(self.edge[ids])
         if self.lower:
-            return text.split()
-        # a space belongs to what follows it; cuts fall at single spaces only
-        if any(x in text for x in _DOUBLE) or text[0] == " " or text[-1] == " ":
-            return [p for part in cuts(text, 1 << 12) for p in self.pattern.findall(part)]
-        head, *tail = text.split(" ")
-        return [head, *[" " + c for c in tail]]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new pieces. Words are joined into one text where that splits into the same pieces again: with spaces if the splitting
-        drops them, else as they are if each is a space and letters. Which ids open (or close) a word shows where each one ends."""
-        if self.lower:
-            joined, rest, glue = new, [], " "
+            pieces = np.cumsum([1 if c.isalpha() else len(self.pattern.findall(c)) for c in chunks])
+            if len(mark) != pieces[-1] or (np.diff(pieces, prepend=0) == 0).any():
+                return chunks
+            stop = (mark[pieces - 1] + 1) * 4
         else:
-            joined, rest, glue = [p for p in new if p[0] == " " and p[1:].isalpha()], [p for p in new if not (p[0] == " " and p[1:].isalpha())], ""
-        if joined:
-            ids = np.array(self.tok.encode_batch_fast([glue.join(joined)], add_special_tokens=False)[0].ids, np.uint32)
-            mark = np.flatnonzero(self.edge[ids])
-            first = np.concatenate([[0], mark[:-1] + 1]) if self.lower else mark
-            if len(mark) == len(joined) and len(ids):
-                raw, stops = ids.tobytes(), np.append(first[1:], len(ids)) * 4
-                for p, a, z in zip(joined, (first * 4).tolist(), stops.tolist(), strict=True):
-                    self.pieces[p] = raw[a:z]
-            else:
-                rest = new
-        for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.pieces[p] = array("I", e.ids).tobytes()
+            if len(mark) != len(chunks) or mark[0] != 0:
+                return chunks
+            stop = np.append(mark[1:], len(ids)) * 4
+        raw, a = ids.tobytes(), 0
+        for c, z in zip(chunks, stop.tolist(), strict=True):
+            out[c] = raw[a:z]
+            a = z
+        return []
 
 
 def runs(texts: list[str | None], limit: int = 1 << 22):

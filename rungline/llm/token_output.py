@@ -1,7 +1,7 @@
 """Operator 1, token-id output: documents' ids in coded, checksummed blocks, in ascending doc_id order.
 
-Null text counts as empty (only the end id is written). A null doc_id is kept and comes first; rows with equal doc_id follow each other
-by text. Blocks hold whole documents: about `block_tokens` ids, or one longer document. The folder is a Parquet table of blocks, so any
+Null text counts as empty (only the end id is written). A null doc_id is kept and comes first; rows with equal doc_id follow each other by
+their texts' hash, and may lie in several partitions. An empty table makes no block; a very long text is a block of its own. Blocks hold whole documents: about `block_tokens` ids, or one longer document. The folder is a Parquet table of blocks, so any
 store that Spark writes to will do, half-written tasks are never seen, and a lost executor's task is simply run again."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_width
+from .common import bare, scratch_path, shuffle_width
 from .idcoder import decode_block, encode_block
 from .pieces import encoder, runs
 
@@ -22,7 +22,8 @@ BLOCKS = "part int, block int, part_start long, n_tokens long, n_docs int, data
 
 
 def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens: int = 4 << 20, width: int | None = None) -> None:
-    """Encode docs(doc_id, text) and write blocks to the folder `path`. Partitions follow doc_id by range, so part and block give the order."""
+    """Encode docs(doc_id, text) and write blocks to the folder `path`. Partitions follow (doc_id, the text's hash) by range, so part and
+    block give the order. width: how many partitions, by default one for each 20,000 rows and as many as a shuffle has at least."""
 
     def encode(batches):
         part, block, start = TaskContext.get().partitionId(), 0, 0
@@ -50,8 +51,9 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int,
         if docs_:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(width or shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    width = width or max(shuffle_width(docs.sparkSession), -(-docs.count() // 20_000))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = rows.repartitionByRange(width, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
     rows.mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -82,7 +84,7 @@ def _documents(spark, path: str, last: str, made) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 5000], pa.int64()), pa.array(s + start), pa.array(n), made([ids[a : a + c].tobytes() for a, c in zip(s, n, strict=True)])], ["doc_id", "start", "n_tokens", last.split()[0]])
 
     placed = blocks.join(F.broadcast(firsts), "part").select((F.col("part_start") + F.col("first")).alias("start"), "data")
-    return placed.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last}")
+    return placed.mapInArrow(bare(decode), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None, block_tokens: int = 4 << 20) -> DataFrame:
