@@ -1,8 +1,9 @@
 """Operator 7, byte-level BPE by speculation and verification, and its decoding.
 
-For each distinct piece of text a greedy longest match proposes tokens. A proposal is BPE's own result exactly when every adjacent pair
+Texts are cut at single spaces into chunks, and each new chunk into pieces; for each a greedy longest match proposes tokens. A proposal is BPE's own result exactly when every adjacent pair
 of its tokens stays two tokens when encoded alone; that is tested for all pairs at once on arrays, by undoing merges. Only pieces with a
-failing pair are merged exactly, rank by rank. Null text counts as empty: no ids, and the digests of empty strings."""
+failing pair are merged exactly, rank by rank. Null text counts as empty: no ids, and the digests of empty strings. Rows with null or
+repeated doc_id are encoded like any other; an empty table gives no rows; a very long text is encoded whole, by itself."""
 
 from __future__ import annotations
 
@@ -11,12 +12,13 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_model
-from .pieces import _BYTE_LEVEL, cuts, ordinary, runs
+from .pieces import _BYTE_LEVEL, cuts, numbered, ordinary, runs, spaced
 
 #: Fixed value: the splitting pattern for any text, with Unicode's white space spelled out.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -32,7 +34,7 @@ def _byte_letters() -> list[str]:
 
 
 class SpeculativeBPE:
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 128 << 20):
         import ahocorasick
 
         with open(path, encoding="utf-8") as f:
@@ -61,18 +63,22 @@ class SpeculativeBPE:
             self.rank.setdefault((x, y), (k, i))
             if self.order[i] < 0:
                 self.order[i], self.left[i], self.right[i] = n_bytes + k, x, y
-        pair = np.array([[x, y, k] for (x, y), (k, _) in self.rank.items()], np.int64).reshape(-1, 3)
+        pair = np.array([[x, y, k, i] for (x, y), (k, i) in self.rank.items()], np.int64).reshape(-1, 4)
         key = pair[:, 0] * size + pair[:, 1]
         by = np.argsort(key)
-        self.pair_key, self.pair_order, self.size = key[by], pair[by, 2] + n_bytes, size
-        self.byte_id = [vocab[c] for c in letters]
+        self.pair_key, self.pair_order, self.pair_new, self.size = key[by], pair[by, 2] + n_bytes, pair[by, 3], size
+        self.byte_id = np.array([vocab[c] for c in letters], np.int64)
         self.match = ahocorasick.Automaton()
         for t, i in vocab.items():
             if self.order[i] >= 0:
                 self.match.add_word(t, i)
         self.match.make_automaton()
         self.to_letters = {b: c for b, c in enumerate(letters)}
-        self.keep, self.kept = keep, {}
+        #: for each known piece its number of ids, the ids as text, and their bytes: about `keep` bytes; as much at most of chunks
+        self.keep, self.held, self.known_pieces = keep, 0, {}
+        self.held_chunks, self.known = 0, {"": (0, "", b"")}
+        self.once = bytearray(1 << 22)  # by hash: was a chunk new before? A chunk that comes but once isn't kept
+        self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.speculated = self.failed = 0
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,24 +105,32 @@ class SpeculativeBPE:
             live, x, y, limit = live[go], x[go], y[go], limit[go]
         return ok
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """Exact merging, lowest rank first, leftmost first."""
-        ids = list(ids)
-        while len(ids) > 1:
-            best = min((self.rank.get(p, (1 << 30, 0)) for p in zip(ids, ids[1:], strict=False)), key=lambda r: r[0])
-            if best[0] == 1 << 30:
-                break
-            k, new = best
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (r := self.rank.get((ids[i], ids[i + 1]))) and r[0] == k:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging of many words: in each round every word merges its pair of lowest rank wherever it stands, from the left."""
+        size = np.array([len(w) for w in words], np.int64)
+        ids, word = self.byte_id[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), size)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            key = np.append(ids[:-1] * self.size + ids[1:], -1)
+            at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+            new = np.append(word[1:] != word[:-1], True)  # the last token of a word has no pair
+            order = np.where((self.pair_key[at] == key) & ~new, self.pair_order[at], _INF)
+            start = np.concatenate([[0], np.flatnonzero(new)[:-1] + 1])
+            low = np.minimum.reduceat(order, start)
+            count = np.diff(np.append(start, len(ids)))
+            open_ = np.repeat(low < _INF, count)
+            done.append((word[~open_], ids[~open_]))
+            # of pairs that overlap (in runs of one token) every other one
+            hit = np.flatnonzero(open_ & (order == np.repeat(low, count)))
+            first = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+            hit = hit[(np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))) % 2 == 0]
+            ids[hit] = self.pair_new[at[hit]]
+            open_[hit + 1] = False
+            ids, word = ids[open_], word[open_]
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 2
+        by = np.argsort(word, kind="stable")
+        cut, flat = np.searchsorted(word[by], np.arange(len(words) + 1)).tolist(), ids[by].tolist()
+        return [flat[a:z] for a, z in zip(cut, cut[1:], strict=False)]
 
     def encode_pieces(self, texts: list[str]) -> list[list[int]]:
         raw = [t.encode() for t in texts]
@@ -136,11 +150,15 @@ class SpeculativeBPE:
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         flat = ids.tolist()
         # a proposal must also cover its piece
-        lens = np.array([len(b) for b in self.bytes], np.int64)
-        covered = np.bincount(owner, weights=lens[ids], minlength=len(texts)) if len(ids) else np.zeros(len(texts))
+        covered = np.bincount(owner, weights=self.length[ids], minlength=len(texts)) if len(ids) else np.zeros(len(texts))
         bad |= covered != [len(r) for r in raw]
         self.speculated, self.failed = self.speculated + len(texts), self.failed + int(bad.sum())
-        return [self.merge([self.byte_id[c] for c in raw[k]]) if bad[k] else flat[first[k] : first[k + 1]] for k in range(len(texts))]
+        cut = first.tolist()
+        out = [flat[a:z] for a, z in zip(cut, cut[1:], strict=False)]
+        wrong = np.flatnonzero(bad).tolist()
+        for k, made in zip(wrong, self.merge([raw[k] for k in wrong]), strict=True):
+            out[k] = made
+        return out
 
     def split(self, text: str) -> list[str]:
         fast = ordinary(text)
@@ -158,20 +176,76 @@ class SpeculativeBPE:
             return out
         return self.split(text)
 
-    def encode_many(self, texts: list[str]) -> list[list[tuple[list[int], str, bytes]]]:
-        """For each text its pieces as (ids, the ids as text, the ids' bytes)."""
-        split = [self.pieces(t) for t in texts]
-        if len(self.kept) > self.keep:
-            self.kept.clear()
+    def encode_chunks(self, chunks: list[str], split=_BYTE_LEVEL.findall) -> list[tuple[int, str, bytes]]:
+        """For each distinct chunk (by default of an ordinary text): how many ids, the ids as text, their bytes. New chunks are encoded together."""
+        got = list(map(self.known.get, chunks))
+        new = [c for c, g in zip(chunks, got, strict=True) if g is None]
+        if not new:
+            return got
+        if self.held_chunks > self.keep // 2:  # what these texts use stays: that holds the frequent chunks
+            self.known = {"": (0, "", b"")} | {c: g for c, g in zip(chunks, got, strict=True) if g is not None}
+            self.held_chunks, self.once = sum(map(self._size, self.known.values())), bytearray(len(self.once))
+        split = [split(c) for c in new]
+        if self.held > self.keep:
+            self.known_pieces, self.held = {}, 0
+        known = self.known_pieces
         for s, i in self.special.items():
-            self.kept[s] = ([i], str(i), self.bytes[i])
-        new = [p for p in set().union(*split) if p not in self.kept]
-        for p, ids in zip(new, self.encode_pieces(new), strict=True):
-            self.kept[p] = (ids, ",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids]))
-        return [[self.kept[p] for p in s] for s in split]
+            known[s] = 1, str(i), self.bytes[i]
+        todo = [p for p in set().union(*split) if p not in known]
+        for at in range(0, len(todo), 20_000):
+            for p, ids in zip(todo[at : at + 20_000], self.encode_pieces(todo[at : at + 20_000]), strict=True):
+                known[p] = made = len(ids), ",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids])
+                self.held += self._size(made)
+        fresh, top = [], len(self.once) - 1
+        for c, s in zip(new, split, strict=True):
+            if len(s) == 1:
+                made = known[s[0]]
+            else:
+                n, said, raw = zip(*[known[p] for p in s], strict=True)
+                made = sum(n), ",".join(said), b"".join(raw)
+            fresh.append(made)
+            h = hash(c) & top
+            if self.once[h]:
+                self.known[c] = made
+                self.held_chunks += self._size(made)
+            else:
+                self.once[h] = 1
+        fresh = iter(fresh)
+        return [next(fresh) if g is None else g for g in got]
+
+    @staticmethod
+    def _size(made: tuple) -> int:
+        return 250 + len(made[1]) + 2 * len(made[2])
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[bytes]]:
+        """For each text: how many ids, the ids as text joined by commas, and their bytes."""
+        ready, whole = [], {}
+        for k, t in enumerate(texts):
+            if t and (not ordinary(t) or any(s in t for s in self.special)):
+                whole[k] = self._whole(t)
+                t = ""
+            ready.append(spaced(t) if t else "")
+        chunks, code, stop = numbered(ready)
+        made = self.encode_chunks(chunks)
+        n, said, raw = zip(*made, strict=True) if made else ((), (), ())
+        # a chunk without ids (an empty text) adds no comma
+        offsets = pa.array(np.concatenate([[0], stop]), pa.int32())
+        joined = lambda values, sep: pc.binary_join(pa.ListArray.from_arrays(offsets, values.take(pa.array(code))), pa.scalar(sep, values.type))
+        ids, plain = joined(pa.array(said, pa.large_string()), ","), joined(pa.array(raw, pa.large_binary()), b"")
+        counts = np.concatenate([[0], np.cumsum(np.asarray(n, np.int64)[code])])[np.concatenate([[0], stop])]
+        counts, ids, plain = np.diff(counts), ids.to_pylist(), plain.to_pylist()
+        for k, (x, y, z) in whole.items():
+            counts[k], ids[k], plain[k] = x, y, z
+        return counts, ids, plain
+
+    def _whole(self, text: str) -> tuple[int, str, bytes]:
+        """A text that isn't cut at spaces: its pieces are the chunks."""
+        made = dict(zip(found := list(dict.fromkeys(split := self.pieces(text))), self.encode_chunks(found, lambda p: [p]), strict=True))
+        return sum(made[p][0] for p in split), ",".join([made[p][1] for p in split]), b"".join([made[p][2] for p in split])
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.encode_many([text])[0] for i in ids]
+        said = self.encode_many([text])[1][0]
+        return [int(i) for i in said.split(",")] if said else []
 
     def decode(self, ids) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", errors="replace")
@@ -188,16 +262,13 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = model(path)
         for b in batches:
-            docs_, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            out: list[tuple] = []
+            texts, n, ids, plain = [t or "" for t in b.column(1).to_pylist()], [], [], []
             for a, z in runs(texts):
-                for coded in bpe.encode_many(texts[a:z]):
-                    said = ",".join([c for _, c, _ in coded])
-                    raw = b"".join([r for _, _, r in coded])
-                    plain = raw.decode("utf-8", errors="replace").encode()
-                    out.append((said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([docs_, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                count, said, raw = bpe.encode_many(texts[a:z])
+                n.append(count)
+                ids += [hashlib.sha256(x.encode()).hexdigest() for x in said]
+                plain += [hashlib.sha256(x.decode("utf-8", errors="replace").encode()).hexdigest() for x in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n or [np.zeros(0, np.int64)])), pa.array(ids, pa.string()), pa.array(plain, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
