@@ -3,19 +3,23 @@
 A text's terms are its bytes in threes, hashed to `terms` columns, and a few columns for words that repeat the word before them or a
 recent pair of words. Term weights 1 + ln(count), times the idf of the labelled sample, form a unit vector that a truncated SVD of the
 sample takes to `rank` latent dimensions. Every document is compared with all labelled vectors by exact blocked cosine products, and its
-nearest `neighbours` vote with their similarity.
+nearest `neighbours` vote. A vote weighs the similarity to the eighth power, which lets near neighbours decide, times how often the
+neighbour's label occurs against its share of the sample. All neighbours as near as the last of the `neighbours` vote, so ties don't
+depend on an order.
 
-The labelled sample is bounded: at most `per_label` rows of each label, by a hash of doc_id. Null and empty texts have no terms and get
-the sample's share of label 1, as does every text if no labels exist. Labels other than 0 and 1 are not used."""
+The labelled sample is bounded: at most `per_label` rows of each label, exactly those with the least hashes of doc_id. Null and empty texts
+have no terms and get the sample's share of label 1, as does every text if no labels exist. Labels other than 0 and 1 are not used; of
+labels that differ for one doc_id the least counts, and of texts that share a doc_id one is learned from. Rows with null or repeated doc_id
+are scored like any other; an empty table gives no rows; a very long text counts whole."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, slices, word_hashes, words, worker_model
+from .common import LOWER, bare, fold, free_names, slices, word_hashes, words, worker_model
 
 TERMS, EXTRA = 4096, 2
 EXTRA_WEIGHT = 8.0  # a repetition term against a single byte term
@@ -90,24 +94,30 @@ class NeighbourModel:
         for at in range(0, len(y), block):
             part = y[at : at + block]
             sim = part @ self.vectors.T
-            near = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k < sim.shape[1] else np.tile(np.arange(sim.shape[1]), (len(part), 1))
-            w = np.maximum(np.take_along_axis(sim, near, 1), 0) ** 8 * self.weight[near]
-            total = w.sum(axis=1)
+            last = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+            near = np.maximum(sim, 0)
+            near *= sim >= last[:, None]
+            for _ in range(3):
+                near *= near
+            total = near @ self.weight
+            good = near @ (self.weight * self.labels)
             there = total > 0
-            out[at : at + block][there] = ((w * self.labels[near]).sum(axis=1)[there] / total[there])
+            out[at : at + block][there] = good[there] / total[there]
         out[counts.sum(axis=1) == 0] = self.prior
         return np.clip(out, 0.0, 1.0)
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_rows: Column, per_label: int = 2048) -> NeighbourModel:
-    """Fit on at most per_label rows of each label among docs where learn_rows holds; their term counts come to the driver."""
-    marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("__q"))
-    known = docs.where(learn_rows).select("doc_id", F.col("text").cast("string").alias("text")).join(marks, "doc_id")
-    size = docs.where(learn_rows).select("doc_id").join(marks, "doc_id").groupBy("__q").agg(F.count("*").alias("n")).collect()
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30))
-    pick = F.lit(False)
-    for r in size:
-        pick = pick | ((F.col("__q") == r["__q"]) & (draw < int(min(1.0, 1.3 * per_label / r.n + 0.001) * (1 << 30))))
+    """Fit on at most per_label rows of each label among docs where learn_rows holds; their term counts come to the driver.
+
+    Ids meet their labels and are chosen first; only the chosen rows' texts are read."""
+    marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("q"))
+    ids = docs.where(learn_rows).select("doc_id").distinct().join(marks, "doc_id").withColumn("draw", F.xxhash64(F.lit(11), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("draw", "doc_id"))
+    size = ids.groupBy("q").agg(F.count("*").alias("n")).collect()
+    chosen = ids.withColumn("k", place).where(F.col("k") <= per_label).select("doc_id", "q", "draw")
+    texts = docs.where(learn_rows).select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "q", "draw").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def count(batches):
         for b in batches:
@@ -116,16 +126,11 @@ def learn(docs: DataFrame, labels: DataFrame, learn_rows: Column, per_label: int
                 rows = [np.flatnonzero(x) for x in c]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(start, len(rows)), b.column(2).slice(start, len(rows)), pa.array([i.astype("<u2").tobytes() for i in rows]), pa.array([x[i].astype("<f4").tobytes() for x, i in zip(c, rows, strict=True)])], ["q", "draw", "at", "n"])
 
-    got = known.where(pick).select("text", F.col("__q").cast("int").alias("q"), draw.alias("draw")).mapInArrow(count, "q int, draw long, at binary, n binary").orderBy("draw", "at").collect()
-    kept, used = [], {0: 0, 1: 0}
-    for r in got:
-        if used[r.q] < per_label:
-            used[r.q] += 1
-            kept.append(r)
+    kept = texts.select("text", "q", "draw").mapInArrow(bare(count), "q int, draw long, at binary, n binary").orderBy("draw", "at").collect()
     counts = np.zeros((len(kept), TERMS + EXTRA), np.float32)
     for k, r in enumerate(kept):
         counts[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    total = {r["__q"]: r.n for r in size}
+    total = {r.q: r.n for r in size}
     prior = total.get(1, 0) / sum(total.values()) if total else 1.0
     return NeighbourModel(counts, np.array([r.q for r in kept], np.float32), prior)
 
@@ -157,5 +162,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, that score at least the threshold."""
+    (score,) = free_names(docs, "__score")
     udf = scorer(docs.sparkSession, learn(docs, labels, fold(F.col("doc_id"), 5) != 0))
-    return docs.withColumn("__score", udf(F.col("text").cast("string"))).where(F.col("__score") >= threshold).drop("__score")
+    return docs.withColumn(score, udf(F.col("text").cast("string"))).where(F.col(score) >= threshold).drop(score)
