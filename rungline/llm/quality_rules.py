@@ -1,31 +1,30 @@
 """Operator 8, quality rules with risk-controlled thresholds (DataFrame and SQL functions only).
 
-Each rule rejects documents whose measure lies above a cutoff. Cutoffs are learned in each stratum from the labelled good documents that
-pass the base rules: a cutoff is certified if, with k of n such documents above it, P(Binomial(n, max_false / rules) <= k) is at most
-error / (strata x rules x grid), the exact one-sided bound with Bonferroni's correction. Then with probability 1 - error all rules
-together reject at most max_false of the good documents of any stratum. Each rule takes its smallest certified cutoff, or none.
+Each rule rejects documents whose measure lies above a cutoff. Every stratum has a path of settings of all rules together, from the
+loosest to the tightest, made from one half of its labelled good documents that pass the base rules: above their largest measures by ever
+less, then at ever lower quantiles. The other half is the holdout. Along the path settings are tested in a fixed sequence: with k of n
+holdout documents rejected by any rule, a setting is certified if P(Binomial(n, max_false) <= k) is at most error / strata, the exact
+one-sided bound with Bonferroni's correction for the strata, and the first setting that isn't ends the sequence (which is why its steps
+need no correction). So with probability 1 - error the rules together reject at most max_false of the good documents of any stratum. The
+tightest certified setting holds; without one, as where the holdout is too small for any bound, a stratum has the base rules only.
 
-Null or empty text has no words (base_failed). A null stratum is a stratum of its own; one without labels has the base rules only.
-Repeated doc_ids keep their rows; a label counts for each of them."""
+Null or empty text has no words (base_failed). A null stratum is a stratum of its own. Repeated and null doc_ids keep their rows; a label
+counts for each row of its doc_id. Very long texts count whole; an empty table gives no rows."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Measures of the rules, over 1 word at least, and their grids of cutoffs.
-RULES: dict[str, list[float]] = {
-    "symbol_share": [k / 50 for k in range(1, 21)],
-    "dup_line_share": [k / 20 for k in range(1, 20)],
-    "repeat_share": [k / 40 for k in range(1, 20)],
-    "upper_share": [k / 20 for k in range(1, 20)],
-    "mean_word": [4 + k / 2 for k in range(1, 25)],
-}
-
+RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "mean_word")
+#: The path: multiples of the largest measure in the first half, then quantiles there.
+WIDER = (3.0, 2.0, 1.5, 1.25, 1.1, 1.0)
+QUANTILES = (0.9995, 0.999, 0.998, 0.997, 0.996, 0.995, 0.994, 0.993, 0.992, 0.991, 0.99)
+STEPS = len(WIDER) + len(QUANTILES)
 
 
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -83,28 +82,49 @@ def most_allowed(n: int, max_false: float, error: float) -> int:
     return low
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, max_false: float, error: float) -> list[dict]:
-    """One row for each stratum with labels: its value and a cutoff or None for each rule."""
+def paths(good: DataFrame, stratum: str) -> DataFrame:
+    """For each stratum of the first half: __s, and for each rule its cutoffs from the loosest to the tightest."""
+    agg = []
+    for r in RULES:
+        wide = [F.max(r) * w + F.lit(0.01 * (w > 1)) for w in WIDER]
+        fine = F.percentile_approx(r, list(QUANTILES), 10_000)
+        agg.append(F.concat(F.array(*wide), fine).alias(f"path_{r}"))
+    return good.groupBy(F.col(stratum).alias("__s")).agg(*agg)
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, max_false: float, error: float, most_strata: int = 10_000) -> DataFrame:
+    """__s and a cutoff of each rule, for each stratum with a certified setting. At most most_strata strata, of STEPS rows each, come to the driver."""
     good = measured.join(labels.where("quality = 1").select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi").where(~F.col("base_failed"))
-    above = [F.count_if(F.col(r) > c).alias(f"{r}_{k}") for r, grid in RULES.items() for k, c in enumerate(grid)]
-    rows = good.groupBy(stratum).agg(F.count("*").alias("n"), *above).collect()  # one row a stratum
-    share = error / max(1, len(rows) * sum(map(len, RULES.values())))
-    out = []
-    for r in rows:
-        # a document goes by any rule, so the rules share max_false
-        most = most_allowed(r.n, max_false / len(RULES), share)
-        out.append({"__stratum": r[stratum]} | {f"cut_{rule}": next((c for k, c in enumerate(grid) if r[f"{rule}_{k}"] <= most), None) for rule, grid in RULES.items()})
-    return out
+    half = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("|half")).cast("binary")) % 2
+    path = written(paths(good.where(half == 0), stratum), "paths")  # percentiles may differ when made again: the setting tested is the one used
+    held = good.where(half == 1).join(path, F.col(stratum).eqNullSafe(F.col("__s")))
+    # the first step of the path that rejects a document by any rule
+    first = F.least(*[F.size(F.filter(f"path_{r}", lambda c: c >= F.col(r))) for r in RULES])  # noqa: B023
+    counts = held.groupBy("__s", first.alias("step")).agg(F.count("*").alias("n")).limit(most_strata * (STEPS + 1) + 1).collect()
+    steps: dict = {}
+    for r in counts:
+        steps.setdefault(r["__s"], [0] * (STEPS + 1))[r.step] = r.n
+    if len(steps) > most_strata or len(counts) > most_strata * (STEPS + 1):
+        raise ValueError(f"more than {most_strata} strata in {stratum}")
+    chosen = []
+    for s, n in steps.items():
+        most, rejected, last = most_allowed(sum(n), max_false, error / len(steps)), 0, None
+        for k in range(STEPS):
+            rejected += n[k]
+            if rejected > most:
+                break
+            last = k
+        if last is not None:
+            chosen.append((s, last))
+    kind = measured.schema[stratum].dataType.simpleString()
+    steps_ = measured.sparkSession.createDataFrame(chosen, f"__t {kind}, __k int")
+    return path.join(F.broadcast(steps_), F.col("__s").eqNullSafe(F.col("__t"))).select("__s", *[F.get(f"path_{r}", F.col("__k")).alias(f"cut_{r}") for r in RULES])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_false: float = 0.02, error: float = 0.05) -> DataFrame:
-    """doc_id, the base measures, base_failed and kept for each row. `stratum` must have few values (it is grouped to the driver)."""
+    """doc_id, the base measures, base_failed and kept for each row."""
     measured = _shares(written(measures(docs, ["doc_id", stratum]), "measures"))
-    learned = cutoffs(measured, labels, stratum, max_false, error)
-    rejected = F.lit(False)
-    for row in learned:
-        here = F.col(stratum).eqNullSafe(F.lit(row["__stratum"]))
-        for rule in RULES:
-            if row[f"cut_{rule}"] is not None:
-                rejected = rejected | (here & (F.col(rule) > row[f"cut_{rule}"]))
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+    cuts = written(cutoffs(measured, labels, stratum, max_false, error), "cutoffs")  # a row for each of at most most_strata strata
+    both = measured.join(F.broadcast(cuts), F.col(stratum).eqNullSafe(F.col("__s")), "left")
+    rejected = F.greatest(*[F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES])
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
