@@ -4,7 +4,8 @@ Each document descends region, rack and shard: at every level each child makes a
 -ln(u) / weight, and the smallest draw wins, so children get rows in proportion to their weights. A subtree whose weight grows can only
 gain rows and others only lose rows to it, so a new shard in a region of its own takes rows only into itself.
 
-A null doc_id counts as an empty key, rows with equal doc_id share a shard, and a null text has size 1 and the CRC-32 of no bytes."""
+A null doc_id counts as an empty key, rows with equal doc_id share a shard, and a null text has size 1 and the CRC-32 of no bytes. A very
+long text is one row like any other, and an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -58,16 +59,19 @@ def descend(df: DataFrame, tree: list[Shard], out: str, key: str = "__key") -> D
     return at.drop("__region", "__rack")
 
 
-def shard_documents(docs: DataFrame, tree: list[Shard] | None = None, grown: list[Shard] | None = None, buckets: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, tree: list[Shard] | None = None, grown: list[Shard] | None = None, bucket_rows: int = 20_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row. Slots are numbered in (shard, hash bucket), so no task holds
-    a whole shard; the buckets' counts (shards x buckets) give each bucket its first slot."""
+    a whole shard; a bucket has about bucket_rows rows, whatever the table's size, and the buckets' counts give each its first slot."""
     tree = tree or default_tree(8)
     grown = grown or default_tree(len(tree) + 1)
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key"))
     rows = descend(descend(rows, tree, "shard"), grown, "grown_shard")
-    rows = rows.withColumn("bucket", F.conv(F.substring(F.md5(F.concat(F.col("__key"), F.lit("|slot")).cast("binary")), 1, 8), 16, 10).cast("long") % buckets).drop("__key")
+    # rows that repeat an id, as null ones do, are spread by their text and input partition too
+    rows = rows.withColumn("mark", F.xxhash64("__key", "text_crc32", F.spark_partition_id())).drop("__key")
     table = written(rows, "shards")
+    buckets = 16 + table.count() // (bucket_rows * len(tree))
+    table = table.withColumn("bucket", F.pmod("mark", F.lit(buckets)).cast("int")).drop("mark")
     counts = table.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     firsts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
