@@ -433,7 +433,8 @@ def fit(gathered: DataFrame, max_nodes: int, max_words: int, width: int) -> Mode
 
 
 def score_documents(docs: DataFrame, held_out: Column | None = None, max_windows: int = 1 << 21, max_words: int = 1 << 19) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns from the rows that are not held out.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (coded, with the end sign) and bits_per_byte, the code
+    length per byte, for each row; learns from the rows that are not held out.
 
     max_windows, max_words: how many windows and words are broadcast at most; the results don't depend on them."""
     spark = docs.sparkSession
@@ -485,10 +486,10 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, max_windows
                     z = min(n, a + 2000)
                     tail = pa.ListArray.from_arrays(pa.array((rest_cut[a : z + 1] - rest_cut[a]).astype(np.int32)), pa.array(rest[rest_cut[a] : rest_cut[z]]))
                     lists = pa.ListArray.from_arrays(pa.array((cut[a : z + 1] - cut[a]).astype(np.int32)), pa.array(rare[cut[a] : cut[z]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a:z]), b.column(0).slice(start + a, z - a), b.column(1).slice(start + a, z - a), pa.array(np.diff(first)[a:z] + 1), pa.array(n_known[a:z].astype(np.int64)), pa.array(base[a:z]), pa.array(sums[a:z]), lists, tail], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "tail"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a:z]), b.column(0).slice(start + a, z - a), b.column(1).slice(start + a, z - a), pa.array(np.diff(first)[a:z] + 1), pa.array(n_known[a:z].astype(np.int64)), pa.array(base[a:z]), pa.array(sums[a:z]), pa.array(np.diff(stop, prepend=0)[a:z]), lists, tail], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "rare", "tail"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = written(rows.mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>, tail array<long>"), "scores")
+    scored = written(rows.mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, rare array<long>, tail array<long>"), "scores")
     # words beyond the broadcast ones: occurrences meet their counts by hash
     rare = scored.select("row", F.explode("rare").alias("key"))
     found = rare.join(gathered.where("kind = 0").select("key", "n"), "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
@@ -497,4 +498,4 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, max_windows
     norm = float(np.log10(tokens + 1.0 * (distinct + 1)))
     both = scored.drop("rare", "tail").join(found, "row", "left")
     both = both.withColumn("tail_logs", F.lit(0.0)) if all_windows_held else both.join(tail, "row", "left")
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col("score") + F.coalesce("tail_logs", F.lit(0.0))).alias("score"))
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col("score") + F.coalesce("tail_logs", F.lit(0.0))).alias("score"), "n_bytes").withColumn("bits_per_byte", -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes"))
