@@ -138,11 +138,31 @@ def test_languages_of_awkward_texts(spark):
     assert {r.lang_pred for r in language.identify(frame(spark, nothing)).collect()} == {"und"}
 
 
-def test_ties_are_rejected(spark):
+def test_ties_and_narrow_margins_are_rejected(spark):
     df = spark.createDataFrame([("ab cd",), ("",), (None,), ("12 34",)], "text string")
-    udf = language.predictor({"x": b"the same words", "y": b"the same words"})
+    udf = language.predictor(language.Languages({"x": b"the same words", "y": b"the same words"}))
     got = df.select(udf("text").alias("p")).select("p.*").collect()
     assert [tuple(r) for r in got] == [("x", 0.0, True), ("und", 0.0, True), ("und", 0.0, True), ("und", 0.0, True)]
+    model = language.Languages({"x": b"some words of one language", "y": b"andere Worte einer anderen"})
+    ways = language.compressors(model)
+    text = " ".join(f"q{k}" for k in range(3000))
+    sizes, order = language.measured(text.encode(), ways)
+    share = (sizes[order[1]] - sizes[order[0]]) / sizes[order[0]]
+    assert language.predicted(text, ["x", "y"], ways, share + 1e-3)[2] and language.predicted("some words", ["x", "y"], ways, 0.02)[0] == "x"
+
+
+def test_a_language_of_many_like_texts_is_learned(spark):
+    """Thousands of rows may share one id and one length, or one text, or all be long: every language is learned, from its whole texts."""
+    rng = np.random.default_rng(2)
+    prose = lambda words, n: " ".join(rng.choice(words, n))
+    en, de, fr = (["the", "of", "then", "with", "thing"], ["der", "und", "nicht", "auch", "wird"], ["les", "une", "dans", "pour", "mais"])
+    rows = [(4, prose(en, 30)[:90].ljust(90, "x"), "en", "web", 90) for _ in range(2000)] + [(100 + k, prose(de, 30), "de", "web", 1) for k in range(60)]
+    rows += [(7, "le même texte", "es", "web", 1)] * 3000 + [(200 + k, prose(fr, 6000), "fr", "web", 1) for k in range(5)]
+    model = language.learn(frame(spark, rows), F.lit(True))
+    assert set(model.dictionaries) == {"en", "de", "es", "fr"} and len(model.dictionaries["fr"]) > 60_000
+    assert len(model.dictionaries["es"]) == len("le même texte".encode())
+    again = language.learn(frame(spark, rows[::-1]), F.lit(True))
+    assert again == model
 
 
 # ---------------------------------------------------------------- operator 6
@@ -193,7 +213,17 @@ def test_neighbours_are_exact():
     want = []
     for v in y:
         sim = m.vectors @ v
-        near = np.argsort(-sim)[: m.neighbours]
+        near = np.flatnonzero(sim >= np.sort(sim)[-m.neighbours])
         w = np.maximum(sim[near], 0) ** 8 * m.weight[near]
         want.append((w * labels[near]).sum() / w.sum())
     assert np.allclose(m.score(new, block=16), want, atol=1e-4)
+
+
+def test_latent_axes_span_the_sample():
+    """The truncated decomposition leaves no more of the sample than an exact one does, nearly."""
+    rng = np.random.default_rng(7)
+    counts = rng.poisson(0.05, (200, quality_model.TERMS + quality_model.EXTRA)).astype(np.float32)
+    m = quality_model.NeighbourModel(counts, (rng.random(200) < 0.5).astype(np.float32), 0.5, rank=32)
+    x = quality_model.weigh(counts, m.idf)
+    exact = np.linalg.svd(x, compute_uv=False)[:32]
+    assert np.square(x @ m.axes).sum() > 0.97 * np.square(exact).sum()
