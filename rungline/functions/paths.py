@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BASE = r"^(?:\\[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*|[A-Za-z_][A-Za-z0-9_]*(?::[A-Za-z0-9_]+)*)"
+# The controller's grammar of tags, literals, module tags and indexes.
+#: The leading tag of an operand.
+BASE = r"^(?:\\[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*|[A-Za-z_][A-Za-z0-9_]*(?::[A-Za-z0-9_]+)*)"
+#: Where an operand has a leading tag.
+HAS_BASE = r"^(?:[A-Za-z_]|\\[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_])"
 #: A path inside an expression; a letter right after a digit or # belongs to a literal such as 16#FF.
 IDENTIFIER = r"(?<![A-Za-z0-9_#\\.])(\\?[A-Za-z_][A-Za-z0-9_:]*(?:\.[A-Za-z0-9_:]+|\[[^\]]*\])*)"
 
 
 def base_tag(operand: Column) -> Column:
     """Leading tag of an operand (`Tag.Member[1]` -> `Tag`, `\\Prog.Tag` -> `\\Prog.Tag`); null if there is none."""
-    got = F.regexp_extract(F.trim(operand), _BASE, 0)
+    got = F.regexp_extract(F.trim(operand), BASE, 0)
     return F.when(got != "", got)
 
 
@@ -44,3 +50,13 @@ def natural_key(name: Column, width: int = 12) -> Column:
     """A key that sorts digit runs by value: each run is padded with zeros to `width` digits."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+
+
+def split_base(path: str) -> str:
+    """The part of a query before its first member or index."""
+    return re.split(r"[.\[]", path, maxsplit=1)[0]
+
+
+def place(n: Column, is_st: Column) -> Column:
+    """`#12` for a rung, `#L13` for a line, which counts from 1."""
+    return F.when(is_st, F.concat(F.lit("#L"), (n + 1).cast("string"))).otherwise(F.concat(F.lit("#"), n.cast("string")))

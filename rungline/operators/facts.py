@@ -1,7 +1,8 @@
 """The fact table of operand uses: every unit is parsed once, all else is joins and projections.
 
-units: any key columns, n and txt (a rung, or one line of a routine). Instruction tables are fixed and small, so they are broadcast; tables
-of a project (tags, signatures) grow with the input and their joins are left to the optimizer."""
+units: any key columns, n and txt (a rung, or one line of a routine). Instruction tables are fixed and small, so they are literals; tables
+of a project (tags, signatures) grow with the input and their joins are left to the optimizer. Where both sides of a join have a column
+project, they meet within the project."""
 
 from __future__ import annotations
 
@@ -13,7 +14,16 @@ from ..functions import paths, rung, tables
 
 def instructions(units: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pos, name, operands, text: one row for each instruction of each unit."""
-    return units.select(*keys, F.explode(rung.instructions_of(F.col("txt"))).alias("i")).select(*keys, "i.*")
+    return rung.instruction_rows(units, keys)
+
+
+def _within(*frames: DataFrame) -> list[str]:
+    return ["project"] if all("project" in f.columns for f in frames) else []
+
+
+def operands(units: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pos, name, idx, operand: one row for each operand of each instruction."""
+    return instructions(units, keys).select(*keys, "pos", "name", F.posexplode("operands").alias("idx", "operand"))
 
 
 def operand_uses(units: DataFrame, keys: list[str], aoi_args: DataFrame | None = None, aoi_inner: DataFrame | None = None) -> DataFrame:
@@ -21,42 +31,63 @@ def operand_uses(units: DataFrame, keys: list[str], aoi_args: DataFrame | None =
 
     aoi_args(aoi upper, ord from 1, param, usage): arguments of user-defined instructions after the instance. aoi_inner(aoi, param lower,
     suffix, is_write): what their logic does with in-out parameters. A known mnemonic hides a user-defined one of the same name."""
-    written = [f"{k}#{i}" for k, v in tables.WRITES.items() for i in v]
-    known = F.col("name").isin(*tables.WRITES)
-    ops = instructions(units, keys).select(*keys, "pos", "name", F.posexplode("operands").alias("idx", "operand"))
-    is_write = F.concat_ws("#", "name", "idx").isin(*written)
-    ops = ops.where(~(F.col("name").isin(*tables.NAME_FIRST) & (F.col("idx") == 0))).withColumn("is_write", is_write)
-    expression = F.col("name").isin(*tables.EXPRESSIONS) & ~F.col("is_write")
-    found = F.filter(F.regexp_extract_all("operand", F.lit(paths.IDENTIFIER), F.lit(1)), lambda x: ~F.upper(x).isin(*tables.EXPRESSION_FUNCTIONS))
-    operand = F.when(expression, found).when(~paths.is_literal(F.col("operand")), F.array("operand")).otherwise(F.array().cast("array<string>"))
-    out = [*keys, "pos", F.col("name").alias("instruction"), "operand", paths.base_tag(F.col("operand")).alias("base"), "is_write", "via", "idx"]
-    aois = None if aoi_args is None else aoi_args.select(F.col("aoi").alias("name")).where(~F.col("name").isin(*tables.WRITES)).distinct()
-    plain = ops if aois is None else ops.join(aois, "name", "left_anti")
-    plain = plain.withColumn("operand", F.explode(operand)).withColumn("via", F.lit(None).cast("string")).select(*out)
+    return classified(operands(units, keys), keys, aoi_args, aoi_inner)
+
+
+def classified(ops: DataFrame, keys: list[str], aoi_args: DataFrame | None = None, aoi_inner: DataFrame | None = None) -> DataFrame:
+    """Operand rows (keys, pos, name, idx, operand) as uses."""
+    out = [*keys, "pos", F.col("name").alias("instruction"), "operand", F.regexp_extract("operand", paths.BASE, 0).alias("base"), "is_write", "via", "idx"]
     if aoi_args is None:
-        return plain.where(F.col("base").isNotNull())
-    calls = ops.where(~known & ~paths.is_literal(F.col("operand")))
-    instance = calls.where("idx = 0").join(aois, "name", "left_semi").withColumns({"is_write": F.lit(True), "via": F.lit("instance")})
-    args = calls.where("idx > 0").drop("is_write").join(aoi_args.select(F.col("aoi").alias("name"), F.col("ord").alias("idx"), "param", "usage"), ["name", "idx"])
-    direct = args.where("usage <> 'InOut'").withColumns({"is_write": F.col("usage") == "Output", "via": F.col("param")})
-    inner = aoi_inner.select(F.col("aoi").alias("name"), F.col("param").alias("p"), "suffix", F.col("is_write").alias("w")).distinct()
-    inout = args.where("usage = 'InOut'").withColumn("p", F.lower("param")).join(inner, ["name", "p"], "left")
+        return _plain(ops).withColumn("via", F.lit(None).cast("string")).select(*out)
+    by = _within(ops, aoi_args)
+    aois = aoi_args.select(*by, F.col("aoi").alias("name")).where(~F.col("name").isin(*tables.WRITES)).distinct()
+    plain = _plain(ops.join(aois, [*by, "name"], "left_anti")).withColumn("via", F.lit(None).cast("string")).select(*out)
+    calls = ops.where(~F.col("name").isin(*tables.WRITES) & F.col("operand").rlike(paths.HAS_BASE)).join(aois, [*by, "name"], "left_semi")
+    return plain.unionByName(_through(calls, by, aoi_args, aoi_inner).select(*out))
+
+
+def _plain(ops: DataFrame) -> DataFrame:
+    """Uses of known and unknown instructions; operand 0 of a jump is no tag, and of an expression every tag is read."""
+    last = max(i for at in tables.WRITES.values() for i in at)
+    is_write = F.lit(False)
+    for i in range(last, -1, -1):
+        is_write = F.when(F.col("idx") == i, F.col("name").isin(*[n for n, at in tables.WRITES.items() if i in at])).otherwise(is_write)
+    ops = ops.where(~((F.col("idx") == 0) & F.col("name").isin(*tables.NAME_FIRST))).withColumn("is_write", is_write)
+    found = F.filter(F.regexp_extract_all("operand", F.lit(paths.IDENTIFIER), F.lit(1)), lambda x: ~F.upper(x).isin(*tables.EXPRESSION_FUNCTIONS))
+    expression = F.col("name").isin(*tables.EXPRESSIONS) & ~F.col("is_write") & ~paths.is_literal(F.col("operand"))
+    ops = ops.withColumn("operand", F.explode(F.when(expression, found).otherwise(F.array("operand"))))
+    return ops.where(F.col("operand").rlike(paths.HAS_BASE))  # which no literal has
+
+
+def _through(calls: DataFrame, by: list[str], aoi_args: DataFrame, aoi_inner: DataFrame | None) -> DataFrame:
+    """Uses by calls of user-defined instructions: the instance is written, the others follow the signature; what it doesn't say is read."""
+    sign = aoi_args.select(*by, F.col("aoi").alias("name"), F.col("ord").alias("idx"), "param", "usage")
+    instance = calls.where("idx = 0").withColumns({"is_write": F.lit(True), "via": F.lit("instance")})
+    args = calls.where("idx > 0").join(sign, [*by, "name", "idx"], "left").withColumn("usage", F.coalesce("usage", F.lit("Input")))
+    direct = args.where("usage <> 'InOut'").withColumns({"is_write": F.col("usage") == "Output", "via": F.coalesce("param", F.lit("?"))}).drop("param", "usage")
+    out = instance.unionByName(direct)
+    inout = args.where("usage = 'InOut'").withColumns({"p": F.lower("param"), "via": F.col("param")})
+    if aoi_inner is None:
+        inout = inout.withColumns({"suffix": F.lit(""), "w": F.lit(None).cast("boolean")})
+    else:
+        inner = aoi_inner.select(*by, F.col("aoi").alias("name"), F.col("param").alias("p"), "suffix", F.col("is_write").alias("w")).distinct()
+        inout = inout.join(inner, [*by, "name", "p"], "left")
     # logic that never touches the parameter may do anything with it
     inout = inout.withColumn("is_write", F.explode(F.when(F.col("w").isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array("w"))))
-    inout = inout.withColumns({"operand": F.concat("operand", F.coalesce("suffix", F.lit(""))), "via": F.col("param")})
-    return plain.unionByName(instance.select(*out)).unionByName(direct.select(*out)).unionByName(inout.select(*out)).where(F.col("base").isNotNull())
+    inout = inout.withColumn("operand", F.concat("operand", F.coalesce("suffix", F.lit("")))).select(*out.columns)
+    return out.unionByName(inout)
 
 
 def inner_uses(uses: DataFrame) -> DataFrame:
     """aoi, param, suffix, is_write from the uses in the logic of user-defined instructions (uses with a column aoi)."""
-    return uses.select("aoi", F.lower("base").alias("param"), F.expr("substr(operand, length(base) + 1)").alias("suffix"), "is_write").distinct()
+    return uses.select(*_within(uses), "aoi", F.lower("base").alias("param"), F.expr("substr(operand, length(base) + 1)").alias("suffix"), "is_write").distinct()
 
 
 def scoped(uses: DataFrame, tags: DataFrame, program: str = "program") -> DataFrame:
     """Add scope (the program's, else '' for the controller, else null), use_key and scope_base. tags: scope, name.
 
     Where both have a column project, names are looked up within the project, and keys hold it."""
-    by = ["project"] if "project" in uses.columns and "project" in tags.columns else []
+    by = _within(uses, tags)
     own = tags.where("scope <> ''").select(*by, F.col("scope").alias("__own"), F.lower("name").alias("__name")).distinct()
     wide = tags.where("scope = ''").select(*by, F.lower("name").alias("__name"), F.lit("").alias("__wide")).distinct()
     u = uses.withColumns({"__name": F.lower("base"), "__own": F.col(program)})
@@ -70,17 +101,22 @@ def keyed(uses: DataFrame, scope: Column) -> DataFrame:
     return uses.withColumns({"use_key": F.concat_ws("|", scope, paths.norm(F.col("operand"))), "scope_base": F.concat_ws("|", scope, F.lower("base"))})
 
 
-def without_partner(some: DataFrame, others: DataFrame) -> DataFrame:
-    """Rows of `some` whose path overlaps none of `others` (both keyed): an anti join on scope_base with the overlap as residual."""
+def partners(some: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """Rows of `some` whose path overlaps one of `others` (how = left_semi) or none (left_anti): equality on scope_base, the overlap as residual."""
     right = others.select(F.col("scope_base").alias("__b"), F.col("use_key").alias("__k")).distinct()
-    return some.join(right, (F.col("scope_base") == F.col("__b")) & paths.overlaps(F.col("use_key"), F.col("__k")), "left_anti")
+    return some.join(right, (F.col("scope_base") == F.col("__b")) & paths.overlaps(F.col("use_key"), F.col("__k")), how)
+
+
+def without_partner(some: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows of `some` whose path overlaps none of `others` (both keyed)."""
+    return partners(some, others, "left_anti")
 
 
-def dangling(uses: DataFrame, write: bool, keys: list[str]) -> DataFrame:
+def dangling(uses: DataFrame, write: bool, keys: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
     """Writes that nothing reads (write=True), or reads that nothing writes: by key, the first operand, instructions and number of places."""
     some, others = uses.where(F.col("is_write") == write), uses.where(F.col("is_write") != write)
     place = F.struct(*keys, "pos", "idx")
-    return without_partner(some, others).groupBy("use_key").agg(F.min_by("operand", place).alias("operand"), F.array_sort(F.collect_set("instruction")).alias("instructions"), F.count_distinct(*keys).alias("places"), F.every(F.col("via").isNotNull()).alias("via_only"))
+    return without_partner(some, others).groupBy("use_key").agg(F.min_by("operand", place).alias("operand"), F.array_sort(F.collect_set("instruction")).alias("instructions"), F.count_distinct(*keys).alias("places"), F.every(F.col("via").isNotNull()).alias("via_only"), *[c.alias(k) for k, c in (extra or {}).items()])
 
 
 def cross_reference(uses: DataFrame, keys: list[str]) -> DataFrame:

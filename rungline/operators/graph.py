@@ -1,7 +1,7 @@
 """Graph operators by frontier: each round is a join of the frontier with the edges and an anti join with what was seen.
 
-Between rounds the frontier and the seen nodes are checkpointed to the session's checkpoint folder, so lineage stays short and a lost
-executor costs one read. Edges never come to the driver; a round's row count does."""
+Between rounds the state is checkpointed once to the session's checkpoint folder, so lineage stays short and a lost executor costs one
+read. Edges never come to the driver; a round's row count does."""
 
 from __future__ import annotations
 
@@ -14,41 +14,45 @@ from pyspark.sql import functions as F
 def _ready(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-rungline-"))
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-rungline-"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
-    """node, depth for every node reachable from seeds(node) over edges(src, dst); seeds have depth 0."""
+    """node, depth for every node reachable from seeds(node) over edges(src, dst); seeds have depth 0. Raises if `rounds` don't suffice."""
     _ready(edges)
     edges = edges.select("src", "dst").distinct().checkpoint()
-    front = seen = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     for depth in range(1, rounds + 1):
-        front = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+        front = seen.where(F.col("depth") == depth - 1)
+        new = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        seen = seen.unionByName(new.withColumn("depth", F.lit(depth))).checkpoint()
+        if seen.where(F.col("depth") == depth).isEmpty():
+            return seen
+    raise RuntimeError(f"nodes are still found after {rounds} rounds")
 
 
 def nearest_sink(edges: DataFrame, start: DataFrame, sinks: DataFrame, hops: int = 12) -> DataFrame:
     """start, sink, hops: the best-ranked sink at the least depth. start(start, node), sinks(node, rank); ties go to the smaller node.
 
-    A start that is a sink itself is its own, at 0 hops. Starts that are answered leave the frontier."""
+    A start that is a sink itself is its own, at 0 hops. The search goes backward from the sinks: a node at a distance takes the best of
+    those that its next nodes at one less have, so each node is settled once, whatever the number of starts. `hops` is the search's depth."""
     _ready(edges)
     edges = edges.select("src", "dst").distinct().checkpoint()
-    pick = lambda df, depth: df.join(sinks, "node").groupBy("start").agg(F.min(F.struct((-F.col("rank")).alias("r"), "node")).alias("m")).select("start", F.col("m.node").alias("sink"), F.lit(depth).alias("hops"))
-    front = start.select("start", "node").distinct().checkpoint()
-    seen, done = front, pick(front, 0).checkpoint()
+    best = F.min(F.struct((-F.col("rank")).alias("r"), F.col("sink"))).alias("m")
+    done = sinks.groupBy("node").agg(F.max("rank").alias("rank")).select("node", F.col("node").alias("sink"), "rank", F.lit(0).alias("hops")).checkpoint()
     for depth in range(1, hops + 1):
-        step = front.join(done.select("start"), "start", "left_anti").join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        # a sink counts even where it was seen before
-        step = step.checkpoint()
-        done = done.unionByName(pick(step, depth)).checkpoint()
-        front = step.join(seen, ["start", "node"], "left_anti").checkpoint()
-        if front.isEmpty():
+        front = done.where(F.col("hops") == depth - 1)
+        step = front.join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("at"), "sink", "rank").groupBy("at").agg(best)
+        step = step.join(done.select(F.col("node").alias("at")), "at", "left_anti").select(F.col("at").alias("node"), F.col("m.sink").alias("sink"), (-F.col("m.r")).alias("rank"), F.lit(depth).alias("hops"))
+        done = done.unionByName(step).checkpoint()
+        if done.where(F.col("hops") == depth).isEmpty():
             break
-        seen = seen.unionByName(front).checkpoint()
-    return done
+    found = start.select("start", "node").distinct().join(done, "node")
+    first = F.min(F.struct("hops", (-F.col("rank")).alias("r"), "sink")).alias("m")
+    return found.groupBy("start").agg(first).select("start", F.col("m.sink").alias("sink"), F.col("m.hops").alias("hops"))
 
 
 def paths_down(tree: DataFrame, root, depth: int) -> DataFrame:
@@ -59,3 +63,19 @@ def paths_down(tree: DataFrame, root, depth: int) -> DataFrame:
         at = at.select(F.col("node").alias("up"), "path").join(tree, F.col("up") == F.col("parent")).where(~F.array_contains("path", F.col("node"))).select("node", F.concat("path", F.array("node")).alias("path"), F.lit(level).alias("level"))
         out = out.unionByName(at)
     return out
+
+
+def call_trees(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+    """node, path, level, recursive: every call path from roots(node) over edges(src, dst); a node already on its path is cut and marked.
+
+    Raises if a path without a cycle is longer than `depth`."""
+    _ready(edges)
+    edges = edges.select("src", "dst").distinct().checkpoint()
+    out = roots.select("node", F.array("node").alias("path"), F.lit(0).alias("level"), F.lit(False).alias("recursive")).checkpoint()
+    for level in range(1, depth + 1):
+        front = out.where((F.col("level") == level - 1) & ~F.col("recursive")).select(F.col("node").alias("src"), "path")
+        step = front.join(edges, "src").select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.lit(level).alias("level"), F.array_contains("path", F.col("dst")).alias("recursive"))
+        out = out.unionByName(step).checkpoint()
+        if out.where(F.col("level") == level).isEmpty():
+            return out
+    raise RuntimeError(f"calls are nested deeper than {depth}")

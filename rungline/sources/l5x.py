@@ -96,8 +96,8 @@ def st_lines(e: DataFrame) -> DataFrame:
 
 def routines(e: DataFrame) -> DataFrame:
     kind = F.when(_attr("Type").isin("RLL", "ST", "FBD", "SFC"), _attr("Type")).otherwise("Unknown")
-    plain = e.where("element = 'Routine'").select("project", "program", "aoi", _attr("Name").alias("routine"), kind.alias("type"), F.lit(None).cast("string").alias("undecoded"))
-    locked = e.where("element = 'EncodedData' AND attrs['EncodedType'] = 'Routine'").select("project", "program", "aoi", _attr("Name").alias("routine"), F.lit("Unknown").alias("type"), F.lit("source protected").alias("undecoded"))
+    plain = e.where("element = 'Routine'").select("project", "program", "aoi", _attr("Name").alias("routine"), kind.alias("type"), F.lit(None).cast("string").alias("undecoded"), F.col("texts")["Description"].alias("description"))
+    locked = e.where("element = 'EncodedData' AND attrs['EncodedType'] = 'Routine'").select("project", "program", "aoi", _attr("Name").alias("routine"), F.lit("Unknown").alias("type"), F.lit("source protected").alias("undecoded"), F.lit(None).cast("string").alias("description"))
     return plain.unionByName(locked)
 
 
@@ -105,7 +105,7 @@ def tags(e: DataFrame) -> DataFrame:
     """project, scope ('' for the controller), name, data_type, dims, alias_for, safety, constant, access. Tags of a safety program are safety tags."""
     dims = F.transform(F.filter(F.split(F.trim(_attr("Dimensions")), r"[\s,]+"), lambda x: x.rlike("^[1-9][0-9]*$")), lambda x: x.cast("int"))
     safe = programs(e).where("safety").select("project", F.col("program").alias("scope"), F.lit(True).alias("__s"))
-    got = e.where("element = 'Tag'").select("project", F.coalesce("program", F.lit("")).alias("scope"), _attr("Name").alias("name"), _attr("DataType").alias("data_type"), dims.alias("dims"), _attr("AliasFor").alias("alias_for"), (_attr("Class") == "Safety").alias("safety"), (_attr("Constant") == "true").alias("constant"), _attr("ExternalAccess").alias("access"))
+    got = e.where("element = 'Tag'").select("project", F.coalesce("program", F.lit("")).alias("scope"), _attr("Name").alias("name"), _attr("DataType").alias("data_type"), dims.alias("dims"), _attr("AliasFor").alias("alias_for"), (_attr("Class") == "Safety").alias("safety"), (_attr("Constant") == "true").alias("constant"), _attr("ExternalAccess").alias("access"), F.col("texts")["Description"].alias("description"))
     return got.join(safe, ["project", "scope"], "left").withColumn("safety", F.coalesce("safety", F.lit(False)) | F.coalesce("__s", F.lit(False))).drop("__s")
 
 
@@ -132,6 +132,32 @@ def aoi_args(e: DataFrame) -> DataFrame:
     return p.where("required AND lower(param) NOT IN ('enablein', 'enableout')").withColumn("ord", F.row_number().over(Window.partitionBy("project", "aoi").orderBy("ord"))).drop("required")
 
 
+def aois(e: DataFrame) -> DataFrame:
+    """project, name, safety, revision of user-defined instructions; encoded ones have no logic."""
+    plain = e.where("element = 'AddOnInstructionDefinition'").select("project", _attr("Name").alias("name"), F.coalesce(_attr("Class") == "Safety", F.lit(False)).alias("safety"), _attr("Revision").alias("revision"), F.lit(False).alias("encoded"))
+    locked = e.where("element = 'EncodedData' AND attrs['EncodedType'] = 'AddOnInstructionDefinition'").select("project", _attr("Name").alias("name"), F.coalesce(_attr("Class") == "Safety", F.lit(False)).alias("safety"), _attr("Revision").alias("revision"), F.lit(True).alias("encoded"))
+    return plain.unionByName(locked)
+
+
+def aoi_members(e: DataFrame) -> DataFrame:
+    """project, aoi, name, data_type of parameters and local tags."""
+    return e.where("element IN ('Parameter', 'LocalTag') AND aoi IS NOT NULL").select("project", "aoi", _attr("Name").alias("name"), _attr("DataType").alias("data_type"), (F.col("element") == "Parameter").alias("parameter"))
+
+
+def data_types(e: DataFrame) -> DataFrame:
+    """project, name, kind: module types have a colon in their name, others are user-defined."""
+    kind = F.when(_attr("Name").contains(":"), "module").otherwise("udt")
+    return e.where("element = 'DataType'").select("project", _attr("Name").alias("name"), kind.alias("kind"))
+
+
+def controllers(e: DataFrame) -> DataFrame:
+    """project, controller, revision of the software (31.00 if the file doesn't say), partial: the file isn't a whole controller."""
+    root = e.where("element = 'RSLogix5000Content'").select("project", _attr("SoftwareRevision").alias("r"), F.coalesce(_attr("TargetType") != "Controller", F.lit(False)).alias("partial"))
+    major, minor = F.regexp_extract("r", r"(\d+)\.(\d+)", 1), F.regexp_extract("r", r"(\d+)\.(\d+)", 2)
+    own = e.where("element = 'Controller'").select("project", _attr("Name").alias("controller"))
+    return own.join(root, "project").select("project", "controller", F.when(major != "", F.concat_ws(".", major, F.lpad(minor, 2, "0"))).otherwise("31.00").alias("revision"), "partial")
+
+
 def members(e: DataFrame) -> DataFrame:
     types = e.where("element = 'DataType'").select("project", F.col("seq").alias("t"), _attr("Name").alias("type_name"))
     lists = e.where("element = 'Members'").select("project", F.col("seq").alias("l"), F.col("parent").alias("t"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 
 from rungline.operators import facts
 from rungline.plans.project import Project
+from rungline.sinks import routines as files
 from rungline.sources import l5x
 from rungline.streaming import incremental
 
@@ -98,10 +101,133 @@ def test_bypasses(project):
 
 
 def test_unconsumed_and_undefined(project):
-    assert sorted(r.operand for r in project.unconsumed().collect()) == ["Always", "Chain", "Lamp", "Never"]
+    # the safety map reads Lamp
+    assert sorted((r.operand, r.safety, r.kind) for r in project.unconsumed().collect()) == [("Always", False, None), ("Chain", True, None), ("Never", False, None)]
     assert sorted(r.base for r in project.undefined().collect()) == ["Always", "Never"]
 
 
+def test_cross_reference_of_a_member(project):
+    got = [(r.program, r.routine, r.place, r.is_write, r.instruction, r.operand) for r in project.xref("Zone1.Ok").collect()]
+    assert got == [("Safe", "Main", "#0", True, "DEV", "Zone1.Ok"), ("Safe", "Main", "#1", False, None, None)]
+    assert project.xref("Zone1.Fault").count() == 0
+    got = [(r.place, r.is_write, r.txt) for r in project.xref("cnt", "Area").where("routine = 'Seq'").collect()]
+    assert got == [("#L3", True, "    Cnt := 0;"), ("#L2", False, "IF Cnt > 5 THEN")]
+    assert [r.data_type for r in project.lookup_tag("zone1", "Safe").collect()] == ["DEVT"] and project.lookup_tag("Start").count() == 0
+
+
+def test_rung_lookup(project):
+    assert [(r.at, r.txt, r.comment) for r in project.rung("Area", "Main", 0).collect()] == [(0, AREA[0], "first &")]
+    assert [(r.at, r.hit) for r in project.rung("Area", "Seq", 1).collect()] == [(1, True), (2, False), (3, False), (4, False)]
+    assert project.rung("AOI Dev", "Logic", 0).first().txt == "XIC(In)OTE(Obj.Ok);" and project.rung("Area", "Main", 9).count() == 0
+
+
+def test_types_of_paths(project, spark):
+    rows = [("Zone1", "DEVT"), ("Zone1.Ok", "DEVT"), ("Zone1.No", "DEVT"), ("DevInst[1,2].Obj.Fault", "Dev"), ("Cnt.3", "DINT"), ("Arr[4].Ok", "DEVT[10]")]
+    p = project.elements.select("project").first().project
+    df = spark.createDataFrame([(p, *r) for r in rows], "project string, operand string, type string")
+    got = {r.operand: r.found for r in project.operand_types(df).collect()}
+    assert got == {"Zone1": "DEVT", "Zone1.Ok": "BIT", "Zone1.No": None, "DevInst[1,2].Obj.Fault": "BIT", "Cnt.3": "BOOL", "Arr[4].Ok": "BIT"}
+
+
+def test_safety(project):
+    assert [(r.program) for r in project.safety_programs.collect()] == ["Safe"]
+    assert [r.aoi for r in project.safety_instructions().collect()] == ["DEV"]
+    # Zone1.Ok is written by the call; nothing writes the module's input, which isn't asked for
+    assert project.unproduced().count() == 0
+    (d,) = project.safety_devices().collect()
+    assert (d.program, d.n, d.aoi, d.instance, [tuple(x) for x in d.inputs], d.objects[0].split("|")[-1]) == ("Safe", 0, "DEV", "DevInst", [("In", "Mod1:SI.Pt00")], "zone1")
+    assert [(x.operand, x.consumers, x.sink, x.hops) for x in d.outputs] == [("Zone1.Ok", 1, "Mod1:SO.Pt00", 0)]
+    assert project.orphan_devices().count() == 0 and project.coverage().count() == 0
+    assert Project(project.elements, {"names": "(", "sinks": ["Chain", "["]}).setting_faults[0].startswith("names: ")
+
+
+def test_validation(project, spark):
+    assert sorted((r.kind, r.what, r.n) for r in project.issues().collect()) == [("tag", "Always", 4), ("tag", "Never", 3)]
+    p = project.elements.select("project").first().project
+    rungs = [(p, "Area", None, "Main", 0, "FOO(Start)OTE(Run)", None), (p, "Area", None, "Main", 1, "JSR(Nowhere)XIC(Dev2;", None), (p, "Area", None, "Main", 2, "Dev(DevInst,Start,Zone1);", None)]
+    edited = spark.createDataFrame(rungs, "project string, program string, aoi string, routine string, n long, txt string, comment string")
+    got = {(r.kind, r.what, r.n) for r in project.issues(edited, project.lines.where("program = 'none'")).collect()}
+    assert got == {("structure", "rung must end with ;", 0), ("instruction", "FOO", 0), ("structure", "unbalanced ()", 1), ("call", "Nowhere", 1), ("tag", "Dev2;", 1)} or got == {("structure", "rung must end with ;", 0), ("instruction", "FOO", 0), ("structure", "unbalanced ()", 1), ("call", "Nowhere", 1), ("tag", "Dev2", 1)}
+
+
+def test_call_tree_and_map(project):
+    got = [(r.program, r.routine, r.level, r.recursive, r.missing) for r in project.call_tree().orderBy("program", "level").collect()]
+    assert got == [("Area", "main", 0, False, False), ("Area", "seq", 1, False, False), ("Safe", "main", 0, False, False)]
+    assert {(r.task, r.program): r.orphans for r in project.execution_map().collect()} == {("Cyc", "Area"): ["Old"], ("SafeT", "Safe"): []}
+
+
+def test_files_round_trip(project):
+    texts = {(r.program, r.aoi, r.routine): r.text for r in project.routine_files().collect()}
+    assert texts[("Area", None, "Main")].startswith("// @program Area\n// @routine Main\n// @type RLL\n\n// ---- Rung 0 ----\n// > first &\nXIC(Start)")
+    back = files.parse_routine(texts[("Area", None, "Main")])
+    assert [t for t, _ in back["rungs"]] == AREA and back["rungs"][0][1] == "first &" and back["problems"] == []
+    assert files.parse_routine(texts[("Area", None, "Seq")])["lines"] == SEQ
+    xml = {r.routine: r.xml for r in project.import_files().where("program = 'Area'").collect()}
+    again = l5x.elements_of("again", xml["Main"].encode())
+    assert [r["text"] for r in again if r["element"] == "Text"] == AREA
+    assert [r["text"] for r in l5x.elements_of("again", xml["Seq"].encode()) if r["element"] == "Line"] == [*SEQ, ""]
+    lines = {r.line.split(",")[0]: r.line for r in project.tags_csv().collect()}
+    assert lines["Run"] == "Run,BOOL,,,,1,1," and lines["Zone1"] == "Zone1,DEVT,,Safety,,1,1,"
+
+
+def test_edits(project, spark):
+    long = "[XIC(Aaaaaaaaaaaaaaaa.Bbbbbbbbbbbbbbbbbbbbbb.C) ,XIC(Dddddddddddddddddddd.Eeeeeeeeeeeeeeeeeeeeeeeee.F)]XIC(Gggggggggg)OTE(H);"
+    head = {"program": "Area", "routine": "Main", "type": "RLL"}
+    one = files.format_routine(head, [(0, long, "note"), (1, AREA[0], None)])
+    flat = "\n".join(["// @routine Main", "// @type RLL", "", "// > note  ", long, AREA[0]])
+    assert one.count("\n") > flat.count("\n") and files.content_hash(one) == files.content_hash(flat) != files.content_hash(one.replace("Stop", "Halt"))
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    manifest = spark.createDataFrame([(k, sha(one), files.content_hash(one)) for k in ("same", "laid", "edit", "gone", "lost")], "file string, hash string, content string")
+    disk = spark.createDataFrame([("same", one), ("laid", flat), ("edit", one.replace("Stop", "Halt")), ("gone", one), ("lost", one.replace("Run", "Go"))], "file string, text string")
+    now = spark.createDataFrame([(k, one) for k in ("same", "laid", "edit", "new")], "file string, text string")
+    assert sorted(r.file for r in files.edited(disk, manifest).collect()) == ["edit", "lost"]
+    assert {r.file: r.action for r in files.merged(manifest, now, disk).collect()} == {"same": "same", "laid": "heal", "edit": "keep", "gone": "remove", "lost": "orphan", "new": "write"}
+    assert [r.file for r in files.changed_documents(now, disk).collect() if r.file != "new"] in (["laid", "edit"], ["edit", "laid"])
+    p = project.elements.select("project").first().project
+    rungs = spark.createDataFrame([(p, "Area", "Main", 0, AREA[0].replace(")", ") ")), (p, "Area", "Main", 1, "XIC( New )OTE(Run) ;")], "project string, program string, routine string, n long, txt string")
+    got = files.with_original_text(rungs, project.rungs).orderBy("n").collect()
+    assert [(r.txt, r.changed) for r in got] == [(AREA[0], False), ("XIC( New ) OTE(Run);", True)]
+    many = spark.createDataFrame([("P", k) for k in range(25)], "project string, k int")
+    assert files.implausible(many.limit(20), many).count() == 1 and files.implausible(many.limit(19), many).count() == 0
+
+
+def aoi_project(name, usage, calls, logic=""):
+    inner = f'<Routines><Routine Name="Logic" Type="RLL"><RLLContent>{rung_xml(0, logic)}</RLLContent></Routine></Routines>' if logic else ""
+    more = f'<AddOnInstructionDefinition Name="Outer"><Parameters><Parameter Name="Obj" Usage="InOut" DataType="T" Required="true"/></Parameters><Routines><Routine Name="Logic" Type="RLL"><RLLContent>{rung_xml(0, "Dev(I,Obj.A,Obj.B);")}</RLLContent></Routine></Routines></AddOnInstructionDefinition>'
+    return f"""<RSLogix5000Content TargetType="Controller"><Controller Name="{name}"><AddOnInstructionDefinitions><AddOnInstructionDefinition Name="Dev"><Parameters><Parameter Name="P" {usage} DataType="BOOL" Required="true"/><Parameter Name="Q" Usage="InOut" DataType="BOOL" Required="true"/></Parameters>{inner}</AddOnInstructionDefinition>{more}</AddOnInstructionDefinitions>
+<Programs><Program Name="Main" MainRoutineName="R"><Routines><Routine Name="R" Type="RLL"><RLLContent>{"".join(rung_xml(n, t) for n, t in enumerate(calls))}</RLLContent></Routine><Routine Name="S" Type="ST"><STContent><Line Number="0"><![CDATA[Dev(I, X2, Y2); Fn(Z2);]]></Line></STContent></Routine><Routine Name="T" Type="ST"><STContent><Line Number="0"><![CDATA[JSR(S);]]></Line></STContent></Routine></Routines></Program></Programs></Controller></RSLogix5000Content>"""
+
+
+@pytest.fixture(scope="module")
+def two(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("two")
+    (folder / "A.L5X").write_text(aoi_project("A", 'Usage="Input"', ["Dev(I,X,Y,Z);JSR(T);"], "XIC(P)OTE(Q.Done);"))
+    (folder / "B.L5X").write_text(aoi_project("B", 'Usage="Output"', ["Dev(I,X,Y);Outer(J,W);OSR(S1,S2);"]))
+    return Project(l5x.read_elements(spark, str(folder)).cache())
+
+
+def test_projects_keep_their_own_signatures(two):
+    got = {(r.project[-5:-4], r.routine, r.operand, r.is_write) for r in two.uses().where("base <> 'I' AND base <> 'J'").collect()}
+    a = {("A", "R", "X", False), ("A", "R", "Y.Done", True), ("A", "R", "Z", False), ("A", "S", "X2", False), ("A", "S", "Y2.Done", True), ("A", "S", "Z2", False)}
+    b = {("B", "R", "X", True), ("B", "R", "Y", True), ("B", "R", "Y", False), ("B", "R", "S1", True), ("B", "R", "S2", True), ("B", "S", "X2", True), ("B", "S", "Y2", True), ("B", "S", "Y2", False), ("B", "S", "Z2", False)}
+    # the second pass sees what Dev does with what Outer passes on
+    assert got == a | b | {("B", "R", "W.A", True), ("B", "R", "W.B", True), ("B", "R", "W.B", False)}
+
+
+def test_text_calls_make_edges(two):
+    assert {(r.project[-5:-4], r.src, r.dst) for r in two.call_edges().collect()} == {("A", "r", "t"), ("A", "t", "s"), ("B", "t", "s")}
+    assert {(r.project[-5:-4], r.routine) for r in two.orphans().collect()} == {("B", "S"), ("B", "T")}
+
+
+def test_one_shots_storage_alone_is_left_out(two):
+    assert "S2" in {r.operand for r in two.unconsumed().collect()} and "S1" not in {r.operand for r in two.unconsumed().collect()}
+
+
+def test_unused_definitions(two, project):
+    assert two.unused().count() == 0
+    assert project.unused().count() == 0
+
+
 def test_other_roots_are_refused():
     with pytest.raises(ValueError):
         l5x.elements_of("x", b"<Other/>")

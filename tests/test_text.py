@@ -28,12 +28,21 @@ def test_branch_tree():
 def test_canonical_form():
     assert rung.canonical("XIC(Start)[XIC(Run) ,]XIO(Stop)OTE(Run);") == "XIC(Start)[XIC(Run),]XIO(Stop) OTE(Run);"
     assert rung.canonical(" MOV( a , b )\n OTE(c) ;") == "MOV( a , b ) OTE(c);"
+    assert rung.canonical("A((x) y)  \\P.T(z") == "A((x) y) \\P.T(z" and rung.canonical("A(x) Ä(y) ) B") == "A(x)Ä(y)) B"
 
 
 def test_problems():
     assert rung.problems("XIC(a)OTE(b);") == []
     assert rung.problems("XIC(a OTE(b)") == ["rung must end with ;", "unbalanced ()"]
     assert rung.problems("[XIC(a)]]OTE(b);") == ["unbalanced []"]
+    assert rung.problems("](;") == ["unbalanced []"] and rung.problems(")(;") == ["unbalanced ()"]
+
+
+def test_long_rungs_take_a_line_for_each_leg():
+    text = "XIC(Start)[XIC(Run)XIC(More) ,[XIO(A) ,XIO(B)]]XIO(Stop)OTE(Motor);"
+    want = ["XIC(Start)", "[XIC(Run) XIC(More)", ",", "  [XIO(A)", "  ,XIO(B)", "  ]", "]XIO(Stop) OTE(Motor);"]
+    assert rung.layout(text, 20).split("\n") == want and rung.layout(text) == text
+    assert rung.layout("[" + "XIC(Long.Name)" * 4 + "];", 31).split("\n") == ["[XIC(Long.Name) XIC(Long.Name)", "   XIC(Long.Name) XIC(Long.Name)", "];"]
 
 
 _ins = st_.builds(lambda n, o: f"{n}({o})", st_.sampled_from(["XIC", "OTE", "MOV", "Dev"]), st_.sampled_from(["", "a", "b.c[1]", "x,y", "f(1),z"]))
@@ -71,6 +80,12 @@ def test_structured_text_uses():
     assert got == {(0, "ST", "Cnt", False), (1, ":=", "Arr", True), (1, "ST", "Idx", False), (1, "ST", "Other", False), (2, "MOV", "Src", False), (2, "MOV", "Dst", True), (2, "ST", "K", False), (3, "JSR", "P", False), (4, "ST", "ArgA", False), (4, "ST", "ArgB", False)}
     assert st.calls(lines) == ["Seq"] and st.problems(lines) == []
     assert st.problems(["IF a THEN (* x"]) != []
+    assert st.problems(["a := )b(;"]) == ["unexpected ) in line 1", "unbalanced ()"] and "unbalanced /* */" in st.problems(["/* open"])
+
+
+def test_calls_that_may_be_user_defined():
+    rows = st.findings(["Dev(Inst, Zone[Idx].A, Fn(X) + Y); JSR(Seq);"])
+    assert {(r[1], r[3], tuple(r[7])) for r in rows} == {("arg", "Inst", ()), ("arg", "Zone[Idx].A", ()), ("arg", "Fn(X)+Y", ()), ("use", "Idx", ()), ("use", "Inst", ("DEV",)), ("use", "Zone[Idx].A", ("DEV",)), ("use", "Idx", ("DEV",)), ("arg", "X", ("DEV",)), ("use", "X", ("DEV", "FN")), ("use", "Y", ("DEV",)), ("jump", "Seq", ())}
 
 
 def test_path_expressions(spark):
@@ -95,8 +110,9 @@ def test_both_ways_to_take_a_text_apart_agree(spark):
     r = random.Random(8)
     texts = ["", None, "XIC(a)OTE( b , c );", "x (a)", "XIC(a", "CPT(a,(b+c));", "MOV(A[1],B)", "9XIC(a)A B(,)", "\tTON(t,?,\n?)", "NOP()AFI( )", "a)(b", "XIC(a))OTE(b)"]
     texts += ["".join(r.choice(["XIC(", "a", ",", ")", "[", "]", " ", "OTE", "(", ";", "b.c"]) for _ in range(r.randrange(12))) for _ in range(400)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    from pyspark.sql import functions as F
-
-    for row in df.select("t", rung.instructions_of(F.col("t")).alias("i")).collect():
-        assert [tuple(x) for x in row.i] == rung.instructions(row.t), row.t
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, txt string")
+    got = {}
+    for r in rung.instruction_rows(df, ["k"]).collect():
+        got.setdefault(r.k, []).append((r.pos, r["name"], r.operands, r.text))
+    for k, t in enumerate(texts):
+        assert sorted(got.get(k, [])) == rung.instructions(t), t
