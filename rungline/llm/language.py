@@ -18,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, free_names, worker_model
+from .common import fold, free_names, least_rows, worker_model
 
 _LETTER = regex.compile(r"\p{L}")
 LANG = "lang_pred string, score double, rejected boolean"
@@ -36,7 +36,7 @@ class Languages:
     margin: float = 0.0
 
 
-def learn(docs: DataFrame, learn_rows: Column, dictionary_bytes: int = 128 << 10, rows: int = 400, held_back: int = 200, reject: float = 0.005) -> Languages:
+def learn(docs: DataFrame, learn_rows: Column, dictionary_bytes: int = 128 << 10, rows: int = 400, held_back: int = 200, reject: float = 0.0025) -> Languages:
     """Dictionaries of at most dictionary_bytes from `rows` distinct texts of each lang value, and the margin from another `held_back`.
 
     The sample is bounded by these two counts a language, and exact: the texts with the least hashes, whatever their length. Of each one
@@ -44,8 +44,8 @@ def learn(docs: DataFrame, learn_rows: Column, dictionary_bytes: int = 128 << 10
     few languages, as each text is compressed once for each of them."""
     known = docs.where(learn_rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where("text <> ''").withColumn("h", F.xxhash64(F.lit(7), "text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = known.select("lang", "h").distinct().withColumn("k", place).where(F.col("k") <= rows + held_back).groupBy("lang").agg(F.max("h").alias("most"), F.least(F.count("*"), F.lit(rows)).alias("n")).collect()
+    some = least_rows(known.select("lang", "h").distinct(), "lang", "h", rows + held_back)
+    least = some.groupBy("lang").agg(F.max("h").alias("most"), F.least(F.count("*"), F.lit(rows)).alias("n")).collect()
     if not least:
         return Languages({})
     bound = known.sparkSession.createDataFrame([(r.lang, r.most, max(400, -(-dictionary_bytes // r.n))) for r in least], "lang string, most long, run long")

@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bare, fold, free_names, slices, word_hashes, words, worker_model
+from .common import LOWER, bare, fold, free_names, least_rows, slices, word_hashes, words, worker_model
 
 TERMS, EXTRA = 4096, 2
 EXTRA_WEIGHT = 8.0  # a repetition term against a single byte term
@@ -113,9 +113,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_rows: Column, per_label: int
     Ids meet their labels and are chosen first; only the chosen rows' texts are read."""
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("q"))
     ids = docs.where(learn_rows).select("doc_id").distinct().join(marks, "doc_id").withColumn("draw", F.xxhash64(F.lit(11), "doc_id"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy("draw", "doc_id"))
     size = ids.groupBy("q").agg(F.count("*").alias("n")).collect()
-    chosen = ids.withColumn("k", place).where(F.col("k") <= per_label).select("doc_id", "q", "draw")
+    chosen = least_rows(ids.select("doc_id", "q", "draw"), "q", "draw", per_label)
     texts = docs.where(learn_rows).select("doc_id", F.col("text").cast("string").alias("text"))
     texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "q", "draw").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
