@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import paths, rung, st
 from .operators import bypass, facts, graph
+from .plans.project import Project
+from .sinks import routines
 from .sources import synth
 from .sources.synth import IN, OUT, PROGRAM, ROUTINE, TEXT, rungs, rungs_sql, table
 from .streaming import incremental
@@ -55,7 +57,8 @@ def operand_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT program, routine, n, true, l_orderkey % 300 = 7 FROM ({rungs_sql('l_orderkey')})) WHERE hit GROUP BY ALL""")
 def xref_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where tags In7 and Out7 are read and written (J-01, A-01, X-01); xref_all has every tag."""
-    uses = facts.operand_uses(rungs(spark, sf_dir), ["program", "routine", "n"]).where("base IN ('In7', 'Out7')")
+    near = rungs(spark, sf_dir).where("txt LIKE '%In7%' OR txt LIKE '%Out7%'")  # a cheap filter that keeps every hit
+    uses = facts.operand_uses(near, ["program", "routine", "n"]).where("base IN ('In7', 'Out7')")
     rw = F.when(F.col("is_write"), "write").otherwise("read")
     return uses.groupBy("program", "routine", rw.alias("rw")).agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("places"))
 
@@ -93,28 +96,25 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SOME = "concat(CASE WHEN l_partkey % 7 <> 0 THEN concat('XIC(Out', CAST(l_partkey % 3000 AS STRING), '.Cmd)') ELSE '' END, 'OTE(Out', CAST(l_orderkey % 3000 AS STRING), '.Cmd);')"
 
 
-def _some(spark, sf_dir, where):
-    units = table(spark, sf_dir, "lineitem").where(where).selectExpr(f"{PROGRAM} AS program", "l_orderkey AS n", f"{_SOME} AS txt")
+def _some(spark, sf_dir):
+    units = table(spark, sf_dir, "lineitem").selectExpr(f"{PROGRAM} AS program", "l_orderkey AS n", f"{_SOME} AS txt")
     return facts.keyed(facts.operand_uses(units, ["program", "n"]), F.lit(""))
 
 
-_FEW = "l_returnflag = 'R' AND l_linenumber = 7"
-
-
-@query(f"""WITH t AS (SELECT * FROM lineitem WHERE {_FEW})
+@query(f"""WITH t AS (SELECT * FROM lineitem)
 SELECT concat('|out', CAST(l_orderkey % 3000 AS STRING), '.cmd') AS use_key, CAST(count(DISTINCT ({PROGRAM}, l_orderkey)) AS BIGINT) AS places FROM t w
 WHERE NOT EXISTS (SELECT 1 FROM t r WHERE r.l_partkey % 7 <> 0 AND r.l_partkey % 3000 = w.l_orderkey % 3000) GROUP BY 1""")
 def unconsumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written signals that nothing reads (J-15, A-06, X-06)."""
-    return facts.dangling(_some(spark, sf_dir, _FEW), True, ["program", "n"]).select("use_key", "places")
+    return facts.dangling(_some(spark, sf_dir), True, ["program", "n"]).select("use_key", "places")
 
 
-@query(f"""WITH t AS (SELECT * FROM lineitem WHERE {_FEW})
+@query(f"""WITH t AS (SELECT * FROM lineitem)
 SELECT concat('|out', CAST(l_partkey % 3000 AS STRING), '.cmd') AS use_key, CAST(count(DISTINCT ({PROGRAM}, l_orderkey)) AS BIGINT) AS places FROM t r
 WHERE r.l_partkey % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM t w WHERE r.l_partkey % 3000 = w.l_orderkey % 3000) GROUP BY 1""")
 def unproduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read signals that nothing writes (J-16, X-07)."""
-    return facts.dangling(_some(spark, sf_dir, _FEW), False, ["program", "n"]).select("use_key", "places")
+    return facts.dangling(_some(spark, sf_dir), False, ["program", "n"]).select("use_key", "places")
 
 
 # over every line: outputs are multiples of three, so two of three tags that are read are never written, and tags grow with the tables
@@ -218,8 +218,8 @@ def layout_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ graphs
 
-_EDGES = "SELECT DISTINCT l_orderkey % 1000 AS src, l_partkey % 1000 AS dst FROM lineitem WHERE l_orderkey < 1500 AND l_linenumber = 7"
-
+#: Every line as an edge from its part to its supplier's number, which is a part's number too.
+_EDGES = "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem"
 
 #: Every line as an edge between whole keys: nodes and edges grow with the table.
 _ALL_EDGES = "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem"
@@ -273,18 +273,26 @@ def orphans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unreached(_edges(spark, sf_dir, _ALL_EDGES))
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), r(start, node, hops) AS (SELECT DISTINCT src, src, 0 FROM e WHERE src < 60 UNION SELECT r.start, e.dst, r.hops + 1 FROM r JOIN e ON r.node = e.src WHERE r.hops < 12),
-s AS (SELECT start, node AS sink, hops, row_number() OVER (PARTITION BY start ORDER BY hops, CASE WHEN node % 50 = 0 THEN 1000 ELSE 100 - node % 10 END DESC, node) AS k FROM r WHERE node % 50 = 0 OR node % 11 = 0)
-SELECT start, sink, CAST(hops AS BIGINT) AS hops FROM s WHERE k = 1""")
+def _sinks_sql(edges: str) -> str:
+    return f"""WITH RECURSIVE e AS ({edges}), a AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+s AS (SELECT node, CASE WHEN node % 50 = 0 THEN 1000 ELSE 100 - node % 10 END AS rank FROM a WHERE node % 50 = 0 OR node % 11 = 0),
+d(node, hops) AS (SELECT node, 0 FROM s UNION SELECT e.src, d.hops + 1 FROM d JOIN e ON e.dst = d.node WHERE d.hops < 12),
+m AS (SELECT node, min(hops) AS hops FROM d GROUP BY node),
+b(node, sink, hops) AS (SELECT node, node, 0 FROM s UNION SELECT m.node, b.sink, m.hops FROM b JOIN e ON e.dst = b.node JOIN m ON m.node = e.src AND m.hops = b.hops + 1),
+k AS (SELECT b.node, b.sink, b.hops, row_number() OVER (PARTITION BY b.node ORDER BY s.rank DESC, b.sink) AS r FROM b JOIN s ON s.node = b.sink)
+SELECT node AS start, sink, CAST(hops AS BIGINT) AS hops FROM k WHERE r = 1 AND node IN (SELECT src FROM e)"""
+
+
+@query(_sinks_sql(_EDGES))
 def path_to_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best-ranked sink at the least number of hops, 12 at most (G-04, G-05)."""
+    """The best-ranked sink at the least number of hops, 12 at most, from every source (G-05)."""
     e = _edges(spark, sf_dir)
-    return _sinks(e, e.where("src < 60"))
+    return _sinks(e, e)
 
 
-@query()
+@query(_sinks_sql(_ALL_EDGES))
 def path_to_sink_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from every source over every line (G-04, G-05). No SQL: recursion over all walks is too much; the test searches each start."""
+    """The same over the edges between orders and parts (G-05)."""
     e = _edges(spark, sf_dir, _ALL_EDGES)
     return _sinks(e, e)
 
@@ -332,11 +340,11 @@ def blank_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", long(F.length("html")).alias("n_chars"), long(F.length("html") - F.length(cut)).alias("n_blank"))
 
 
-@query("""SELECT base, is_write, line, CAST(count(*) AS BIGINT) AS n_uses FROM (SELECT 'Cnt' AS base, false AS is_write, CAST(1 AS BIGINT) AS line FROM part WHERE p_partkey % 10 = 3
-  UNION ALL SELECT concat('Q', CAST(p_size % 4 AS STRING)), true, CAST(2 AS BIGINT) FROM part WHERE p_partkey % 10 = 3 UNION ALL SELECT concat('S', CAST(p_size % 3 AS STRING)), false, CAST(2 AS BIGINT) FROM part WHERE p_partkey % 10 = 3) GROUP BY ALL""")
+@query("""SELECT base, is_write, line, CAST(count(*) AS BIGINT) AS n_uses FROM (SELECT 'Cnt' AS base, false AS is_write, CAST(1 AS BIGINT) AS line FROM part
+  UNION ALL SELECT concat('Q', CAST(p_size % 4 AS STRING)), true, CAST(2 AS BIGINT) FROM part UNION ALL SELECT concat('S', CAST(p_size % 3 AS STRING)), false, CAST(2 AS BIGINT) FROM part) GROUP BY ALL""")
 def st_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads and writes of Structured Text routines of four lines each (P-14, P-15)."""
-    return _st_uses(table(spark, sf_dir, "part").where("p_partkey % 10 = 3"))
+    return _st_uses(table(spark, sf_dir, "part"))
 
 
 @query("""SELECT base, is_write, line, CAST(count(*) AS BIGINT) AS n_uses FROM (SELECT 'Cnt' AS base, false AS is_write, CAST(1 AS BIGINT) AS line FROM part
@@ -380,8 +388,7 @@ def undefined_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, md5(CASE WHEN contains(text, ',') OR contains(text, '"') OR contains(text, chr(10)) OR contains(text, chr(13)) THEN concat('"', replace(text, '"', '""'), '"') ELSE text END) AS cell FROM documents WHERE text IS NOT NULL""")
 def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as CSV cells, quoted where they must be (K-04)."""
-    cell = F.when(F.col("text").rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(cell).alias("cell"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(routines.csv_cell(F.col("text"))).alias("cell"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -424,10 +431,10 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("SELECT p_type, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS brand FROM part WHERE p_size < 3 GROUP BY p_type")
+@query("SELECT p_type, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS brand FROM part GROUP BY p_type")
 def unique_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value where a key has only one (A-05, J-10): least equals greatest, so no set is gathered."""
-    return _only_brand(table(spark, sf_dir, "part").where("p_size < 3"))
+    return _only_brand(table(spark, sf_dir, "part"))
 
 
 @query("SELECT p_type, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS brand FROM part GROUP BY p_type")
@@ -478,4 +485,140 @@ def routine_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a project's summary page (A-03, A-11)."""
     t = table(spark, sf_dir, "lineitem").selectExpr(f"{PROGRAM} AS program", f"{ROUTINE} AS routine", f"{TEXT} AS txt")
-    return t.groupBy("program").agg(F.count_distinct("routine").alias("n_routines"), F.count("*").alias("n_rungs"), F.count_if(F.contains("txt", F.lit("AFI()"))).alias("n_never"))
+    never = facts.instructions(t, ["program"]).where("name = 'AFI'").groupBy("program").agg(F.count("*").alias("n_never"))
+    counts = t.groupBy("program").agg(F.count_distinct("routine").alias("n_routines"), F.count("*").alias("n_rungs"))
+    return counts.join(never, "program", "left").withColumn("n_never", F.coalesce("n_never", F.lit(0)))
+
+
+# ------------------------------------------------------------------ a project's own functions, over unit tables
+
+_BROKEN = """concat(CASE l_linenumber % 4 WHEN 0 THEN 'XIC(a)' WHEN 1 THEN 'XIC(a' WHEN 2 THEN '[XIC(a)' ELSE 'XIC(a)]]' END, CASE WHEN l_returnflag = 'R' THEN '' ELSE ';' END)"""
+
+
+@query("""SELECT problem, CAST(count(*) AS BIGINT) AS n_found FROM (SELECT 'rung must end with ;' AS problem FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'unbalanced ()' FROM lineitem WHERE l_linenumber % 4 = 1
+  UNION ALL SELECT 'unbalanced []' FROM lineitem WHERE l_linenumber % 4 IN (2, 3)) GROUP BY problem""")
+def rung_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure faults of rungs (P-13)."""
+    t = table(spark, sf_dir, "lineitem").selectExpr(f"{_BROKEN} AS txt")
+    return t.select(F.explode(rung.rung_problems("txt")).alias("problem")).groupBy("problem").agg(F.count("*").alias("n_found"))
+
+
+@query("""SELECT p_partkey, md5(concat('A := ', repeat(' ', CAST(length(p_brand) + 2 AS INT)), ';', repeat(' ', CAST(4 + length(p_type) AS INT)))) AS h FROM part""")
+def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings and comments of program text become spaces (P-14)."""
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('A := ', chr(39), p_brand, chr(39), '; // ', p_type) AS txt")
+    return t.select("p_partkey", F.md5(st.blank_non_code("txt").cast("binary")).alias("h"))
+
+
+@query("""SELECT problem, CAST(count(*) AS BIGINT) AS n_found FROM (SELECT 'IF without END_IF' AS problem FROM part WHERE p_size % 3 = 0 UNION ALL SELECT 'unbalanced ()' FROM part WHERE p_size % 5 = 0
+  UNION ALL SELECT 'unexpected ] in line 2' FROM part WHERE p_size % 7 = 0) GROUP BY problem""")
+def st_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks without their end and brackets of Structured Text (P-17)."""
+    lines = "array('IF a THEN', concat('b := ', CASE WHEN p_size % 5 = 0 THEN '(' ELSE '' END, 'c', CASE WHEN p_size % 7 = 0 THEN ']' ELSE '' END, ';'), CASE WHEN p_size % 3 = 0 THEN '' ELSE 'END_IF;' END)"
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey AS routine", f"posexplode({lines}) AS (n, txt)")
+    return st.routine_problems(t, ["routine"]).groupBy("problem").agg(F.count("*").alias("n_found"))
+
+
+_UNIT = f"xxhash64({synth.COLUMNS}) AS n"
+_LINES = f"(SELECT DISTINCT {synth.COLUMNS} FROM lineitem)"
+_CHECKED = """concat('XIC(In', CAST(l_partkey % 200 AS STRING), ')', CASE WHEN l_linenumber = 7 THEN 'FOO(Out)' ELSE '' END, CASE WHEN l_linenumber = 6 THEN concat('JSR(R', CAST(l_orderkey % 100 AS STRING), ')') ELSE '' END, 'OTE(Out);')"""
+_CHECKED_ROUTINE = "concat('R', CAST(l_orderkey % 50 AS STRING))"
+
+
+@query(f"""SELECT kind, program, what, CAST(count(*) AS BIGINT) AS n_found FROM (SELECT 'instruction' AS kind, {PROGRAM} AS program, 'FOO' AS what FROM {_LINES} WHERE l_linenumber = 7
+  UNION ALL SELECT 'call', {PROGRAM}, concat('R', CAST(l_orderkey % 100 AS STRING)) FROM {_LINES} WHERE l_linenumber = 6 AND l_orderkey % 100 >= 50
+  UNION ALL SELECT DISTINCT 'tag', {PROGRAM}, concat('In', CAST(l_partkey % 200 AS STRING), '/', {_CHECKED_ROUTINE}) FROM lineitem WHERE l_partkey % 200 >= 150) GROUP BY ALL""")
+def project_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown instructions, missing routines and undefined tags (V-01, J-17, A-10)."""
+    li = table(spark, sf_dir, "lineitem").selectExpr(f"{PROGRAM} AS program", f"{_CHECKED_ROUTINE} AS routine", _UNIT, f"{_CHECKED} AS txt")
+    tags = spark.range(150).selectExpr("'' AS scope", "concat('IN', id) AS name").unionByName(spark.sql("SELECT '' AS scope, 'Out' AS name"))
+    found = Project.of(spark, rungs=li, tags=tags, routines=li.select("program", "routine").distinct()).issues()
+    what = F.when(F.col("kind") == "tag", F.concat_ws("/", "what", "routine")).otherwise(F.col("what"))
+    return found.groupBy("kind", "program", what.alias("what")).agg(F.count("*").alias("n_found"))
+
+
+_MEMBER = """concat('XIC(Dev', CAST(l_partkey % 20 AS STRING), CASE l_linenumber % 3 WHEN 0 THEN '.Ok' WHEN 1 THEN '.Sub.Ok' ELSE '' END, ')COP(Src,Dev', CAST(l_suppkey % 20 AS STRING), CASE WHEN l_returnflag = 'R' THEN '.Sub' ELSE '.OkToo' END, ',1);')"""
+
+
+@query(f"""SELECT is_write, operand, CAST(count(*) AS BIGINT) AS n_units FROM (SELECT true AS is_write, 'Dev7.Sub' AS operand FROM {_LINES} WHERE l_suppkey % 20 = 7 AND l_returnflag = 'R'
+  UNION ALL SELECT false, NULL FROM {_LINES} WHERE l_partkey % 20 = 7 AND l_linenumber % 3 IN (1, 2)) GROUP BY ALL""")
+def xref_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cross reference of a member: its uses, those inside it and those of what holds it (X-01, F-12)."""
+    li = table(spark, sf_dir, "lineitem").selectExpr(f"{PROGRAM} AS program", "'Main' AS routine", _UNIT, f"{_MEMBER} AS txt")
+    tags = spark.range(20).selectExpr("'' AS scope", "concat('dev', id) AS name")
+    return Project.of(spark, rungs=li, tags=tags).xref("Dev7.Sub.Ok").groupBy("is_write", "operand").agg(F.count("*").alias("n_units"))
+
+
+@query("""SELECT kind, CAST(count(*) AS BIGINT) AS n_signals FROM (SELECT DISTINCT l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 'partial' ELSE 'external' END AS kind FROM lineitem WHERE l_partkey % 2 = 0) GROUP BY kind""")
+def safety_unproduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safety signals that are read and never written; some have other members written, some are mapped (X-07, X-10, F-05)."""
+    text = "concat('XIC(S', l_partkey, '.Ok)XIC(Mod:SI.Data)', CASE WHEN l_partkey % 2 = 1 THEN concat('OTE(S', l_partkey, ')') WHEN l_partkey % 3 = 0 THEN concat('OTE(S', l_partkey, '.No)') ELSE 'OTE(Lamp)' END, ';')"
+    li = table(spark, sf_dir, "lineitem").selectExpr("'Safe' AS program", "'Main' AS routine", _UNIT, f"{text} AS txt")
+    p = Project.of(spark, rungs=li, programs=spark.sql("SELECT 'Safe' AS program, true AS safety"), tags=spark.sql("SELECT 'Safe' AS scope, 'Lamp' AS name"))
+    return p.unproduced().groupBy("kind").agg(F.count("*").alias("n_signals"))
+
+
+@query("""SELECT CAST(l_partkey AS BIGINT) AS part, 'Out:O.Data' AS sink, CAST(CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE l_partkey % 4 END AS BIGINT) AS hops FROM (SELECT DISTINCT l_partkey FROM lineitem) ORDER BY 1""")
+def signal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each part's first signal over as many rungs as its number modulo four to an output module (G-04, F-04)."""
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
+    chain = "transform(sequence(0, cast(k % 4 AS int)), i -> named_struct('n', i, 'txt', concat('XIC(', CASE WHEN i = 0 THEN 'Start' ELSE concat('S', k, '.M', i - 1) END, ')OTE(', CASE WHEN i = k % 4 THEN 'Out:O.Data' ELSE concat('S', k, '.M', i) END, ');')))"
+    units = parts.selectExpr("'Main' AS program", "concat('R', k) AS routine", f"inline({chain})")
+    found = Project.of(spark, rungs=units).paths_to_sinks().where("n = 0")
+    return found.select(F.substring("routine", 2, 20).cast("long").alias("part"), "sink", long(F.col("hops")).alias("hops"))
+
+
+@query("""SELECT CAST(l_suppkey AS BIGINT) AS supp, 'I' || CAST(l_suppkey AS STRING) AS instance, 'Zone' || CAST(l_suppkey AS STRING) || '.Ok' AS output, CAST(CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS consumers, CASE WHEN l_suppkey % 2 = 0 THEN 'Mod:SO.Pt' END AS sink
+  FROM (SELECT DISTINCT l_suppkey FROM lineitem)""")
+def safety_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device calls with what their outputs reach (X-08, A-07, J-02)."""
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).distinct()
+    units = s.selectExpr("'Safe' AS program", "concat('R', k) AS routine", "inline(array(named_struct('n', 0, 'txt', concat('Dev(I', k, ',Mod:SI.Pt,Zone', k, ');')), named_struct('n', 1, 'txt', CASE WHEN k % 2 = 0 THEN concat('XIC(Zone', k, ')OTE(Mod:SO.Pt);') ELSE 'NOP();' END)))")
+    args = spark.sql("SELECT 'DEV' AS aoi, inline(array(named_struct('ord', 1, 'param', 'In', 'usage', 'Input'), named_struct('ord', 2, 'param', 'Obj', 'usage', 'InOut')))")
+    logic = spark.sql("SELECT 'Dev' AS aoi, 'Logic' AS routine, 0 AS n, 'XIC(In)OTE(Obj.Ok);' AS txt")
+    p = Project.of(spark, rungs=units.unionByName(logic, allowMissingColumns=True), aoi_args=args, aois=spark.sql("SELECT 'Dev' AS name"), programs=spark.sql("SELECT 'Safe' AS program, true AS safety"))
+    d = p.safety_devices().select(F.substring("routine", 2, 20).cast("long").alias("supp"), "instance", F.explode("outputs").alias("o"))
+    return d.select("supp", "instance", F.col("o.operand").alias("output"), long(F.col("o.consumers")).alias("consumers"), F.col("o.sink").alias("sink"))
+
+
+@query("""SELECT path, CAST(level AS BIGINT) AS level FROM (WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey // 2 AS src, s_suppkey AS dst FROM supplier), r(node, path, level) AS (
+  SELECT CAST(0 AS BIGINT), '0', 0 UNION ALL SELECT e.dst, concat(r.path, '/', CAST(e.dst AS STRING)), r.level + 1 FROM r JOIN e ON e.src = r.node AND e.dst <> e.src) SELECT * FROM r)""")
+def call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call path from a main routine (G-01, G-02, X-12)."""
+    edges = table(spark, sf_dir, "supplier").selectExpr("s_suppkey DIV 2 AS src", "s_suppkey AS dst")
+    tree = graph.call_trees(edges, spark.sql("SELECT CAST(0 AS BIGINT) AS node"))
+    return tree.where("NOT recursive").select(F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), long(F.col("level")).alias("level"))
+
+
+@query("""SELECT found, CAST(count(*) AS BIGINT) AS n_paths FROM (SELECT CASE p_size % 5 WHEN 0 THEN 'BOOL' WHEN 1 THEN 'DINT' WHEN 2 THEN 'INNER' WHEN 3 THEN NULL ELSE 'OUTER' END AS found FROM part) GROUP BY found""")
+def path_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type at the end of a member path (P-21, J-12)."""
+    path = "concat('T', CASE p_size % 5 WHEN 0 THEN '.In[2].Count.3' WHEN 1 THEN '.In[1].Count' WHEN 2 THEN '.in' WHEN 3 THEN '.In.None' ELSE '' END)"
+    p = Project.of(spark)
+    p.member_types = spark.sql("SELECT 'P' AS project, inline(array(named_struct('type_name', 'outer', 'member', 'in', 'data_type', 'INNER[4]'), named_struct('type_name', 'inner', 'member', 'count', 'data_type', 'DINT')))")
+    o = table(spark, sf_dir, "part").selectExpr("'P' AS project", f"{path} AS operand", "'OUTER' AS type")
+    return p.operand_types(o).groupBy("found").agg(F.count("*").alias("n_paths"))
+
+
+@query("""SELECT o_orderkey AS file, CASE WHEN o_orderkey % 17 = 0 THEN (CASE WHEN o_orderkey % 5 = 1 THEN 'orphan' ELSE 'remove' END) WHEN o_orderkey % 5 = 1 THEN 'keep' WHEN o_orderkey % 5 = 2 AND o_orderkey % 3 <> 0 THEN 'heal'
+  WHEN o_orderkey % 3 = 0 THEN 'write' ELSE 'same' END AS action FROM orders""")
+def edit_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a new export does with each routine file: edited ones stay, ones of which only the layout differs are healed (E-02, E-03, K-18)."""
+    head = "'// @program P\n// @routine R\n// @type RLL\n\n'"
+    made = lambda tag, gap="": f"concat({head}, 'XIC(a', o_orderkey, '){gap}OTE({tag});')"
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS file", f"{made('b')} AS was", f"CASE WHEN o_orderkey % 3 = 0 THEN {made('c')} ELSE {made('b')} END AS now", f"CASE o_orderkey % 5 WHEN 1 THEN {made('hand')} WHEN 2 THEN {made('b', '  ')} ELSE {made('b')} END AS there")
+    before = o.select("file", F.sha1(F.col("was").cast("binary")).alias("hash"), routines.content_hash_of("was").alias("content"))
+    return routines.merged(before, o.where("file % 17 <> 0").select("file", F.col("now").alias("text")), o.select("file", F.col("there").alias("text"))).select("file", "action")
+
+
+_XML = """concat('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', nl, '<RSLogix5000Content SchemaRevision="1.0" SoftwareRevision="31.00" TargetName="R', k, '" TargetType="Routine" TargetSubType="RLL" ContainsContext="true" ExportDate="D" ExportOptions="', '{options}', '">', nl,
+  '<Controller Use="Context" Name="">', nl, '<Programs Use="Context">', nl, '<Program Use="Context" Name="A&amp;B">', nl, '<Routines Use="Context">', nl, '<Routine Use="Target" Name="R', k, '" Type="RLL">', nl, '<RLLContent>', nl,
+  '<Rung Number="0" Type="N">', nl, '<Comment>', nl, '<![CDATA[', c, ']]>', nl, '</Comment>', nl, '<Text>', nl, '<![CDATA[XIC(a)OTE(', k, ');]]>', nl, '</Text>', nl, '</Rung>', nl, '</RLLContent>', nl, '</Routine>', nl, '</Routines>', nl, '</Program>', nl, '</Programs>', nl, '</Controller>', nl, '</RSLogix5000Content>', nl)""".replace("{options}", routines.EXPORT_OPTIONS)
+
+
+@query(f"SELECT p_partkey, md5({_XML}) AS h FROM (SELECT p_partkey, concat('P', CAST(p_partkey AS STRING)) AS k, p_type AS c, chr(13) || chr(10) AS nl FROM part)")
+def import_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routine import files (K-14)."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "'P' AS project", "'A&B' AS program", "concat('RP', p_partkey) AS routine", "'RLL' AS type", "cast(null AS string) AS description", "'' AS controller", "p_type AS comment", "concat('XIC(a)OTE(P', p_partkey, ');') AS txt", "0 AS n")
+    xml = routines.import_files(p.select("project", "program", "routine", "type", "description", "controller"), p.select("project", "program", "routine", "n", "txt", "comment"), date="D")
+    return xml.select(F.substring("routine", 3, 20).cast("long").alias("p_partkey"), F.md5(F.col("xml").cast("binary")).alias("h"))

@@ -20,6 +20,12 @@ def _ready(df: DataFrame) -> None:
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-rungline-"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as rows in the checkpoint folder: what is read many times is made once, and a lost executor costs one read."""
+    _ready(df)
+    return df.checkpoint()
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
     """node, depth for every node reachable from seeds(node) over edges(src, dst); seeds have depth 0. Raises if `rounds` don't suffice."""
     _ready(edges)

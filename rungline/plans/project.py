@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, rung, st, tables
@@ -28,6 +28,18 @@ class Project:
         self.aoi_args, self.aois, self.safety_map = l5x.aoi_args(e), l5x.aois(e), l5x.safety_map(e)
         self.tasks, self.scheduled = l5x.tasks(e), l5x.task_programs(e)
 
+    @classmethod
+    def of(cls, spark: SparkSession, settings: dict | None = None, **given: DataFrame) -> Project:
+        """A project from unit tables; what isn't given has no rows. Columns that a given table lacks are null (false for safety)."""
+        self = cls(spark.createDataFrame([], l5x.ELEMENTS), settings)
+        for name, df in given.items():
+            own = getattr(self, name)
+            kinds = dict(own.dtypes)
+            there = [c for c in own.columns if c in df.columns]
+            rest = {c: F.lit("P") if c == "project" else F.lit(False) if c == "safety" else F.lit(None) for c in own.columns if c not in there}
+            setattr(self, name, df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in there], *[v.cast(kinds[c]).alias(c) for c, v in rest.items()]).select(*own.columns))
+        return self
+
     # ---------------------------------------------------------------- facts
 
     @cached_property
@@ -50,19 +62,21 @@ class Project:
 
     @cached_property
     def aoi_inner(self) -> DataFrame:
-        """What the logic of user-defined instructions does with their parameters, in two passes: the second sees the calls of others."""
+        """What the logic of user-defined instructions does with their parameters, in two passes: the second sees the calls of others. A small
+        table, which is kept."""
         keys, mine = ["project", "aoi", "routine", "n"], lambda df: df.where("aoi IS NOT NULL").withColumn("aoi", F.upper("aoi"))
         first = facts.inner_uses(facts.operand_uses(mine(self.rungs), keys))
-        return facts.inner_uses(self._uses(mine(self.rungs), mine(self.lines), keys, first))
+        return graph.kept(facts.inner_uses(self._uses(mine(self.rungs), mine(self.lines), keys, first)))
 
-    @cached_property
-    def _program_uses(self) -> DataFrame:
+    def uses(self) -> DataFrame:
+        """Operand uses of all programs (not of instruction definitions, which enter through their calls), with scope and keys."""
         own = "program IS NOT NULL"
         return facts.scoped(self._uses(self.rungs.where(own), self.lines.where(own), KEYS, self.aoi_inner), self.tags)
 
-    def uses(self) -> DataFrame:
-        """Operand uses of all programs (not of instruction definitions, which enter through their calls), with scope and keys."""
-        return self._program_uses
+    @cached_property
+    def kept_uses(self) -> DataFrame:
+        """uses() written once to the checkpoint folder, for analyses that read it many times."""
+        return graph.kept(self.uses())
 
     def calls(self) -> DataFrame:
         """project, program, routine, n, target: JSR calls in ladder and text."""
@@ -191,10 +205,10 @@ class Project:
 
     @cached_property
     def marked_uses(self) -> DataFrame:
-        return safety.marked(self.uses(), self.tags, self.safety_programs, self.safety_map, self.settings)
+        return safety.marked(self.kept_uses, self.tags, self.safety_programs, self.safety_map, self.settings)
 
     def safety_instructions(self) -> DataFrame:
-        return safety.instructions(self.aois, self.uses(), self.safety_programs, self.settings)
+        return safety.instructions(self.aois, self.kept_uses, self.safety_programs, self.settings)
 
     def bypasses(self) -> DataFrame:
         return bypass.findings(self.rungs.where("program IS NOT NULL"), KEYS)
@@ -207,12 +221,12 @@ class Project:
         return safety.unproduced(self.marked_uses)
 
     def paths_to_sinks(self) -> DataFrame:
-        return safety.paths_to_sinks(self.uses(), self.settings)
+        return safety.paths_to_sinks(self.kept_uses, self.settings)
 
     def safety_devices(self) -> DataFrame:
         gone = self.bypasses().where("operand IS NOT NULL").withColumn("operand", F.explode(F.split("operand", ",")))
         gone = facts.scoped(gone.withColumn("base", paths.base_tag(F.col("operand"))).where("base IS NOT NULL"), self.tags)
-        return safety.devices(self.uses(), self.safety_instructions(), self.aoi_args, self.paths_to_sinks(), gone)
+        return safety.devices(self.kept_uses, self.safety_instructions(), self.aoi_args, self.paths_to_sinks(), gone)
 
     def orphan_devices(self) -> DataFrame:
         return safety.orphan_devices(self.marked_uses, self.tags, self.safety_devices())
