@@ -18,7 +18,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents without a letter, or whose best two languages tie, go."""
+    """Operator 4: documents without a letter, or whose best two languages tie or nearly do, go."""
     return language.keep_identified(docs)
 
 
@@ -34,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", good_quality), ("language_id", known_language), ("near_dedup", one_of_each), ("packing", packed)]
 
-#: Nearest-neighbour votes, compressed sizes and sketches are beyond SQL. tests/test_pipeline.py holds the near-dedup stage at its threshold; no test runs the other stages or run() yet.
+#: Nearest-neighbour votes, compressed sizes and sketches are beyond SQL. tests/test_pipeline.py holds each stage and run() against plain versions.
 ORACLE_SQL = None
 
 
