@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, shared_dir, slices, word_hashes, words, worker_model, written
+from .common import LOWER, bare, fold, shared_dir, slices, word_hashes, words, worker_model, written
 
 DEPTH = 5
 END = 0x0A
@@ -66,7 +66,7 @@ def coded(block: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarr
 class Counter:
     """Counts of 64-bit keys, merged from batch to batch; `full` once many are held."""
 
-    def __init__(self, most: int = 3_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.keys, self.n, self.most = np.zeros(0, _U), np.zeros(0, np.int64), most
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -75,7 +75,7 @@ class Counter:
         u, n = np.unique(keys, return_counts=True)
         self.new.append((u, n))
         self.held += len(u)
-        if self.held > max(500_000, len(self.keys)):
+        if self.held > 500_000:
             self.merge()
 
     def merge(self) -> None:
@@ -114,7 +114,7 @@ def gather(train: DataFrame) -> DataFrame:
         yield from window.rows(1)
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], ["kind", "key", "n"])
 
-    return train.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(bare(count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 # ------------------------------------------------------------------ trees
@@ -191,7 +191,7 @@ def trees(windows: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[s]), depth, np.int32)), pa.array(key[s]), pa.array((n0 + n1)[s]), pa.array(n1[s]), pa.array(stop[s]), pa.array(log[s])], ["depth", "key", "n", "n1", "stop", "log"])
 
     last_two = F.shiftright(F.col("key"), 8).bitwiseAND(F.lit(0xFFFF))
-    return windows.select("key", "n").repartition(width, last_two).mapInArrow(build, NODES)
+    return windows.select("key", "n").repartition(width, last_two).mapInArrow(bare(build), NODES)
 
 
 UPPER = 2
@@ -203,7 +203,7 @@ def mixed(deeper: np.ndarray, bit: np.ndarray, n: np.ndarray, n1: np.ndarray, st
     return np.where(n > 0, np.where(np.isnan(deeper), kt, stop * kt + (1 - stop) * deeper), deeper)
 
 
-def subtrees(windows: DataFrame, width: int, block: int = 100_000) -> DataFrame:
+def subtrees(windows: DataFrame, width: int, block: int = 50_000) -> DataFrame:
     """From (key, n in training texts, seen in all texts), kind 1: each distinct window, how often it was seen (n), and its bits'
     probabilities by depths DEPTH to UPPER + 1; kind 0: parts of the sums that the nodes of depth UPPER need.
 
@@ -246,7 +246,7 @@ def subtrees(windows: DataFrame, width: int, block: int = 100_000) -> DataFrame:
             a = z
 
     last_three = F.shiftright(F.col("key"), 8).bitwiseAND(F.lit((1 << 8 * (UPPER + 1)) - 1))
-    return windows.select("key", "n", "seen").repartition(width, last_three).mapInArrow(build, SUBTREES)
+    return windows.select("key", "n", "seen").repartition(width, last_three).mapInArrow(bare(build), SUBTREES)
 
 
 SUBTREES = "kind int, key long, n long, n1 long, log double, part binary"
@@ -293,7 +293,7 @@ def window_logs(windows: DataFrame, width: int) -> DataFrame:
                 log = upper.value.logs(np.asarray(b.column(0)).view(_U), q)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(log)], ["key", "n", "log"])
 
-    return written(parts.where("kind = 1").select("key", "n", "part").mapInArrow(finish, "key long, n long, log double"), "window-logs")
+    return written(parts.where("kind = 1").select("key", "n", "part").mapInArrow(bare(finish), "key long, n long, log double"), "window-logs")
 
 
 class Table:
@@ -301,7 +301,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, bits: int = 20):
         h = self._hash(keys.astype(_U))
-        self.by = np.argsort(h)
+        self.by = np.argsort(h).astype(np.int32)
         self.h, self.shift = h[self.by], _U(64 - bits)
         self.first = np.searchsorted(self.h >> self.shift, np.arange((1 << bits) + 1).astype(_U)).astype(np.int32)
 
@@ -368,19 +368,19 @@ class Held:
 
     def open(self) -> Held:
         self.windows, self.words = Table(self.window), Table(self.word)
-        self.gram, self.logp = np.full(1 << 22, ~_U(0), _U), np.zeros(1 << 22)
+        self.gram, self.logp = np.full(1 << 20, ~_U(0), _U), np.zeros(1 << 20)
         return self
 
     def logs(self, code: np.ndarray) -> np.ndarray:
         """The log10 of each window, NaN where it isn't held. What was looked up before is kept in a table of fixed size."""
-        at = ((code * _U(0x9E3779B97F4A7C15)) >> _U(42)).astype(np.int64)
+        at = ((code * _U(0x9E3779B97F4A7C15)) >> _U(44)).astype(np.int64)
         out = self.logp[at]
         miss = np.flatnonzero(self.gram[at] != code)
         if len(miss):
             new, back = np.unique(code[miss], return_inverse=True)
             where = self.windows.find(new)
             got = np.where(where >= 0, self.log[where], np.nan) if len(self.log) else np.full(len(new), np.nan)
-            slot = ((new * _U(0x9E3779B97F4A7C15)) >> _U(42)).astype(np.int64)
+            slot = ((new * _U(0x9E3779B97F4A7C15)) >> _U(44)).astype(np.int64)
             self.gram[slot], self.logp[slot] = new, got
             out[miss] = got[back]
         return out
@@ -432,7 +432,7 @@ def fit(gathered: DataFrame, max_nodes: int, max_words: int, width: int) -> Mode
 # ------------------------------------------------------------------ scoring
 
 
-def score_documents(docs: DataFrame, held_out: Column | None = None, max_windows: int = 1 << 21, max_words: int = 1 << 19) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column | None = None, max_windows: int = 1 << 20, max_words: int = 1 << 19) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (coded, with the end sign) and bits_per_byte, the code
     length per byte, for each row; learns from the rows that are not held out.
 
