@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, rung, st, tables
 from ..operators import bypass, facts, graph, safety
 from ..sinks import routines as files
-from ..sources import l5x
+from ..sources import diagrams, l5x
 
 KEYS = ["project", "program", "routine", "n"]
 
@@ -257,8 +257,13 @@ class Project:
 
     # ---------------------------------------------------------------- documents
 
+    def rendered(self) -> DataFrame:
+        """project, program, aoi, routine, n, txt: diagrams as readable lines."""
+        return diagrams.fbd_lines(self.elements).unionByName(diagrams.sfc_lines(self.elements))
+
     def routine_files(self) -> DataFrame:
-        return files.routine_files(self.routines, self.units)
+        drawn = self.rendered().withColumns({"comment": F.lit(None).cast("string"), "is_st": F.lit(True)})
+        return files.routine_files(self.routines, self.units.unionByName(drawn.select(*self.units.columns)))
 
     def import_files(self) -> DataFrame:
         named = self.routines.join(l5x.controllers(self.elements).select("project", "controller"), "project", "left")

@@ -91,7 +91,11 @@ def rungs(e: DataFrame) -> DataFrame:
 
 
 def st_lines(e: DataFrame) -> DataFrame:
-    return e.where("element = 'Line'").select("project", "program", "aoi", "routine", F.col("ord").cast("long").alias("n"), F.col("text").alias("txt"))
+    """project, program, aoi, routine, n, txt: the lines of Structured Text routines (not those of a chart's actions)."""
+    body = e.where("element = 'STContent'").select("project", F.col("seq").alias("parent"), F.col("parent").alias("__up"))
+    own = e.where("element = 'Routine'").select("project", F.col("seq").alias("__up"))
+    lines = e.where("element = 'Line'").join(body, ["project", "parent"]).join(own, ["project", "__up"], "left_semi")
+    return lines.select("project", "program", "aoi", "routine", F.col("ord").cast("long").alias("n"), F.replace(F.col("text"), F.lit("\r"), F.lit("")).alias("txt"))
 
 
 def routines(e: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 PROGRAM = "concat('P', CAST(l_suppkey % 10 AS STRING))"
-ROUTINE = "concat('R', CAST(l_orderkey % 50 AS STRING))"
+_BLOCK = "CAST(floor(l_orderkey / 1000) AS BIGINT)"  # routines grow in number with the orders, not in length
+ROUTINE = f"concat('R', CAST({_BLOCK} AS STRING))"
 IN = "concat('In', CAST(l_partkey % 200 AS STRING))"
 OUT = "concat('Out', CAST(l_orderkey % 300 AS STRING))"
 TEXT = f"""concat(CASE l_returnflag WHEN 'A' THEN concat('[XIC(', {IN}, '.Ok) ,]') WHEN 'N' THEN concat('[XIC(', {IN}, '.Ok) ,NOP()]')
   ELSE concat('XIC(', {IN}, '.Ok)') END, CASE WHEN l_linestatus = 'F' AND l_linenumber = 1 THEN 'AFI()' ELSE '' END, 'OTE(', {OUT}, '.Cmd);')"""
-NUMBER = f"row_number() OVER (PARTITION BY l_suppkey % 10, l_orderkey % 50 ORDER BY {COLUMNS}) - 1"
+NUMBER = f"row_number() OVER (PARTITION BY l_suppkey % 10, {_BLOCK} ORDER BY {COLUMNS}) - 1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
