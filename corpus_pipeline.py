@@ -34,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", good_quality), ("language_id", known_language), ("near_dedup", one_of_each), ("packing", packed)]
 
-#: Nearest-neighbour votes, compressed sizes and sketches are beyond SQL. tests/test_pipeline.py holds each stage and run() against plain versions.
+#: Nearest-neighbour votes, compressed sizes and sketches are beyond SQL. tests/llm/test_pipeline.py holds each stage and run() against plain versions.
 ORACLE_SQL = None
 
 
