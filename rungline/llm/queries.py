@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe as _bpe
 from . import ctw as _ctw
+from . import fill_middle as _fim
 from . import language as _language
 from . import near_dup as _near
 from . import packing as _packing
+from . import periodic as _periodic
 from . import quality_model as _quality
 from . import quality_rules as _rules
 from . import sharding as _sharding
@@ -61,7 +64,21 @@ def op10_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_two_fit, op3_context_tree_weighting, op4_language_id, op5_max_score, op6_quality_classifier, op7_speculative_bpe, op8_quality_rules, op9_hash_tree_sharding, op10_hyperminhash_dedup)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _fim.fill_in_middle(_table(spark, sf_dir, "documents"), rate=100, suffix_first=50, seed="7")
+    sizes = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return rows.select("doc_id", "n", "form", *sizes, F.sha2("output", 256).alias("output_sha256"), F.sha2(_fim.restored(), 256).alias("restored_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _periodic.periodic_runs(_periodic.with_planted_run(_table(spark, sf_dir, "documents")), least=24, times=3)
+    rows = rows.withColumn("best", _periodic.most_repeated())
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    milli = F.expr("1000 * best.length div best.period").cast("long").alias("exponent_milli")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_two_fit, op3_context_tree_weighting, op4_language_id, op5_max_score, op6_quality_classifier, op7_speculative_bpe, op8_quality_rules, op9_hash_tree_sharding, op10_hyperminhash_dedup, op11_fill_in_middle, op13_periodic_runs)}
 ORACLE: dict[str, str] = {
     "op5_max_score": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
@@ -79,4 +96,12 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
 m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id, coalesce(m.root, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.node = w.doc_id""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(x, i, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
