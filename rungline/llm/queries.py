@@ -18,6 +18,7 @@ from . import quality_rules as _rules
 from . import sharding as _sharding
 from . import token_output as _out
 from . import topk as _topk
+from . import toxicity as _toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", *sizes, F.sha2("output", 256).alias("output_sha256"), F.sha2(_fim.restored(), 256).alias("restored_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), cutoff=0.5)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _periodic.periodic_runs(_periodic.with_planted_run(_table(spark, sf_dir, "documents")), least=24, times=3)
     rows = rows.withColumn("best", _periodic.most_repeated())
@@ -78,7 +83,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_two_fit, op3_context_tree_weighting, op4_language_id, op5_max_score, op6_quality_classifier, op7_speculative_bpe, op8_quality_rules, op9_hash_tree_sharding, op10_hyperminhash_dedup, op11_fill_in_middle, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_two_fit, op3_context_tree_weighting, op4_language_id, op5_max_score, op6_quality_classifier, op7_speculative_bpe, op8_quality_rules, op9_hash_tree_sharding, op10_hyperminhash_dedup, op11_fill_in_middle, op12_toxicity, op13_periodic_runs)}
 ORACLE: dict[str, str] = {
     "op5_max_score": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
