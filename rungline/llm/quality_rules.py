@@ -94,18 +94,18 @@ def paths(good: DataFrame, stratum: str) -> DataFrame:
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, max_false: float, error: float, most_strata: int = 10_000) -> DataFrame:
     """__s and a cutoff of each rule, for each stratum with a certified setting. At most most_strata strata, of STEPS rows each, come to the driver."""
+    if measured.select(stratum).distinct().limit(most_strata + 1).count() > most_strata:
+        raise ValueError(f"more than {most_strata} strata in {stratum}")
     good = measured.join(labels.where("quality = 1").select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi").where(~F.col("base_failed"))
     half = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("|half")).cast("binary")) % 2
     path = written(paths(good.where(half == 0), stratum), "paths")  # percentiles may differ when made again: the setting tested is the one used
     held = good.where(half == 1).join(path, F.col(stratum).eqNullSafe(F.col("__s")))
     # the first step of the path that rejects a document by any rule
     first = F.least(*[F.size(F.filter(f"path_{r}", lambda c: c >= F.col(r))) for r in RULES])  # noqa: B023
-    counts = held.groupBy("__s", first.alias("step")).agg(F.count("*").alias("n")).limit(most_strata * (STEPS + 1) + 1).collect()
+    counts = held.groupBy("__s", first.alias("step")).agg(F.count("*").alias("n")).collect()
     steps: dict = {}
     for r in counts:
         steps.setdefault(r["__s"], [0] * (STEPS + 1))[r.step] = r.n
-    if len(steps) > most_strata or len(counts) > most_strata * (STEPS + 1):
-        raise ValueError(f"more than {most_strata} strata in {stratum}")
     chosen = []
     for s, n in steps.items():
         most, rejected, last = most_allowed(sum(n), max_false, error / len(steps)), 0, None
