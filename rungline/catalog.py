@@ -304,7 +304,8 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module tree, parents before children (G-06, J-09)."""
     t = lambda n: table(spark, sf_dir, n)
     tree = t("region").selectExpr("concat('R', r_regionkey) AS node", "cast(null AS string) AS parent").unionByName(t("nation").selectExpr("concat('N', n_nationkey) AS node", "concat('R', n_regionkey) AS parent")).unionByName(t("supplier").selectExpr("concat('S', s_suppkey) AS node", "concat('N', s_nationkey) AS parent"))
-    return graph.paths_down(tree, F.col("parent").isNull(), 2).select("node", F.array_join("path", "/").alias("path"), long(F.col("level")).alias("level"))
+    tree = tree.selectExpr("node", "parent", "node AS ord", "node AS key")
+    return graph.forest(tree).select("node", F.array_join("path", "/").alias("path"), long(F.size("path") - 1).alias("level"))
 
 
 # ------------------------------------------------------------------ aggregates, windows and lookups

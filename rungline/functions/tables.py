@@ -32,3 +32,29 @@ CONDITIONS = ("XIC", "XIO", "EQU", "NEQ", "LES", "LEQ", "GRT", "GEQ", "LIM", "ME
 ST_KEYWORDS = (
     "IF THEN ELSIF ELSE END_IF CASE OF END_CASE FOR TO BY DO END_FOR WHILE END_WHILE REPEAT UNTIL END_REPEAT EXIT RETURN AND OR XOR NOT MOD TRUE FALSE"
 ).split()
+
+#: Types that every controller has.
+BUILTIN_TYPES = (
+    "BOOL SINT INT DINT LINT USINT UINT UDINT ULINT REAL LREAL TIMER COUNTER CONTROL PID MESSAGE MOTION_INSTRUCTION STRING ALARM ALARM_ANALOG ALARM_DIGITAL"
+    " AXIS_CONSUMED AXIS_VIRTUAL AXIS_SERVO AXIS_SERVO_DRIVE AXIS_CIP_DRIVE COORDINATE_SYSTEM MOTION_GROUP SERIAL_PORT_CONTROL CAM CAM_PROFILE OUTPUT_CAM OUTPUT_COMPENSATION"
+    " PHASE PHASE_INSTRUCTION SFC_ACTION SFC_STEP SFC_STOP DATALOG_INSTRUCTION FBD_TIMER FBD_COUNTER FBD_ONESHOT FBD_BOOLEAN_AND FBD_BOOLEAN_OR FBD_BOOLEAN_XOR FBD_BOOLEAN_NOT"
+    " FBD_COMPARE FBD_CONVERT FBD_LIMIT FBD_LOGICAL FBD_MASK_EQUAL FBD_MATH FBD_MATH_ADVANCED FBD_TRUNCATE FBD_BIT_FIELD_DISTRIBUTE ENERGY_BASE ENERGY_ELECTRICAL HMIBC CONNECTION_STATUS"
+).split()
+#: Types that hold one value.
+ATOMIC_TYPES = "BOOL BIT SINT INT DINT LINT USINT UINT UDINT ULINT REAL LREAL".split()
+
+#: Names of device profiles by product type.
+PRODUCT_TYPES = {
+    0: "Generic Device", 2: "AC Drive", 3: "Motor Overload", 4: "Limit Switch", 5: "Inductive Proximity Switch", 6: "Photoelectric Sensor", 7: "General Purpose Discrete I/O",
+    9: "Resolver", 10: "General Purpose Analog I/O", 12: "Communications Adapter", 14: "Programmable Logic Controller", 16: "Position Controller", 19: "DC Drive", 21: "Contactor",
+    22: "Motor Starter", 23: "Soft Start", 24: "Human-Machine Interface", 26: "Mass Flow Controller", 27: "Pneumatic Valve", 28: "Vacuum Pressure Gauge", 29: "Process Control Value",
+    30: "Residual Gas Analyzer", 31: "DC Power Generator", 32: "RF Power Generator", 33: "Turbomolecular Vacuum Pump", 34: "Encoder", 35: "Safety Discrete I/O Device",
+    36: "Fluid Flow Controller", 37: "CIP Motion Drive", 38: "CompoNet Repeater", 39: "Mass Flow Controller, Enhanced", 40: "CIP Modbus Device", 41: "CIP Modbus Translator",
+    42: "Safety Analog I/O Device", 43: "Generic Device (keyable)", 44: "Managed Switch", 50: "ControlNet Physical Layer Component", 150: "Safety Drive",
+}
+#: Catalog numbers by vendor, product type and product code.
+CATALOG = {
+    (1, 14, 147): "1756-L72S", (1, 14, 146): "1756-L7SP", (1, 14, 213): "1756-L83ES", (1, 14, 171): "1756-L8SP", (1, 12, 166): "1756-EN2T", (1, 7, 11): "1756-IB16",
+    (1, 0, 18): "ETHERNET-MODULE", (1, 0, 26): "ETHERNET-SAFETYMODULE", (43, 43, 20618): "BNI006A", (524, 43, 1): "501xxxxx",
+    (645, 12, 2267): "BWU2380 BWU2381 BWU2267 BWU2317 BWU2579 BWU2742 BWU2821 BWU3079",
+}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def _ready(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        base = sc.getConf().get("spark.checkpoint.dir")
+        base = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not base and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-rungline-"))
@@ -41,34 +41,54 @@ def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFra
 
 
 def nearest_sink(edges: DataFrame, start: DataFrame, sinks: DataFrame, hops: int = 12) -> DataFrame:
-    """start, sink, hops: the best-ranked sink at the least depth. start(start, node), sinks(node, rank); ties go to the smaller node.
+    """start, sink, hops, chain: the best-ranked sink at the least depth, and the nodes from the first to it. start(start, node),
+    sinks(node, rank); ties go to the smaller sink, then to the smaller next node.
 
     A start that is a sink itself is its own, at 0 hops. The search goes backward from the sinks: a node at a distance takes the best of
     those that its next nodes at one less have, so each node is settled once, whatever the number of starts. `hops` is the search's depth."""
     _ready(edges)
     edges = edges.select("src", "dst").distinct().checkpoint()
-    best = F.min(F.struct((-F.col("rank")).alias("r"), F.col("sink"))).alias("m")
-    done = sinks.groupBy("node").agg(F.max("rank").alias("rank")).select("node", F.col("node").alias("sink"), "rank", F.lit(0).alias("hops")).checkpoint()
+    best = F.min(F.struct((-F.col("rank")).alias("r"), F.col("sink"), F.col("chain"))).alias("m")
+    done = sinks.groupBy("node").agg(F.max("rank").alias("rank")).select("node", F.col("node").alias("sink"), "rank", F.lit(0).alias("hops"), F.array("node").alias("chain")).checkpoint()
     for depth in range(1, hops + 1):
         front = done.where(F.col("hops") == depth - 1)
-        step = front.join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("at"), "sink", "rank").groupBy("at").agg(best)
-        step = step.join(done.select(F.col("node").alias("at")), "at", "left_anti").select(F.col("at").alias("node"), F.col("m.sink").alias("sink"), (-F.col("m.r")).alias("rank"), F.lit(depth).alias("hops"))
+        step = front.join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("at"), "sink", "rank", "chain").groupBy("at").agg(best)
+        step = step.join(done.select(F.col("node").alias("at")), "at", "left_anti").select(F.col("at").alias("node"), F.col("m.sink").alias("sink"), (-F.col("m.r")).alias("rank"), F.lit(depth).alias("hops"), F.concat(F.array("at"), "m.chain").alias("chain"))
         done = done.unionByName(step).checkpoint()
         if done.where(F.col("hops") == depth).isEmpty():
             break
     found = start.select("start", "node").distinct().join(done, "node")
-    first = F.min(F.struct("hops", (-F.col("rank")).alias("r"), "sink")).alias("m")
-    return found.groupBy("start").agg(first).select("start", F.col("m.sink").alias("sink"), F.col("m.hops").alias("hops"))
-
-
-def paths_down(tree: DataFrame, root, depth: int) -> DataFrame:
-    """node, path, level for a forest tree(node, parent); a node on its own path ends that path. Levels are a parameter, as trees are shallow."""
-    at = tree.where(root).select("node", F.array("node").alias("path"), F.lit(0).alias("level"))
-    out = at
-    for level in range(1, depth + 1):
-        at = at.select(F.col("node").alias("up"), "path").join(tree, F.col("up") == F.col("parent")).where(~F.array_contains("path", F.col("node"))).select("node", F.concat("path", F.array("node")).alias("path"), F.lit(level).alias("level"))
-        out = out.unionByName(at)
-    return out
+    first = F.min(F.struct("hops", (-F.col("rank")).alias("r"), "sink", "chain")).alias("m")
+    return found.groupBy("start").agg(first).select("start", F.col("m.sink").alias("sink"), F.col("m.hops").alias("hops"), F.col("m.chain").alias("chain"))
+
+
+def forest(tree: DataFrame) -> DataFrame:
+    """node, path (the sort keys from the root down to the node) for each row of tree(node, parent, ord, key); ord orders nodes, key siblings.
+
+    A node without a parent, under itself or under one that isn't there is a root. Of nodes on a cycle, or below one, those become roots
+    whose ord is the least among all that they hang from, so each appears once. Ancestors are found by doubling: after k rounds every node
+    knows what is 2^k above it, so rounds grow with the logarithm of the depth."""
+    _ready(tree)
+    there = tree.select(F.col("node").alias("parent")).distinct()
+    t = tree.join(there.withColumn("__there", F.lit(True)), "parent", "left").withColumn("parent", F.when(F.col("__there") & (F.col("parent") != F.col("node")), F.col("parent"))).drop("__there").checkpoint()
+    # who has no end above, and the least ord of all that it hangs from
+    now, open_, reach, left = t.select("node", F.col("parent").alias("up"), F.col("ord").alias("least")).checkpoint(), None, 1, 1
+    while True:
+        more = now.where("up IS NOT NULL").count()
+        if more == 0 or (more == open_ and reach >= left):
+            break
+        if more != open_:
+            left = more
+        open_, reach = more, reach * 2
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("least").alias("__least"))
+        now = now.join(above, "up", "left").select("node", F.col("__up").alias("up"), F.least("least", "__least").alias("least")).checkpoint()
+    ends = now.where("up IS NOT NULL").select("node", "least")
+    t = t.join(ends, "node", "left").withColumn("parent", F.when(F.col("least").isNull() | (F.col("ord") != F.col("least")), F.col("parent"))).drop("least")
+    now = t.select("node", F.col("parent").alias("up"), F.array("key").alias("path")).checkpoint()
+    while not now.where("up IS NOT NULL").isEmpty():
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("path").alias("__path"))
+        now = now.join(above, "up", "left").select("node", F.col("__up").alias("up"), F.when(F.col("__path").isNull(), F.col("path")).otherwise(F.concat("__path", "path")).alias("path")).checkpoint()
+    return now.select("node", "path")
 
 
 def call_trees(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:

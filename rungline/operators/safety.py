@@ -127,19 +127,25 @@ def hops(uses: DataFrame) -> DataFrame:
 
 
 def paths_to_sinks(uses: DataFrame, settings: Settings, hops_: int = 12) -> DataFrame:
-    """use_key, unit, sink, hops for each written path and the unit that writes it: 0 hops if it is a sink itself, else a sink that the same
-    unit writes outside user-defined instructions, else the best-ranked one at the least number of hops through other units."""
+    """use_key, unit, sink, hops, chain for each written path and the unit that writes it: 0 hops if it is a sink itself, else a sink that the
+    same unit writes outside user-defined instructions, else the best-ranked one at the least number of hops, the first of which is through
+    another unit. The chain has the written paths from the start to the sink."""
     writes = uses.where("is_write").withColumn("rank", sink_rank(F.col("operand"), F.col("base"), settings))
     starts = writes.groupBy("use_key", *UNIT).agg(F.max("rank").alias("rank"), F.min("operand").alias("operand"))
     beside = writes.where("rank > 0 AND via IS NULL").groupBy(*UNIT).agg(F.max_by("operand", F.struct("rank", -F.col("pos"), -F.col("idx"))).alias("near"))
     sinks = writes.where("rank > 0").groupBy(F.col("use_key").alias("node")).agg(F.max("rank").alias("rank"), F.min("operand").alias("operand"))
-    edges = hops(uses).where("src <> dst").select("src", "dst").distinct()
-    nodes = starts.select(F.col("use_key").alias("start"), F.col("use_key").alias("node")).distinct()
-    far = nearest_sink(edges, nodes, sinks.select("node", "rank"), hops_).where("hops > 0").join(sinks.select(F.col("node").alias("sink"), F.col("operand").alias("far")), "sink").select(F.col("start").alias("use_key"), "far", F.col("hops").alias("far_hops"))
-    both = starts.join(beside, UNIT, "left").join(far, "use_key", "left")
+    steps = hops(uses).where("src <> dst").distinct()
+    # the first hop goes through another unit than the start's own; the rest is a search from where it leads
+    own = F.struct(*UNIT)
+    first = steps.select(F.col("src").alias("use_key"), F.struct(*UNIT).alias("__through"), F.col("dst").alias("node"))
+    start = starts.select("use_key", own.alias("unit")).distinct().join(first, "use_key").where(F.col("unit") != F.col("__through")).select(F.struct("use_key", "unit").alias("start"), "node").distinct()
+    found = nearest_sink(steps.select("src", "dst"), start, sinks.select("node", "rank"), hops_ - 1)
+    far = found.join(sinks.select(F.col("node").alias("sink"), F.col("operand").alias("far")), "sink").select("start.use_key", "start.unit.*", "far", (F.col("hops") + 1).alias("far_hops"), F.col("chain").alias("far_chain"))
+    both = starts.join(beside, UNIT, "left").join(far, ["use_key", *UNIT], "left")
     sink = F.when(F.col("rank") > 0, F.col("operand")).otherwise(F.coalesce("near", "far"))
     count = F.when((F.col("rank") > 0) | F.col("near").isNotNull(), 0).otherwise(F.col("far_hops"))
-    return both.select("use_key", *UNIT, sink.alias("sink"), count.alias("hops")).where("sink IS NOT NULL")
+    chain = F.when(count == 0, F.array("use_key")).otherwise(F.concat(F.array("use_key"), "far_chain"))
+    return both.select("use_key", *UNIT, sink.alias("sink"), count.alias("hops"), chain.alias("chain")).where("sink IS NOT NULL")
 
 
 def devices(uses: DataFrame, safe_aois: DataFrame, aoi_args: DataFrame, reached: DataFrame, bypassed: DataFrame) -> DataFrame:

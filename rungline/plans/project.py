@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, rung, st, tables
-from ..operators import bypass, facts, graph, safety
+from ..operators import bypass, facts, graph, safety, types
 from ..sinks import routines as files
-from ..sources import diagrams, l5x
+from ..sources import diagrams, l5x, projects
 
 KEYS = ["project", "program", "routine", "n"]
 
@@ -27,6 +27,8 @@ class Project:
         self.tags, self.programs, self.routines = l5x.tags(e), l5x.programs(e), l5x.routines(e)
         self.aoi_args, self.aois, self.safety_map = l5x.aoi_args(e), l5x.aois(e), l5x.safety_map(e)
         self.tasks, self.scheduled = l5x.tasks(e), l5x.task_programs(e)
+        self.members, self.aoi_members, self.data_types = l5x.members(e), l5x.aoi_members(e), l5x.data_types(e)
+        self.modules, self.controllers = l5x.modules(e), l5x.controllers(e)
 
     @classmethod
     def of(cls, spark: SparkSession, settings: dict | None = None, **given: DataFrame) -> Project:
@@ -40,6 +42,17 @@ class Project:
             setattr(self, name, df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in there], *[v.cast(kinds[c]).alias(c) for c, v in rest.items()]).select(*own.columns))
         return self
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, settings: dict | None = None) -> Project:
+        """All projects below `path`, XML and binary files alike."""
+        return cls.of(spark, settings, **projects.tables(spark, path))
+
+    @classmethod
+    def of_members(cls, members: DataFrame, settings: dict | None = None) -> Project:
+        """Binary projects, from the files in their containers (acd.read_members)."""
+        t = projects.binary_tables(members)
+        return cls.of(members.sparkSession, settings, **{k: projects.shaped(t[k], c) for k, c in projects.COLUMNS.items()})
+
     # ---------------------------------------------------------------- facts
 
     @cached_property
@@ -152,23 +165,15 @@ class Project:
 
     @cached_property
     def member_types(self) -> DataFrame:
-        """project, type_name, member (both lower case), data_type: members of types and parameters of user-defined instructions."""
-        udt = l5x.members(self.elements).select("project", "type_name", "name", "data_type")
-        aoi = l5x.aoi_members(self.elements).where("parameter").select("project", F.col("aoi").alias("type_name"), "name", "data_type")
-        return udt.unionByName(aoi).select("project", F.lower("type_name").alias("type_name"), F.lower("name").alias("member"), "data_type")
-
-    def operand_types(self, operands: DataFrame, depth: int = 16) -> DataFrame:
-        """operands(project, operand, type of its base tag) with `found`: the type at the end of the path, BOOL for a bit number, null where a member is unknown."""
-        plain = F.regexp_replace("operand", r"\[[^\]]*\]", "")
-        now = operands.withColumns({"__rest": F.slice(F.split(plain, r"\."), 2, 1000), "found": F.regexp_replace("type", r"\[.*$", "")})
-        m = self.member_types.dropDuplicates(["project", "type_name", "member"]).select("project", F.col("type_name").alias("__t"), F.col("member").alias("__m"), F.col("data_type").alias("__d"))
-        deepest = min(depth, now.agg(F.max(F.size("__rest"))).first()[0] or 0)
-        for k in range(deepest):
-            now = now.withColumns({"__t": F.lower("found"), "__m": F.lower(F.get("__rest", F.lit(k)))}).join(m, ["project", "__t", "__m"], "left")
-            step = F.when(F.col("__m").isNull(), F.col("found")).when(F.col("__m").rlike(r"^\d+$"), "BOOL").otherwise(F.regexp_replace("__d", r"\[.*$", ""))
-            done = F.col("__m").isNotNull() & F.coalesce(F.get("__rest", F.lit(k - 1)) if k else F.lit(""), F.lit("")).rlike(r"^\d+$")
-            now = now.withColumn("found", F.when(done, F.col("found")).otherwise(step)).drop("__t", "__m", "__d")
-        return now.drop("__rest")
+        """project, type_name, member (both lower case), data_type, is_array: members of types and parameters of user-defined instructions."""
+        array = (F.coalesce(F.size("dims"), F.lit(0)) > 0).alias("is_array")
+        udt = self.members.select("project", "type_name", "name", "data_type", array)
+        aoi = self.aoi_members.where("parameter").select("project", F.col("aoi").alias("type_name"), "name", "data_type", array)
+        return udt.unionByName(aoi).select("project", F.lower("type_name").alias("type_name"), F.lower("name").alias("member"), "data_type", "is_array")
+
+    def operand_types(self, operands: DataFrame) -> DataFrame:
+        """operands(project, operand, type of its base tag) with `found`, the type at the end of the path, and `array` (types.operand_types)."""
+        return types.operand_types(operands, self.member_types)
 
     # ---------------------------------------------------------------- validation
 
@@ -237,11 +242,10 @@ class Project:
     def unused(self) -> DataFrame:
         """project, kind, name: user-defined instructions without parameters and logic that nothing calls or has as a type, and module types
         that no used type holds. User-defined types are never unused."""
-        e, low = self.elements, lambda c: F.lower(c).alias("name")
+        low = lambda c: F.lower(c).alias("name")
         called = facts.instructions(self.rungs, ["project"]).select("project", low("name")).unionByName(
             self.lines.select("project", F.explode(F.regexp_extract_all("txt", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))).alias("name")).select("project", low("name")))
-        members = l5x.members(e)
-        inner = l5x.aoi_members(e)
+        members, inner = self.members, self.aoi_members
         types = self.tags.select("project", low("data_type")).unionByName(members.select("project", low("data_type"))).unionByName(inner.select("project", low("data_type"))).where("name IS NOT NULL").distinct()
         some = inner.where("parameter AND lower(name) NOT IN ('enablein', 'enableout')").select("project", low("aoi")).unionByName(self.units.where("aoi IS NOT NULL").select("project", low("aoi"))).distinct()
         busy = called.unionByName(types).unionByName(some).distinct()
@@ -249,7 +253,7 @@ class Project:
         node = lambda c: F.concat_ws("|", "project", F.lower(c))
         edges = members.select(node("type_name").alias("src"), node("data_type").alias("dst"))
         reached = graph.reachable(edges, types.select(node("name").alias("node")))
-        rest = l5x.data_types(e).where("kind <> 'udt'").withColumn("node", node("name")).join(reached, "node", "left_anti").select("project", F.lit("type").alias("kind"), "name")
+        rest = self.data_types.where("kind <> 'udt'").withColumn("node", node("name")).join(reached, "node", "left_anti").select("project", F.lit("type").alias("kind"), "name")
         return idle.unionByName(rest)
 
     def undecoded(self) -> DataFrame:
@@ -266,7 +270,7 @@ class Project:
         return files.routine_files(self.routines, self.units.unionByName(drawn.select(*self.units.columns)))
 
     def import_files(self) -> DataFrame:
-        named = self.routines.join(l5x.controllers(self.elements).select("project", "controller"), "project", "left")
+        named = self.routines.join(self.controllers.select("project", "controller"), "project", "left")
         return files.import_files(named, self.units)
 
     def tags_csv(self) -> DataFrame:

@@ -112,9 +112,27 @@ def _table(schema: str, rows):
 
 def read_members(spark: SparkSession, path: str) -> DataFrame:
     """project (the path), member (lower case), content (unpacked), size: the files in the containers at `path`."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{ACD,acd}").option("recursiveFileLookup", "true").load(path)
-    schema = "project string, member string, content binary, size long"
-    return files.select("path", "content").mapInArrow(_table(schema, lambda raw: [(n.lower(), data := unpacked(raw[o : o + k]), len(data)) for n, o, k in directory(raw)]), schema)
+    return members_in(spark.read.format("binaryFile").option("pathGlobFilter", "*.{ACD,acd}").option("recursiveFileLookup", "true").load(path))
+
+
+_MEMBERS = "project string, member string, content binary, size long"
+
+
+def members_in(files: DataFrame) -> DataFrame:
+    """read_members of the rows (path, content) of files."""
+    return files.select("path", "content").mapInArrow(_table(_MEMBERS, lambda raw: [(n.lower(), data := unpacked(raw[o : o + k]), len(data)) for n, o, k in directory(raw)]), _MEMBERS)
+
+
+def nested(members: DataFrame, member: str) -> DataFrame:
+    """The files in a container that is itself a member, under the same project; one that can't be read has none."""
+
+    def rows(raw):
+        try:
+            return [(n.lower(), data := unpacked(raw[o : o + k]), len(data)) for n, o, k in directory(raw)]
+        except (ValueError, OSError):
+            return []
+
+    return _from(members, member, _MEMBERS.split(", ", 1)[1], rows)
 
 
 def save_log(spark: SparkSession, path: str) -> DataFrame:
@@ -176,9 +194,9 @@ def kinds(comps_: DataFrame) -> DataFrame:
     return usual.join(found, ["project", "what"], "left").select("project", "what", F.coalesce("found", "usual").alias("kind"))
 
 
-def members_of(comps_: DataFrame, collection: str) -> DataFrame:
-    """project, owner, and the objects in the owner's collection of that name and kind."""
-    what = next(w for w, (c, _) in COLLECTIONS.items() if c == collection)
+def members_of(comps_: DataFrame, collection: str, what: str | None = None) -> DataFrame:
+    """project, owner, and the objects in the owner's collection of that name, of its own kind or of the kind of `what`."""
+    what = what or next(w for w, (c, _) in COLLECTIONS.items() if c == collection)
     lists = comps_.where(F.col("name") == collection).select("project", F.col("id").alias("parent"), F.col("parent").alias("owner"))
     return comps_.join(lists, ["project", "parent"]).join(kinds(comps_).where(F.col("what") == what).select("project", "kind"), ["project", "kind"], "left_semi")
 
@@ -247,20 +265,22 @@ def resolved(units: DataFrame, comps_: DataFrame, keys: list[str], text: str = "
     return at.withColumn("unresolved", F.regexp_count(text, F.lit(r"@[0-9a-fA-F]{8}@|&[0-9a-fA-F]{8}:")))
 
 
-def routines(comps_: DataFrame, owners: str = "RxProgramCollection") -> DataFrame:
-    """project, program, routine, id, type, parent_key, member_key: the routines of programs."""
-    own = comps_.select("project", F.col("id").alias("owner"), F.col("name").alias("program"), F.col("parent").alias("__list"))
-    lists = comps_.where(F.col("name") == owners).select("project", F.col("id").alias("__list"))
+def routines(comps_: DataFrame) -> DataFrame:
+    """project, program, aoi, routine, id, type, parent_key, member_key: the routines of programs and user-defined instructions."""
+    inside = F.col("name") == "RxProgramCollection"
+    lists = comps_.where(inside | (F.col("name") == "RxUDIDefinitionCollection")).select("project", F.col("id").alias("__list"), inside.alias("__program"))
+    own = comps_.select("project", F.col("id").alias("owner"), F.col("name").alias("__name"), F.col("parent").alias("__list")).join(lists, ["project", "__list"])
+    own = own.select("project", "owner", F.when(F.col("__program"), F.col("__name")).alias("program"), F.when(~F.col("__program"), F.col("__name")).alias("aoi"))
     kind = F.create_map(*[F.lit(x) for p in ROUTINE_TYPES.items() for x in p])[F.col("type_code")]
-    return members_of(comps_, "RxRoutineCollection").join(own.join(lists, ["project", "__list"]), ["project", "owner"]).select("project", "program", F.col("name").alias("routine"), "id", F.coalesce(kind, F.lit("Unknown")).alias("type"), "parent_key", "member_key")
+    return members_of(comps_, "RxRoutineCollection").join(own, ["project", "owner"]).select("project", "program", "aoi", F.col("name").alias("routine"), "id", F.coalesce(kind, F.lit("Unknown")).alias("type"), "parent_key", "member_key")
 
 
 def rungs(members: DataFrame, comps_: DataFrame) -> DataFrame:
-    """project, program, routine, n, txt, comment, unresolved: ladder logic in region order; a region without text is an empty rung."""
+    """project, program, aoi, routine, n, txt, comment, unresolved: ladder logic in region order; a region without text is an empty rung."""
     own = routines(comps_).where("type IN ('RLL', 'Unknown')").withColumnRenamed("id", "owner")
     at = region_map(comps_).join(own, ["project", "owner"]).join(rung_texts(members), ["project", "region"], "left").join(comment_links(members), ["project", "region"], "left")
     said = comments(members).where("rung_key IS NOT NULL").select("project", "parent_key", "member_key", F.col("rung_key").alias("key"), F.col("text").alias("comment"))
     at = at.join(said, ["project", "parent_key", "member_key", "key"], "left")
     n = F.row_number().over(Window.partitionBy("project", "owner").orderBy("ord", "region")) - 1
-    rows = at.select("project", "program", "routine", n.cast("long").alias("n"), F.coalesce("txt", F.lit("")).alias("txt"), "comment")
-    return resolved(rows, comps_, ["project", "program", "routine", "n"])
+    rows = at.select("project", "owner", "program", "aoi", "routine", n.cast("long").alias("n"), F.coalesce("txt", F.lit("")).alias("txt"), "comment")
+    return resolved(rows, comps_, ["project", "owner", "n"]).drop("owner")

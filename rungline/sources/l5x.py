@@ -19,15 +19,15 @@ _OWNERS = {"Program": "program", "AddOnInstructionDefinition": "aoi", "Routine":
 _LEAVES = ("Text", "Comment", "Description", "SafetyTagMap", "RevisionNote")
 
 
-def elements_of(project: str, content: bytes):
-    """Rows of one file; raises ValueError unless its root is RSLogix5000Content."""
+def elements_of(project: str, content: bytes | str, root: str = "RSLogix5000Content"):
+    """Rows of one file; raises ValueError unless its root is `root`."""
     rows: list[dict] = []
     open_: list[dict] = []
     cdata = False
 
     def start(name, attrs):
         up = open_[-1] if open_ else None
-        if up is None and name != "RSLogix5000Content":
+        if up is None and name != root:
             raise ValueError(f"{project}: root is {name}")
         row = {"project": project, "element": name, "seq": len(rows) + 1, "parent": up["seq"] if up else 0, "attrs": attrs, "texts": {}, "ord": 0, "__plain": [], "__cdata": [], "__n": {}}
         for k in ("program", "aoi", "routine"):
@@ -68,6 +68,11 @@ def elements_of(project: str, content: bytes):
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """All elements of the L5X files at `path` (a file, folder or pattern). A project is named by its path."""
+    return elements_in(spark.read.format("binaryFile").option("pathGlobFilter", "*.{L5X,l5x}").option("recursiveFileLookup", "true").load(path))
+
+
+def elements_in(files: DataFrame) -> DataFrame:
+    """read_elements of the rows (path, content) of files."""
 
     def parse(batches):
         for b in batches:
@@ -77,7 +82,6 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
                     part = [dict(r, attrs=list(r["attrs"].items()), texts=list(r["texts"].items())) for r in rows[k : k + 10_000]]
                     yield pa.RecordBatch.from_pylist(part, _SCHEMA)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{L5X,l5x}").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(parse, ELEMENTS)
 
 
@@ -85,6 +89,11 @@ def _attr(name: str):
     return F.col("attrs")[name]
 
 
+def _sizes(name: str):
+    """The sizes above 0 in an attribute, which commas or spaces part."""
+    return F.transform(F.filter(F.split(F.trim(_attr(name)), r"[\s,]+"), lambda x: x.rlike("^[1-9][0-9]*$")), lambda x: x.cast("int"))
+
+
 def rungs(e: DataFrame) -> DataFrame:
     """project, program, aoi, routine, n (renumbered from 0), txt, comment."""
     return e.where("element = 'Rung'").select("project", "program", "aoi", "routine", F.col("ord").cast("long").alias("n"), F.coalesce(F.col("texts")["Text"], F.lit("")).alias("txt"), F.col("texts")["Comment"].alias("comment"))
@@ -107,7 +116,7 @@ def routines(e: DataFrame) -> DataFrame:
 
 def tags(e: DataFrame) -> DataFrame:
     """project, scope ('' for the controller), name, data_type, dims, alias_for, safety, constant, access. Tags of a safety program are safety tags."""
-    dims = F.transform(F.filter(F.split(F.trim(_attr("Dimensions")), r"[\s,]+"), lambda x: x.rlike("^[1-9][0-9]*$")), lambda x: x.cast("int"))
+    dims = _sizes("Dimensions")
     safe = programs(e).where("safety").select("project", F.col("program").alias("scope"), F.lit(True).alias("__s"))
     got = e.where("element = 'Tag'").select("project", F.coalesce("program", F.lit("")).alias("scope"), _attr("Name").alias("name"), _attr("DataType").alias("data_type"), dims.alias("dims"), _attr("AliasFor").alias("alias_for"), (_attr("Class") == "Safety").alias("safety"), (_attr("Constant") == "true").alias("constant"), _attr("ExternalAccess").alias("access"), F.col("texts")["Description"].alias("description"))
     return got.join(safe, ["project", "scope"], "left").withColumn("safety", F.coalesce("safety", F.lit(False)) | F.coalesce("__s", F.lit(False))).drop("__s")
@@ -145,7 +154,7 @@ def aois(e: DataFrame) -> DataFrame:
 
 def aoi_members(e: DataFrame) -> DataFrame:
     """project, aoi, name, data_type of parameters and local tags."""
-    return e.where("element IN ('Parameter', 'LocalTag') AND aoi IS NOT NULL").select("project", "aoi", _attr("Name").alias("name"), _attr("DataType").alias("data_type"), (F.col("element") == "Parameter").alias("parameter"))
+    return e.where("element IN ('Parameter', 'LocalTag') AND aoi IS NOT NULL").select("project", "aoi", _attr("Name").alias("name"), _attr("DataType").alias("data_type"), (F.col("element") == "Parameter").alias("parameter"), _sizes("Dimensions").alias("dims"))
 
 
 def data_types(e: DataFrame) -> DataFrame:
@@ -165,12 +174,26 @@ def controllers(e: DataFrame) -> DataFrame:
 def members(e: DataFrame) -> DataFrame:
     types = e.where("element = 'DataType'").select("project", F.col("seq").alias("t"), _attr("Name").alias("type_name"))
     lists = e.where("element = 'Members'").select("project", F.col("seq").alias("l"), F.col("parent").alias("t"))
-    got = e.where("element = 'Member'").select("project", F.col("parent").alias("l"), "ord", _attr("Name").alias("name"), _attr("DataType").alias("data_type"), _attr("BitNumber").cast("int").alias("bit"), _attr("Target").alias("target"))
-    return got.join(lists, ["project", "l"]).join(types, ["project", "t"]).select("project", "type_name", "ord", "name", "data_type", "bit", "target")
+    got = e.where("element = 'Member'").select("project", F.col("parent").alias("l"), "ord", _attr("Name").alias("name"), _attr("DataType").alias("data_type"), _attr("BitNumber").cast("int").alias("bit"), _attr("Target").alias("target"), _sizes("Dimension").alias("dims"))
+    return got.join(lists, ["project", "l"]).join(types, ["project", "t"]).select("project", "type_name", "ord", "name", "data_type", "bit", "target", "dims")
 
 
 def modules(e: DataFrame) -> DataFrame:
-    return e.where("element = 'Module'").select("project", _attr("Name").alias("module"), _attr("ParentModule").alias("parent"), _attr("CatalogNumber").alias("catalog"), _attr("Vendor").alias("vendor"), F.coalesce(_attr("Inhibited") == "true", F.lit(False)).alias("inhibited"))
+    """project, module, parent, catalog, vendor, inhibited, revision, address (of the first upstream port), safety, description, ord.
+
+    Safety: a network number other than 0 on anything but a controller, or marked as enabled."""
+    lists = e.where("element = 'Ports'").select("project", F.col("seq").alias("__l"), F.col("parent").alias("seq"))
+    up = e.where("element = 'Port' AND attrs['Upstream'] = 'true'").select("project", F.col("parent").alias("__l"), "ord", _attr("Address").alias("a"))
+    up = up.join(lists, ["project", "__l"]).groupBy("project", "seq").agg(F.min_by("a", "ord").alias("address"))
+    vendor = F.coalesce(_attr("UserDefinedVendor"), F.nullif(_attr("Vendor"), F.lit("")))
+    network = F.regexp_replace(F.coalesce(_attr("SafetyNetwork"), F.lit("")), "^16#", "").rlike("(?i)[1-9a-f]")
+    safe = (network & ~F.coalesce(_attr("ProductType") == "14", F.lit(False))) | F.coalesce(_attr("SafetyEnabled") == "true", F.lit(False))
+    rows = e.where("element = 'Module'").join(up, ["project", "seq"], "left")
+    return rows.select(
+        "project", _attr("Name").alias("module"), F.when(_attr("ParentModule") != _attr("Name"), F.nullif(_attr("ParentModule"), F.lit(""))).alias("parent"), _attr("CatalogNumber").alias("catalog"),
+        F.when(vendor.rlike(r"^\s*0*1\s*$"), "Allen-Bradley").otherwise(F.nullif(vendor, F.lit(""))).alias("vendor"), F.coalesce(_attr("Inhibited") == "true", F.lit(False)).alias("inhibited"),
+        F.when(_attr("Major").isNotNull(), F.concat_ws(".", _attr("Major"), F.coalesce(_attr("Minor"), F.lit("0")))).alias("revision"), "address", safe.alias("safety"), F.col("texts")["Description"].alias("description"), F.col("ord").cast("long").alias("ord"),
+    )
 
 
 def safety_map(e: DataFrame) -> DataFrame:

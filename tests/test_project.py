@@ -250,7 +250,7 @@ def test_pages(project):
     assert set(texts) == {"codebase.md", "map.md", "xref/controller.md", "xref/Area.md", "xref/Safe.md", "bypasses.md", "unconsumed.md", "safety.md", "tags.md", "types.md", "modules.md"}
     assert texts["map.md"].split("\n")[:5] == ["## Cyc (CONTINUOUS)", "### Area", "- main", "  - seq", "- never called: Old"]
     assert "## Zone1\n- write Safe/Main: #0 DEV Zone1.Ok\n- read Safe/Main: #1\n" in texts["xref/controller.md"]
-    assert texts["modules.md"] == "- Local\n  - Mod1 (inhibited)\n"
+    assert texts["modules.md"] == "- **Local**\n  - **Mod1** — **inhibited**\n"
     assert texts["unconsumed.md"].split("\n")[0] == "- Chain Safe/Main#1" and "- not scheduled: Spare" in texts["codebase.md"]
     assert texts["safety.md"] == "- Safe/Main#0 DEV(DevInst) Zone1.Ok: ok → Mod1:SO.Pt00\n"
     assert "controller | Zone1 | DEVT | S | 1 | 1" in texts["tags.md"] and "DEVT.Ok : BIT" in texts["types.md"]

@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from rungline import catalog
+from rungline import catalog_binary as catalog
+from rungline.catalog import IN, OUT
 
 from .conftest import SMALL
 
@@ -56,7 +57,7 @@ def test_paths_from_every_source(spark, duck):
 
 def test_whole_tables_are_used(spark, duck):
     """Every tag, line and part counts, not those of a subset."""
-    tags = duck.sql(f"SELECT count(DISTINCT {catalog.IN}) + count(DISTINCT {catalog.OUT}) FROM lineitem").fetchall()[0][0]
+    tags = duck.sql(f"SELECT count(DISTINCT {IN}) + count(DISTINCT {OUT}) FROM lineitem").fetchall()[0][0]
     assert catalog.QUERIES["xref_all"](spark, SMALL).select("base").distinct().count() == tags
     nodes = duck.sql("SELECT count(*) FROM (SELECT l_orderkey FROM lineitem UNION SELECT l_partkey FROM lineitem)").fetchall()[0][0]
     assert catalog.QUERIES["reachability_all"](spark, SMALL).count() + catalog.QUERIES["orphans_all"](spark, SMALL).count() == nodes
