@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
 from . import tables
 
@@ -146,16 +147,22 @@ ROWS = "n long, pos int, kind string, instruction string, operand string, base s
 
 
 def _grouped(lines: DataFrame, keys: list[str], rows, schema: str) -> DataFrame:
-    kinds, names = dict(lines.dtypes), [c.split(" ")[0] for c in schema.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        got = pd.DataFrame(rows(pdf["n"].tolist(), pdf["txt"].fillna("").tolist()), columns=names)
-        for k in reversed(keys):
-            got.insert(0, k, pdf[k].iloc[0])
-        return got
-
-    return lines.select(*keys, "n", "txt").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
+    """A routine's lines become one row, and many rows go to a worker at once: there are more routines than lines in one."""
+    kinds = dict(lines.dtypes)
+    out = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
+    arrow = to_arrow_schema(StructType.fromDDL(out))
+
+    def run(batches):
+        for b in batches:
+            own, held = [b.column(k) for k in range(len(keys))], []
+            for row, units in enumerate(b.column(len(keys)).to_pylist()):
+                held += [(row, *r) for r in rows([u["n"] for u in units], [u["txt"] or "" for u in units])]
+            if held:
+                at, *columns = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(at)) for c in own] + [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keys) :], strict=True)], schema=arrow)
+
+    units = F.array_sort(F.collect_list(F.struct("n", "txt"))).alias("units")
+    return lines.groupBy(*keys).agg(units).select(*keys, "units").mapInArrow(run, out)
 
 
 def routine_rows(lines: DataFrame, keys: list[str]) -> DataFrame:

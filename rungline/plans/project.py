@@ -274,7 +274,7 @@ class Project:
         return files.import_files(named, self.units)
 
     def tags_csv(self) -> DataFrame:
-        n = self.uses().groupBy("project", F.coalesce("scope", "program").alias("scope"), F.lower("base").alias("name")).agg(F.count_if(~F.col("is_write")).alias("reads"), F.count_if("is_write").alias("writes"))
+        n = self.kept_uses.groupBy("project", F.coalesce("scope", "program").alias("scope"), F.lower("base").alias("name")).agg(F.count_if(~F.col("is_write")).alias("reads"), F.count_if("is_write").alias("writes"))
         return files.tags_csv(self.tags, n)
 
     def summary(self) -> DataFrame:

@@ -145,7 +145,7 @@ def merged(previous: DataFrame, current: DataFrame, on_disk: DataFrame, key: str
     own = F.coalesce("edited", F.lit(False))
     action = (
         F.when(F.col("now").isNull(), F.when(own, "orphan").when(F.col("was"), "remove").otherwise("keep"))
-        .when(F.col("there").isNull(), "write").when(own, "keep").when(F.col("now") == F.col("there"), "same")
+        .when(F.col("there").isNull(), "write").when(F.col("now") == F.col("there"), "same").when(own & (content_hash_of("now") != content_hash_of("there")), "keep")
         .when(content_hash_of("now") == content_hash_of("there"), "heal").otherwise("write")
     )
     return rows.select(key, action.alias("action"), F.when(action.isin("write", "heal"), F.col("now")).otherwise(F.col("there")).alias("text"))
