@@ -180,6 +180,18 @@ def bypass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bypass.findings(rungs(spark, sf_dir), ["program"]).groupBy("program", "kind").agg(F.count("*").alias("n_found"))
 
 
+_LEG = f"CASE l_returnflag WHEN 'A' THEN concat('[XIC(', {IN}, '.Ok),]') WHEN 'N' THEN concat('[XIC(', {IN}, '.Ok),NOP()]') ELSE concat('XIC(', {IN}, '.Ok)') END"
+
+
+@query(f"""SELECT kind, affected, operands, CAST(count(*) AS BIGINT) AS n_found FROM (
+  SELECT CASE l_returnflag WHEN 'A' THEN 'empty-leg' ELSE 'nop-leg' END AS kind, concat('[XIC(', {IN}, CASE l_returnflag WHEN 'A' THEN '.Ok) , ]' ELSE '.Ok) ,NOP() ]' END) AS affected, concat({IN}, '.Ok') AS operands FROM lineitem WHERE l_returnflag IN ('A', 'N')
+  UNION ALL SELECT 'afi', concat({_LEG}, ' AFI() OTE(', {OUT}, '.Cmd)'), concat({IN}, '.Ok,', {OUT}, '.Cmd') FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1) GROUP BY ALL""")
+def bypass_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind of bypass shorts or disables, as text and as tags (X-05, P-04, P-05, F-09)."""
+    found = bypass.findings(rungs(spark, sf_dir), [])
+    return found.groupBy("kind", "affected", F.array_join("operands", ",").alias("operands")).agg(F.count("*").alias("n_found"))
+
+
 _TWO = "concat(CASE WHEN l_linenumber % 2 = 0 THEN concat('XIC(a', CAST(l_partkey % 3 AS STRING), ')XIO(A', CAST(l_suppkey % 3 AS STRING), ')') ELSE concat('[XIC(a', CAST(l_partkey % 3 AS STRING), ') ,XIO(A', CAST(l_suppkey % 3 AS STRING), ')]') END, 'OTE(Q);')"
 
 

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import rung
 
 
+#: What any finding needs: AFI, a contact and its opposite, NOP, or a leg without a call (nothing in parentheses between two marks).
+_PAIR = (r"(?i)XIC *\(", r"(?i)XIO *\(")
+_ANY = r"(?i:AFI|NOP) *\(|[\[,][^()\[\],]*+(?:[,\]]|$)"
+
+
 def findings(units: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, kind, node, operand. Rungs without a branch, AFI or a pair of opposite contacts have none and aren't parsed; nothing is shuffled."""
-    may = F.col("txt").rlike(r"\[|(?i:AFI) *\(") | (F.col("txt").rlike(r"(?i)XIC *\(") & F.col("txt").rlike(r"(?i)XIO *\("))
+    """keys, kind, node, operand, affected, operands. Rungs that can have no finding aren't parsed; nothing is shuffled."""
+    may = F.col("txt").rlike(_ANY) | (F.col("txt").rlike(_PAIR[0]) & F.col("txt").rlike(_PAIR[1]))
     return units.where(may).select(*keys, F.explode(rung.parse_findings("txt")).alias("f")).select(*keys, "f.*")

@@ -216,7 +216,12 @@ class Project:
         return safety.instructions(self.aois, self.kept_uses, self.safety_programs, self.settings)
 
     def bypasses(self) -> DataFrame:
-        return bypass.findings(self.rungs.where("program IS NOT NULL"), KEYS)
+        """Findings of bypassed logic with what they shorten or disable, its operands, and whether any of these is safety-related."""
+        found = bypass.findings(self.rungs.where("program IS NOT NULL"), KEYS)
+        each = found.select(*KEYS, "kind", "node", F.explode("operands").alias("operand")).distinct()
+        each = facts.scoped(each.withColumn("base", paths.base_tag(F.col("operand"))).where("base IS NOT NULL"), self.tags)
+        safe = safety.marked(each, self.tags, self.safety_programs, self.safety_map, self.settings).groupBy(*KEYS, "kind", "node").agg(F.bool_or("safety").alias("safety"))
+        return found.join(safe, [*KEYS, "kind", "node"], "left").withColumn("safety", F.coalesce("safety", F.lit(False)))
 
     def unconsumed(self) -> DataFrame:
         """Writes that nothing reads, but of module outputs, mapped tags, instances and one-shots."""
@@ -229,7 +234,7 @@ class Project:
         return safety.paths_to_sinks(self.kept_uses, self.settings)
 
     def safety_devices(self) -> DataFrame:
-        gone = self.bypasses().where("operand IS NOT NULL").withColumn("operand", F.explode(F.split("operand", ",")))
+        gone = bypass.findings(self.rungs.where("program IS NOT NULL"), KEYS).withColumn("operand", F.explode("operands"))
         gone = facts.scoped(gone.withColumn("base", paths.base_tag(F.col("operand"))).where("base IS NOT NULL"), self.tags)
         return safety.devices(self.kept_uses, self.safety_instructions(), self.aoi_args, self.paths_to_sinks(), gone)
 

@@ -97,6 +97,8 @@ def test_calls_and_orphans(project):
 
 def test_bypasses(project):
     got = sorted((r.program, r.n, r.kind, r.operand) for r in project.bypasses().select("program", "n", "kind", "operand").collect())
+    said = {r.n: (r.affected, r.safety) for r in project.bypasses().collect()}
+    assert said == {0: ("[XIC(Run) , ]", False), 2: ("XIC(Start) AFI() OTE(Lamp)", False), 3: ("XIC(Cnt.0) … XIO(Cnt.0) in series", False), 4: ("[XIC(Stop) ,XIO(Stop) ]", False)}
     assert [g[:3] for g in got] == [("Area", 0, "empty-leg"), ("Area", 2, "afi"), ("Area", 3, "never-true"), ("Area", 4, "always-true")]
     assert got[0][3] == "Run" and got[2][3] == "Cnt.0"
 
