@@ -75,4 +75,4 @@ def shard_documents(docs: DataFrame, tree: list[Shard] | None = None, grown: lis
     counts = table.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     firsts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
-    return table.withColumn("rank", rank).join(F.broadcast(firsts), ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
+    return table.withColumn("rank", rank).join(firsts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
