@@ -86,10 +86,9 @@ _NORM = _PATH.replace("[3]", "[*]").replace("'T'", "'t'").replace(".OkToo", ".ok
 @query(f"""WITH p AS (SELECT DISTINCT CAST(p_partkey % 40 AS BIGINT) AS b, {_NORM} AS k FROM part)
 SELECT x.k AS a, y.k AS b FROM p x JOIN p y ON x.b = y.b AND (x.k = y.k OR starts_with(x.k, concat(y.k, '.')) OR starts_with(x.k, concat(y.k, '[')) OR starts_with(y.k, concat(x.k, '.')) OR starts_with(y.k, concat(x.k, '[')))""")
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of paths of which one holds the other: an equality join on the base, the overlap as residual (F-01, F-02, J-02)."""
-    p = table(spark, sf_dir, "part").selectExpr(f"{_PATH} AS path").select(F.lower(paths.base_tag(F.col("path"))).alias("base"), paths.norm(F.col("path")).alias("k")).distinct()
-    x, y = p.select("base", F.col("k").alias("a")), p.select(F.col("base").alias("base2"), F.col("k").alias("b"))
-    return x.join(y, (F.col("base") == F.col("base2")) & paths.overlaps(F.col("a"), F.col("b"))).select("a", "b")
+    """Pairs of paths of which one holds the other, by the index of prefixes (F-01, F-02, J-02)."""
+    p = facts.keyed(table(spark, sf_dir, "part").selectExpr(f"{_PATH} AS operand").withColumn("base", paths.base_tag(F.col("operand"))), F.lit(""))
+    return facts.overlap_pairs(p, p).select(F.expr("substring(use_key, 2)").alias("a"), F.expr("substring(other_key, 2)").alias("b"))
 
 
 # reads use Out(k) where k % 7 isn't 0, so every seventh output is never read
@@ -97,7 +96,7 @@ _SOME = "concat(CASE WHEN l_partkey % 7 <> 0 THEN concat('XIC(Out', CAST(l_partk
 
 
 def _some(spark, sf_dir):
-    units = table(spark, sf_dir, "lineitem").selectExpr(f"{PROGRAM} AS program", "l_orderkey AS n", f"{_SOME} AS txt")
+    units = synth.spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{PROGRAM} AS program", "l_orderkey AS n", f"{_SOME} AS txt")
     return facts.keyed(facts.operand_uses(units, ["program", "n"]), F.lit(""))
 
 
@@ -122,7 +121,7 @@ _EVERY = "concat(CASE WHEN l_partkey % 7 <> 0 THEN concat('XIC(Out', CAST(l_part
 
 
 def _every(spark, sf_dir):
-    units = table(spark, sf_dir, "lineitem").selectExpr(f"{PROGRAM} AS program", "l_orderkey AS n", f"{_EVERY} AS txt")
+    units = synth.spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{PROGRAM} AS program", "l_orderkey AS n", f"{_EVERY} AS txt")
     return facts.keyed(facts.operand_uses(units, ["program", "n"]), F.lit(""))
 
 
@@ -157,7 +156,7 @@ _MOVE = "concat('MOV(', CASE l_linenumber WHEN 1 THEN '5' WHEN 2 THEN '16#FF' WH
   UNION ALL SELECT concat('Src', CAST(l_partkey % 9 AS STRING)), false FROM lineitem WHERE l_linenumber > 3) GROUP BY ALL""")
 def literal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literals are no tags (P-08)."""
-    return facts.operand_uses(table(spark, sf_dir, "lineitem").selectExpr(f"{_MOVE} AS txt"), []).groupBy("operand", "is_write").agg(F.count("*").alias("n_uses"))
+    return facts.operand_uses(synth.spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{_MOVE} AS txt"), []).groupBy("operand", "is_write").agg(F.count("*").alias("n_uses"))
 
 
 _EXPR = "concat('CPT(D', CAST(l_linenumber AS STRING), ',(A', CAST(l_partkey % 5 AS STRING), '.V + ABS(B[', CAST(l_suppkey % 3 AS STRING), ']) * 16#FF) MOD 7);')"
@@ -167,7 +166,7 @@ _EXPR = "concat('CPT(D', CAST(l_linenumber AS STRING), ',(A', CAST(l_partkey % 5
   UNION ALL SELECT concat('A', CAST(l_partkey % 5 AS STRING)), false FROM lineitem UNION ALL SELECT 'B', false FROM lineitem) GROUP BY ALL""")
 def expression_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tag of an expression is read; functions and radix literals are none (P-09)."""
-    return facts.operand_uses(table(spark, sf_dir, "lineitem").selectExpr(f"{_EXPR} AS txt"), []).groupBy("base", "is_write").agg(F.count("*").alias("n_uses"))
+    return facts.operand_uses(synth.spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{_EXPR} AS txt"), []).groupBy("base", "is_write").agg(F.count("*").alias("n_uses"))
 
 
 # ------------------------------------------------------------------ branch tree
@@ -199,7 +198,7 @@ _TWO = "concat(CASE WHEN l_linenumber % 2 = 0 THEN concat('XIC(a', CAST(l_partke
   FROM lineitem WHERE l_partkey % 3 = l_suppkey % 3 GROUP BY ALL""")
 def bypass_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A contact and its opposite in series, or as the two legs of a branch (X-05)."""
-    return bypass.findings(table(spark, sf_dir, "lineitem").selectExpr(f"{_TWO} AS txt"), []).groupBy("kind", F.lower("operand").alias("operand")).agg(F.count("*").alias("n_found"))
+    return bypass.findings(synth.spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{_TWO} AS txt"), []).groupBy("kind", F.lower("operand").alias("operand")).agg(F.count("*").alias("n_found"))
 
 
 @query(f"SELECT sha1({TEXT}) AS h, CAST(count(*) AS BIGINT) AS n_rungs FROM lineitem GROUP BY 1")
@@ -208,7 +207,7 @@ def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.regexp_replace(F.regexp_replace("txt", r"\)", ")  "), r"\[", " [\n ")
     made = F.regexp_replace(rung.canonical_rung(spaced), r"\) ", ")")
     plain = F.regexp_replace(F.regexp_replace("txt", r"\) ,", "),"), " ", "")
-    t = table(spark, sf_dir, "lineitem").selectExpr(f"{TEXT} AS txt").withColumns({"made": made, "plain": plain})
+    t = synth.spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{TEXT} AS txt").withColumns({"made": made, "plain": plain})
     return t.groupBy(F.sha1(F.when(F.col("made") == F.col("plain"), F.col("txt")).otherwise("differs")).alias("h")).agg(F.count("*").alias("n_rungs"))
 
 
@@ -342,7 +341,7 @@ def aoi_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = f"concat({_AOI}, '(I', l_linenumber, ',A', l_partkey % 7, ',Z', l_orderkey % 7, ',Q', l_partkey % 3, ');')"
     args = spark.range(5).selectExpr("concat('DEV', id) AS aoi", "posexplode(array(named_struct('param', 'In', 'usage', 'Input'), named_struct('param', 'Obj', 'usage', 'InOut'), named_struct('param', 'Q', 'usage', 'Output'))) AS (k, s)").selectExpr("aoi", "k + 1 AS ord", "s.param", "s.usage")
     inner = spark.range(3).selectExpr("concat('DEV', id) AS aoi", "'obj' AS param", "'.Ok' AS suffix", "true AS is_write")
-    uses = facts.operand_uses(table(spark, sf_dir, "lineitem").selectExpr(f"{text} AS txt"), [], args, inner)
+    uses = facts.operand_uses(synth.spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{text} AS txt"), [], args, inner)
     return uses.groupBy("via", "is_write", "operand").agg(F.count("*").alias("n_uses"))
 
 
@@ -512,7 +511,7 @@ _BROKEN = """concat(CASE l_linenumber % 4 WHEN 0 THEN 'XIC(a)' WHEN 1 THEN 'XIC(
   UNION ALL SELECT 'unbalanced []' FROM lineitem WHERE l_linenumber % 4 IN (2, 3)) GROUP BY problem""")
 def rung_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure faults of rungs (P-13)."""
-    t = table(spark, sf_dir, "lineitem").selectExpr(f"{_BROKEN} AS txt")
+    t = synth.spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{_BROKEN} AS txt")
     return t.select(F.explode(rung.rung_problems("txt")).alias("problem")).groupBy("problem").agg(F.count("*").alias("n_found"))
 
 

@@ -38,6 +38,12 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a == b) | inside(a, b) | inside(b, a)
 
 
+def above(path: Column, base: Column) -> Column:
+    """The paths that hold a normalised path, from its base on: each ends where a `.` or `[` follows. None for a base itself."""
+    ends = F.filter(F.sequence(F.length(base) + 1, F.length(path)), lambda i: F.substr(path, i, F.lit(1)).isin(".", "["))
+    return F.when(F.length(path) > F.length(base), F.transform(ends, lambda i: F.substr(path, F.lit(1), i - 1))).otherwise(F.array().cast("array<string>"))
+
+
 def is_output_module(operand: Column) -> Column:
     return operand.rlike(r"(?i):S?O(\b|$)")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, rung, tables
+from . import graph
 
 
 def instructions(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,10 +102,30 @@ def keyed(uses: DataFrame, scope: Column) -> DataFrame:
     return uses.withColumns({"use_key": F.concat_ws("|", scope, paths.norm(F.col("operand"))), "scope_base": F.concat_ws("|", scope, F.lower("base"))})
 
 
+def overlap_pairs(some: DataFrame, others: DataFrame) -> DataFrame:
+    """scope_base, use_key, other_key: the distinct paths of `some` and of `others` that overlap.
+
+    An index of prefixes: two paths overlap where they are equal or one holds the other, so each path meets the other side's paths above
+    it, and the other way round. All three joins are equalities on whole paths: a tag with very many members is no hot group, as only its
+    own uses meet there."""
+    a, b = some.select("scope_base", "use_key").distinct(), others.select("scope_base", F.col("use_key").alias("other_key")).distinct()
+    up = lambda df, key: df.select("scope_base", key, F.explode(paths.above(F.col(key), F.col("scope_base"))).alias("at"))
+    equal = a.join(b.withColumn("use_key", F.col("other_key")), ["scope_base", "use_key"])
+    below = up(a, "use_key").join(b.withColumn("at", F.col("other_key")), ["scope_base", "at"]).drop("at")
+    holds = up(b, "other_key").join(a.withColumn("at", F.col("use_key")), ["scope_base", "at"]).drop("at")
+    return equal.unionByName(below).unionByName(holds)
+
+
 def partners(some: DataFrame, others: DataFrame, how: str) -> DataFrame:
-    """Rows of `some` whose path overlaps one of `others` (how = left_semi) or none (left_anti): equality on scope_base, the overlap as residual."""
-    right = others.select(F.col("scope_base").alias("__b"), F.col("use_key").alias("__k")).distinct()
-    return some.join(right, (F.col("scope_base") == F.col("__b")) & paths.overlaps(F.col("use_key"), F.col("__k")), how)
+    """Rows of `some` whose path overlaps one of `others` (how = left_semi) or none (left_anti). Only distinct paths meet; a path finds a
+    partner above it, or among the paths that hold another and so are marked once, whatever lies below them."""
+    mine = some.select("scope_base", "use_key").distinct()
+    other = others.select("scope_base", "use_key").distinct()
+    here = other.select("scope_base", F.explode(F.concat(F.array("use_key"), paths.above(F.col("use_key"), F.col("scope_base")))).alias("use_key")).distinct()
+    at = mine.select("scope_base", "use_key", F.explode(paths.above(F.col("use_key"), F.col("scope_base"))).alias("__at"))
+    held = at.join(other.select("scope_base", F.col("use_key").alias("__at")), ["scope_base", "__at"], "left_semi").select("scope_base", "use_key")
+    met = mine.join(here, ["scope_base", "use_key"], "left_semi").unionByName(held).distinct()
+    return some.join(met, ["scope_base", "use_key"], how)
 
 
 def without_partner(some: DataFrame, others: DataFrame) -> DataFrame:
@@ -112,11 +133,21 @@ def without_partner(some: DataFrame, others: DataFrame) -> DataFrame:
     return partners(some, others, "left_anti")
 
 
-def dangling(uses: DataFrame, write: bool, keys: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
-    """Writes that nothing reads (write=True), or reads that nothing writes: by key, the first operand, instructions and number of places."""
-    some, others = uses.where(F.col("is_write") == write), uses.where(F.col("is_write") != write)
-    place = F.struct(*keys, "pos", "idx")
-    return without_partner(some, others).groupBy("use_key").agg(F.min_by("operand", place).alias("operand"), F.array_sort(F.collect_set("instruction")).alias("instructions"), F.count_distinct(*keys).alias("places"), F.every(F.col("via").isNotNull()).alias("via_only"), *[c.alias(k) for k, c in (extra or {}).items()])
+def dangling(uses: DataFrame, write: bool, keys: list[str], extra: dict[str, tuple] | None = None) -> DataFrame:
+    """Writes that nothing reads (write=True), or reads that nothing writes: by key, the first operand, instructions and number of places.
+
+    extra: name -> (aggregate, column) over the same rows. Uses are aggregated by path before anything is compared, in one pass that is
+    kept, so units are parsed once and only distinct paths meet."""
+    mine = F.col("is_write") == write
+    own = lambda c: F.when(mine, c)
+    place = own(F.struct(*keys, "pos", "idx"))
+    by_path = uses.groupBy("scope_base", "use_key").agg(
+        F.bool_or(mine).alias("__mine"), F.bool_or(~mine).alias("__other"), F.min_by("operand", place).alias("operand"), F.array_sort(F.collect_set(own(F.col("instruction")))).alias("instructions"),
+        F.count_distinct(own(F.struct(*keys))).alias("places"), F.every(own(F.col("via").isNotNull())).alias("via_only"), *[fn(own(c)).alias(k) for k, (fn, c) in (extra or {}).items()],
+    )
+    by_path = graph.kept(by_path)
+    some, others = by_path.where("__mine"), by_path.where("__other")
+    return without_partner(some, others).drop("__mine", "__other")
 
 
 def cross_reference(uses: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -75,24 +75,26 @@ def instructions(aois: DataFrame, uses: DataFrame, safe: DataFrame, settings: Se
 
 
 def marked(uses: DataFrame, tags: DataFrame, safe: DataFrame, mapping: DataFrame, settings: Settings) -> DataFrame:
-    """uses with safety, mapped_safety and mapped_standard.
+    """uses with safety, core, mapped_safety and mapped_standard.
 
     A use is safety-related by its name, by its tag's class, or by a scope that is a safety program; a tag that is declared nowhere
-    belongs to the program that uses it."""
+    belongs to the program that uses it. Names alone make no core: that is the class of the tag, its scope, or the program that uses it."""
     where = F.coalesce("scope", "program")
     classed = tags.where("safety").select("project", F.col("scope").alias("__scope"), F.lower("name").alias("__name"), F.lit(True).alias("__class")).distinct()
     scopes = safe.select("project", F.col("program").alias("__scope"), F.lit(True).alias("__safe"))
     pairs = [mapping.select("project", F.lower(c).alias("__name"), F.lit("").alias("__scope"), F.lit(True).alias(f"__{c}")).distinct() for c in ("safety", "standard")]
     u = uses.withColumns({"__scope": where, "__name": F.lower("base")})
     u = u.join(classed, ["project", "__scope", "__name"], "left").join(scopes, ["project", "__scope"], "left")
+    u = u.join(safe.select("project", "program", F.lit(True).alias("__ran")), ["project", "program"], "left")
     for p in pairs:
         u = u.join(p, ["project", "__scope", "__name"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     return u.withColumns({
         "safety": _like(F.col("operand"), settings.names) | yes("__class") | yes("__safe"),
+        "core": yes("__class") | yes("__safe") | yes("__ran"),
         "mapped_safety": yes("__safety") | _like(F.col("__name"), settings.mapped),
         "mapped_standard": yes("__standard"),
-    }).drop("__scope", "__name", "__class", "__safe", "__safety", "__standard")
+    }).drop("__scope", "__name", "__class", "__safe", "__ran", "__safety", "__standard")
 
 
 def unconsumed(uses: DataFrame, settings: Settings) -> DataFrame:
@@ -100,7 +102,7 @@ def unconsumed(uses: DataFrame, settings: Settings) -> DataFrame:
     places, kind (aoi-output: written by user-defined instructions alone and not a device's result), safety."""
     inner = (F.col("via") == "instance").eqNullSafe(True) | (F.col("instruction").isin("ONS", "OSR", "OSF") & (F.col("idx") == 0))
     mine = uses.where(~F.col("is_write") | ~(inner | paths.is_output_module(F.col("base")) | F.col("mapped_standard")))
-    got = facts.dangling(mine, True, UNIT, {"safety": F.bool_or("safety"), "project": F.first("project")})
+    got = facts.dangling(mine, True, UNIT, {"safety": (F.bool_or, F.col("safety")), "project": (F.max, F.col("project"))})
     kind = F.when(F.col("via_only") & ~_like(F.col("operand"), settings.result), "aoi-output")
     return got.select("project", "use_key", "operand", "instructions", "places", kind.alias("kind"), "safety")
 
@@ -109,7 +111,7 @@ def unproduced(uses: DataFrame) -> DataFrame:
     """Safety-related reads that nothing writes, but of modules: kind is partial if logic writes other members of the tag, else external."""
     module = paths.is_input_module(F.col("base")) | paths.is_output_module(F.col("base"))
     mine = uses.where(F.col("is_write") | (F.col("safety") & ~module))
-    got = facts.dangling(mine, False, UNIT, {"scope_base": F.first("scope_base"), "mapped": F.bool_or("mapped_safety"), "project": F.first("project")})
+    got = facts.dangling(mine, False, UNIT, {"mapped": (F.bool_or, F.col("mapped_safety")), "project": (F.max, F.col("project"))})
     some = uses.where("is_write").select("scope_base", F.lit(True).alias("__w")).distinct()
     kind = F.when(F.col("__w").isNull() | F.col("mapped"), "external").otherwise("partial")
     return got.join(some, "scope_base", "left").select("project", "use_key", "operand", "instructions", "places", kind.alias("kind"))
@@ -120,9 +122,8 @@ def hops(uses: DataFrame) -> DataFrame:
 
     Nodes are written paths; the pairs of a unit are its own reads and writes, which a rung holds few of."""
     reads, writes = uses.where("NOT is_write"), uses.where("is_write")
-    read = reads.select(*UNIT, F.col("use_key").alias("rk"), "scope_base").distinct()
-    feeds = writes.select(F.col("use_key").alias("src"), F.col("scope_base").alias("sb")).distinct()
-    into = feeds.join(read, (F.col("sb") == F.col("scope_base")) & paths.overlaps(F.col("src"), F.col("rk"))).select("src", *UNIT).distinct()
+    read = reads.select(*UNIT, F.col("use_key").alias("other_key"), "scope_base").distinct()
+    into = facts.overlap_pairs(writes, reads).join(read, ["scope_base", "other_key"]).select(F.col("use_key").alias("src"), *UNIT).distinct()
     return into.join(writes.select(*UNIT, F.col("use_key").alias("dst")).distinct(), UNIT).select("src", "dst", *UNIT)
 
 
@@ -149,21 +150,28 @@ def paths_to_sinks(uses: DataFrame, settings: Settings, hops_: int = 12) -> Data
 
 
 def devices(uses: DataFrame, safe_aois: DataFrame, aoi_args: DataFrame, reached: DataFrame, bypassed: DataFrame) -> DataFrame:
-    """One row for each unit and safety instruction it calls: instance, inputs, objects, and outputs with consumers, sink and bypasses.
+    """One row for each unit and safety instruction it calls: instance, inputs, objects, and outputs with consumers, sink, hops, chain, the
+    number of bypasses and their first places.
 
-    bypassed: project, program, scope_base, use_key of bypassed operands. A consumer is another unit that reads what overlaps the output."""
+    bypassed: UNIT, scope_base, use_key of bypassed operands. A consumer is another unit that reads what overlaps the output. Outputs that
+    differ in case alone, as one instruction may write a member on more than one path, are one: their consumers and bypasses are united."""
     calls = uses.where("via IS NOT NULL").join(safe_aois.withColumnRenamed("aoi", "instruction"), ["project", "instruction"], "left_semi")
     calls = calls.join(aoi_args.select("project", F.col("aoi").alias("instruction"), F.col("param").alias("via"), "usage"), ["project", "instruction", "via"], "left")
     key = [*UNIT, "instruction"]
     outputs = calls.where("is_write AND via <> 'instance'").select(*key, "operand", "use_key", "scope_base").distinct()
-    reads = uses.where("NOT is_write").select(*[F.col(k).alias(f"r_{k}") for k in UNIT], F.col("scope_base").alias("rb"), F.col("use_key").alias("rk")).distinct()
-    other = F.struct(*[F.col(f"r_{k}") for k in UNIT]) != F.struct(*UNIT)
-    used = outputs.join(reads, (F.col("scope_base") == F.col("rb")) & paths.overlaps(F.col("use_key"), F.col("rk")) & other, "left")
-    used = used.groupBy(*key, "operand", "use_key", "scope_base").agg(F.count_distinct(*[F.when(F.col("rb").isNotNull(), F.col(f"r_{k}")) for k in UNIT]).alias("consumers"))
-    gone = bypassed.select(F.col("scope_base").alias("bb"), F.col("use_key").alias("bk"), F.lit(1).alias("b")).distinct()
-    used = used.join(gone, (F.col("scope_base") == F.col("bb")) & paths.overlaps(F.col("use_key"), F.col("bk")), "left")
-    used = used.groupBy(*key, "operand", "use_key", "consumers").agg(F.count("b").alias("bypassed")).join(reached, ["use_key", *UNIT], "left")
-    outs = used.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("operand", "consumers", "sink", "hops", "bypassed"))).alias("outputs"))
+    unit = F.struct(*UNIT)
+    at = lambda others: facts.overlap_pairs(outputs, others).join(others.select("scope_base", F.col("use_key").alias("other_key"), unit.alias("at")).distinct(), ["scope_base", "other_key"]).select("scope_base", "use_key", "at").distinct()
+    same = F.lower("operand")
+    member = outputs.select(*key, "scope_base", "use_key", same.alias("same"))
+    count = lambda df, name: df.groupBy(*key, "same").agg(F.count_distinct("at").alias(name))
+    read = count(member.join(at(uses.where("NOT is_write")), ["scope_base", "use_key"]).where(F.col("at") != unit), "consumers")
+    gone = member.join(at(bypassed), ["scope_base", "use_key"]).select(*key, "same", "at").distinct()
+    order = Window.partitionBy(*key, "same").orderBy("at")
+    first = gone.withColumn("k", F.row_number().over(order)).groupBy(*key, "same").agg(F.count("*").alias("bypassed"), F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.col("at")))).alias("places"))
+    ends = outputs.join(reached, ["use_key", *UNIT], "left").groupBy(*key, same.alias("same")).agg(F.min("operand").alias("operand"), F.min(F.when(F.col("sink").isNotNull(), F.struct("hops", "sink", "chain"))).alias("m"))
+    used = ends.join(read, [*key, "same"], "left").join(first, [*key, "same"], "left")
+    out = F.struct("operand", F.coalesce("consumers", F.lit(0)).alias("consumers"), F.col("m.sink").alias("sink"), F.col("m.hops").alias("hops"), F.coalesce("bypassed", F.lit(0)).alias("bypassed"), "places", F.col("m.chain").alias("chain"))
+    outs = used.groupBy(*key).agg(F.array_sort(F.collect_list(out)).alias("outputs"))
     text = lambda when, what: F.array_sort(F.collect_set(F.when(when, what)))
     head = calls.groupBy(*key).agg(
         F.max(F.when(F.col("via") == "instance", F.col("operand"))).alias("instance"),
@@ -173,14 +181,43 @@ def devices(uses: DataFrame, safe_aois: DataFrame, aoi_args: DataFrame, reached:
     return head.join(outs, key, "left").withColumnRenamed("instruction", "aoi")
 
 
+def judged(devices_: DataFrame, settings: Settings) -> DataFrame:
+    """devices with `judged`, the outputs a device is judged on, and `problems`, what is wrong with it (none: an empty list).
+
+    Judged are the outputs that are the configured result, else those that other logic reads, else all. A device is at fault if it writes
+    no output, none of the judged is read, none of the read ones reaches a sink, or one of them is bypassed."""
+    outs = F.coalesce("outputs", F.array().cast(devices_.schema["outputs"].dataType))
+    is_read = lambda o: o["consumers"] > 0
+    named = F.filter(outs, lambda o: _like(o["operand"], settings.result))
+    read_ = F.filter(outs, is_read)
+    d = devices_.withColumn("judged", F.when(F.size(named) > 0, named).when(F.size(read_) > 0, read_).otherwise(outs))
+    d = d.withColumn("__read", F.filter("judged", is_read))
+    short = lambda o: F.when(F.size("__read") > 1, o["operand"]).otherwise(F.concat(F.when(F.instr(o["operand"], ".") > 0, ".").otherwise(""), F.substring_index(o["operand"], ".", -1)))
+    where = lambda o: F.array_join(F.transform(o["places"], lambda p: F.concat(p["program"], F.lit("/"), p["routine"], F.lit("#"), p["n"].cast("string"))), ", ")
+    more = lambda o: F.when(o["bypassed"] > F.size(o["places"]), F.concat(F.lit(" and "), (o["bypassed"] - F.size(o["places"])).cast("string"), F.lit(" more"))).otherwise("")
+    gone = F.transform(F.filter("__read", lambda o: o["bypassed"] > 0), lambda o: F.concat(short(o), F.lit(" bypassed at "), where(o), more(o)))
+    unread = F.lit("not consumed") if settings.result else F.lit("no output is read")
+    unread = F.when(F.size("judged") == 1, unread).otherwise("no output is read")
+    lost = F.when(~F.exists("__read", lambda o: o["sink"].isNotNull()), F.array(F.lit("reaches no output"))).otherwise(F.array().cast("array<string>"))
+    said = F.when(F.size("judged") == 0, F.array(F.lit("writes no output"))).when(F.size("__read") == 0, F.array(unread)).otherwise(F.concat(lost, gone))
+    return d.withColumn("problems", said).drop("__read")
+
+
+def core(dangling: DataFrame, uses: DataFrame, write: bool) -> DataFrame:
+    """dangling rows (use_key) with `core`: whether a use on this side lies in a safety program or is of a tag of safety class (uses marked)."""
+    at = uses.where(F.col("is_write") == write).groupBy("use_key").agg(F.bool_or("core").alias("core"))
+    return dangling.join(at, "use_key", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+
+
 def orphan_devices(uses: DataFrame, tags: DataFrame, devices_: DataFrame) -> DataFrame:
-    """project, scope, tag, data_type, readers: tags of a type passed as a device object that logic reads and nothing writes or maps."""
+    """project, scope, tag, data_type, readers, core: tags of a type passed as a device object that logic reads and nothing writes or maps. Core
+    are those on the safety side; the others are leftovers of standard logic."""
     t = tags.withColumn("scope_base", F.concat_ws("|", "project", "scope", F.lower("name")))
     kinds = devices_.select(F.explode("objects").alias("scope_base")).distinct().join(t, "scope_base").select("project", F.lower("data_type").alias("kind")).distinct()
-    read = uses.where("NOT is_write AND NOT mapped_safety").groupBy("scope_base").agg(F.count_distinct(*UNIT).alias("readers"))
+    read = uses.where("NOT is_write AND NOT mapped_safety").groupBy("scope_base").agg(F.count_distinct(*UNIT).alias("readers"), F.bool_or("core").alias("core"))
     written = uses.where("is_write").select("scope_base").distinct()
     mine = t.withColumn("kind", F.lower("data_type")).join(kinds, ["project", "kind"], "left_semi")
-    return mine.join(read, "scope_base").join(written, "scope_base", "left_anti").select("project", "scope", F.col("name").alias("tag"), "data_type", "readers")
+    return mine.join(read, "scope_base").join(written, "scope_base", "left_anti").select("project", "scope", F.col("name").alias("tag"), "data_type", "readers", "core")
 
 
 def coverage(tasks: DataFrame, programs_: DataFrame, tags: DataFrame, aois: DataFrame, mapping: DataFrame) -> DataFrame:

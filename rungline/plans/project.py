@@ -238,8 +238,23 @@ class Project:
         gone = facts.scoped(gone.withColumn("base", paths.base_tag(F.col("operand"))).where("base IS NOT NULL"), self.tags)
         return safety.devices(self.kept_uses, self.safety_instructions(), self.aoi_args, self.paths_to_sinks(), gone)
 
+    @cached_property
+    def judged_devices(self) -> DataFrame:
+        """Device calls with the outputs they are judged on and what is wrong with them, kept for the pages that list them."""
+        return graph.kept(safety.judged(self.safety_devices(), self.settings))
+
+    def safety_signals(self) -> DataFrame:
+        """project, part, use_key, operand, places, instructions: core safety signals that nothing reads (unread; diagnostic, for other outputs of
+        instructions) or nothing writes (partial, external), without those of orphan devices."""
+        unread = safety.core(self.unconsumed(), self.marked_uses, True).withColumn("part", F.when(F.col("kind") == "aoi-output", "diagnostic").otherwise("unread"))
+        lost = self.orphan_devices().select("project", F.lower("tag").alias("__b")).distinct()
+        unmade = safety.core(self.unproduced(), self.marked_uses, False).withColumn("part", F.col("kind")).withColumn("__b", F.lower(F.regexp_extract("operand", r"^[^.\[]*", 0)))
+        unmade = unmade.join(lost, ["project", "__b"], "left_anti")
+        out = ["project", "part", "use_key", "operand", "places", "instructions"]
+        return unread.where("core").select(*out).unionByName(unmade.where("core").select(*out))
+
     def orphan_devices(self) -> DataFrame:
-        return safety.orphan_devices(self.marked_uses, self.tags, self.safety_devices())
+        return safety.orphan_devices(self.marked_uses, self.tags, self.judged_devices)
 
     def coverage(self) -> DataFrame:
         return safety.coverage(self.tasks, self.programs, self.tags, self.aois, self.safety_map)

@@ -19,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows on all cores where its files make fewer partitions than there are cores; larger inputs stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rungs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """program, routine, n, txt and `more` expressions for each row of lineitem."""
-    return table(spark, sf_dir, "lineitem").selectExpr(f"{PROGRAM} AS program", f"{ROUTINE} AS routine", f"CAST({NUMBER} AS BIGINT) AS n", f"{TEXT} AS txt", *more)
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{PROGRAM} AS program", f"{ROUTINE} AS routine", f"CAST({NUMBER} AS BIGINT) AS n", f"{TEXT} AS txt", *more)
 
 
 def rungs_sql(*more: str) -> str:

@@ -254,5 +254,5 @@ def test_pages(project):
     assert "## Zone1\n- write Safe/Main: #0 DEV Zone1.Ok\n- read Safe/Main: #1\n" in texts["xref/controller.md"]
     assert texts["modules.md"] == "- **Local**\n  - **Mod1** — **inhibited**\n"
     assert texts["unconsumed.md"].split("\n")[0] == "- Chain Safe/Main#1" and "- not scheduled: Spare" in texts["codebase.md"]
-    assert texts["safety.md"] == "- Safe/Main#0 DEV(DevInst) Zone1.Ok: ok → Mod1:SO.Pt00\n"
+    assert texts["safety.md"].split("\n")[:4] == ["- device calls: 1", "- written, never read: 1", "Zone1.Ok | DEV | Mod1:SI.Pt00 | Safe/Main#0 | 1 | Mod1:SO.Pt00 |  | ", "- unread: Chain in 1 places by OTE"]
     assert "controller | Zone1 | DEVT | S | 1 | 1" in texts["tags.md"] and "DEVT.Ok : BIT" in texts["types.md"]
