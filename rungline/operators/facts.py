@@ -106,8 +106,8 @@ def overlap_pairs(some: DataFrame, others: DataFrame) -> DataFrame:
     """scope_base, use_key, other_key: the distinct paths of `some` and of `others` that overlap.
 
     An index of prefixes: two paths overlap where they are equal or one holds the other, so each path meets the other side's paths above
-    it, and the other way round. All three joins are equalities on whole paths: a tag with very many members is no hot group, as only its
-    own uses meet there."""
+    it, and the other way round. All three joins are equalities on whole paths, so members of a tag aren't compared with each other.
+    A use of a whole tag has all its members as pairs, as they do overlap."""
     a, b = some.select("scope_base", "use_key").distinct(), others.select("scope_base", F.col("use_key").alias("other_key")).distinct()
     up = lambda df, key: df.select("scope_base", key, F.explode(paths.above(F.col(key), F.col("scope_base"))).alias("at"))
     equal = a.join(b.withColumn("use_key", F.col("other_key")), ["scope_base", "use_key"])
