@@ -13,6 +13,7 @@ from ..functions import paths, rung, st, tables
 from ..operators import bypass, facts, graph, safety, types
 from ..sinks import routines as files
 from ..sources import diagrams, l5x, projects
+from . import lookups
 
 KEYS = ["project", "program", "routine", "n"]
 
@@ -91,6 +92,11 @@ class Project:
         """uses() written once to the checkpoint folder, for analyses that read it many times."""
         return graph.kept(self.uses())
 
+    @cached_property
+    def references(self) -> DataFrame:
+        """lookups.references, kept as kept_uses is."""
+        return graph.kept(lookups.references(self))
+
     def calls(self) -> DataFrame:
         """project, program, routine, n, target: JSR calls in ladder and text."""
         ladder = facts.instructions(self.rungs.where("program IS NOT NULL"), KEYS).where("name = 'JSR'").select(*KEYS, F.get("operands", F.lit(0)).alias("target"))
@@ -285,9 +291,25 @@ class Project:
         """project, program, aoi, routine, n, txt: diagrams as readable lines."""
         return diagrams.fbd_lines(self.elements).unionByName(diagrams.sfc_lines(self.elements))
 
-    def routine_files(self) -> DataFrame:
+    def routine_files(self, only: DataFrame | None = None) -> DataFrame:
+        """The text of every routine's file, or of those in only(project, program, aoi, routine)."""
         drawn = self.rendered().withColumns({"comment": F.lit(None).cast("string"), "is_st": F.lit(True)})
-        return files.routine_files(self.routines, self.units.unionByName(drawn.select(*self.units.columns)))
+        routines, units = self.routines, self.units.unionByName(drawn.select(*self.units.columns))
+        if only is not None:
+            key = lambda df: df.withColumns({"__p": F.coalesce("program", F.lit("")), "__a": F.coalesce("aoi", F.lit(""))})
+            some = key(only).select("project", "__p", "__a", "routine").distinct()
+            routines, units = (key(df).join(some, ["project", "__p", "__a", "routine"], "left_semi").drop("__p", "__a") for df in (routines, units))
+        return files.routine_files(routines, units)
+
+    # ---------------------------------------------------------------- look-ups of many
+
+    def find_usage(self, wanted: DataFrame) -> DataFrame:
+        """Where each of wanted(project, tag, program) is written and read, and in which line of which file (lookups.find_usage)."""
+        return lookups.find_usage(self, wanted)
+
+    def meanings(self, asked: DataFrame | None = None) -> DataFrame:
+        """What words mean (lookups.meanings); by default every word of all units."""
+        return lookups.meanings(self, lookups.words(self) if asked is None else asked)
 
     def import_files(self) -> DataFrame:
         named = self.routines.join(self.controllers.select("project", "controller"), "project", "left")

@@ -147,14 +147,14 @@ def aoi_args(e: DataFrame) -> DataFrame:
 
 def aois(e: DataFrame) -> DataFrame:
     """project, name, safety, revision of user-defined instructions; encoded ones have no logic."""
-    plain = e.where("element = 'AddOnInstructionDefinition'").select("project", _attr("Name").alias("name"), F.coalesce(_attr("Class") == "Safety", F.lit(False)).alias("safety"), _attr("Revision").alias("revision"), F.lit(False).alias("encoded"))
-    locked = e.where("element = 'EncodedData' AND attrs['EncodedType'] = 'AddOnInstructionDefinition'").select("project", _attr("Name").alias("name"), F.coalesce(_attr("Class") == "Safety", F.lit(False)).alias("safety"), _attr("Revision").alias("revision"), F.lit(True).alias("encoded"))
+    plain = e.where("element = 'AddOnInstructionDefinition'").select("project", _attr("Name").alias("name"), F.coalesce(_attr("Class") == "Safety", F.lit(False)).alias("safety"), _attr("Revision").alias("revision"), F.lit(False).alias("encoded"), F.col("texts")["Description"].alias("description"))
+    locked = e.where("element = 'EncodedData' AND attrs['EncodedType'] = 'AddOnInstructionDefinition'").select("project", _attr("Name").alias("name"), F.coalesce(_attr("Class") == "Safety", F.lit(False)).alias("safety"), _attr("Revision").alias("revision"), F.lit(True).alias("encoded"), F.col("texts")["Description"].alias("description"))
     return plain.unionByName(locked)
 
 
 def aoi_members(e: DataFrame) -> DataFrame:
     """project, aoi, name, data_type of parameters and local tags."""
-    return e.where("element IN ('Parameter', 'LocalTag') AND aoi IS NOT NULL").select("project", "aoi", _attr("Name").alias("name"), _attr("DataType").alias("data_type"), (F.col("element") == "Parameter").alias("parameter"), _sizes("Dimensions").alias("dims"))
+    return e.where("element IN ('Parameter', 'LocalTag') AND aoi IS NOT NULL").select("project", "aoi", _attr("Name").alias("name"), _attr("DataType").alias("data_type"), (F.col("element") == "Parameter").alias("parameter"), _sizes("Dimensions").alias("dims"), F.col("texts")["Description"].alias("description"), _attr("Usage").alias("usage"), F.coalesce(_attr("Required") == "true", F.lit(False)).alias("required"))
 
 
 def data_types(e: DataFrame) -> DataFrame:
@@ -174,8 +174,8 @@ def controllers(e: DataFrame) -> DataFrame:
 def members(e: DataFrame) -> DataFrame:
     types = e.where("element = 'DataType'").select("project", F.col("seq").alias("t"), _attr("Name").alias("type_name"))
     lists = e.where("element = 'Members'").select("project", F.col("seq").alias("l"), F.col("parent").alias("t"))
-    got = e.where("element = 'Member'").select("project", F.col("parent").alias("l"), "ord", _attr("Name").alias("name"), _attr("DataType").alias("data_type"), _attr("BitNumber").cast("int").alias("bit"), _attr("Target").alias("target"), _sizes("Dimension").alias("dims"))
-    return got.join(lists, ["project", "l"]).join(types, ["project", "t"]).select("project", "type_name", "ord", "name", "data_type", "bit", "target", "dims")
+    got = e.where("element = 'Member'").select("project", F.col("parent").alias("l"), "ord", _attr("Name").alias("name"), _attr("DataType").alias("data_type"), _attr("BitNumber").cast("int").alias("bit"), _attr("Target").alias("target"), _sizes("Dimension").alias("dims"), F.col("texts")["Description"].alias("description"))
+    return got.join(lists, ["project", "l"]).join(types, ["project", "t"]).select("project", "type_name", "ord", "name", "data_type", "bit", "target", "dims", "description")
 
 
 def modules(e: DataFrame) -> DataFrame:

@@ -249,9 +249,9 @@ def test_file_stream_and_debounce(spark, tmp_path):
 
 def test_pages(project):
     texts = {r.file: r.text for r in pages.documents(project).collect()}
-    assert set(texts) == {"codebase.md", "map.md", "xref/controller.md", "xref/Area.md", "xref/Safe.md", "bypasses.md", "unconsumed.md", "safety.md", "tags.md", "types.md", "modules.md"}
+    assert set(texts) == {"codebase.md", "map.md", "xref/controller.md", "xref/Area.md", "xref/Safe.md", "xref/AOI_Dev.md", "crossref.md", "instructions.md", "bypasses.md", "unconsumed.md", "safety.md", "tags.md", "types.md", "modules.md"}
     assert texts["map.md"].split("\n")[:5] == ["## Cyc (CONTINUOUS)", "### Area", "- main", "  - seq", "- never called: Old"]
-    assert "## Zone1\n- write Safe/Main: #0 DEV Zone1.Ok\n- read Safe/Main: #1\n" in texts["xref/controller.md"]
+    assert "## Zone1\n- write Safe/Main: #0 DEV.Obj Zone1.Ok\n- read Safe/Main: #1\n" in texts["xref/controller.md"]
     assert texts["modules.md"] == "- **Local**\n  - **Mod1** — **inhibited**\n"
     assert texts["unconsumed.md"].split("\n")[0] == "- Chain Safe/Main#1" and "- not scheduled: Spare" in texts["codebase.md"]
     assert texts["safety.md"].split("\n")[:4] == ["- device calls: 1", "- written, never read: 1", "Zone1.Ok | DEV | Mod1:SI.Pt00 | Safe/Main#0 | 1 | Mod1:SO.Pt00 |  | ", "- unread: Chain in 1 places by OTE"]

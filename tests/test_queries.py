@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from rungline import catalog_edits as catalog
+from rungline import catalog_lookups as catalog
 from rungline.catalog import IN, OUT
 
 from .conftest import SMALL
