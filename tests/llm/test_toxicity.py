@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import copy
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rungline.llm import common, queries, toxicity
 
@@ -134,3 +136,71 @@ def test_without_labels_or_rows(spark):
     one = spark.createDataFrame([(r[0], 1, 1) for r in rows], LABELS)
     assert {r.score for r in toxicity.classify(frame(spark, rows), one).collect()} == {1.0}
     assert toxicity.classify(frame(spark, []), one).count() == 0
+
+
+def test_words_of_any_learned_row_are_known(spark):
+    """2400 toxic rows are learned from; a word that only the 300 with the greatest hashes have marks label 1 as well as any other."""
+    r = random.Random(7)
+    draws = {x.id: x.d for x in spark.range(6000).select("id", F.xxhash64(F.lit(12), F.col("id")).alias("d")).collect()}
+    late = set(sorted((k for k in draws if k % 2 and fold(k, 5)), key=draws.get)[-300:])
+    rows = []
+    for k in range(6000):
+        w = [f"w{r.randrange(300)}" for _ in range(8)]
+        if k % 2:
+            w[r.randrange(8)] = "grelk" if k in late or (k % 4 == 1 and not fold(k, 5)) else "scorn"
+        rows.append((k, " ".join(w), "en", "web", 1))
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(6000)], LABELS)
+    got = {x.doc_id: x for x in toxicity.classify(frame(spark, rows), labels).collect()}
+    assert rates(got, [(k, k % 2) for k in range(6000) if not fold(k, 5)]) == (1.0, 0.0)
+
+
+def marked(spark):
+    """Rows of two languages, and a third's text of over 64 KiB."""
+    r = random.Random(9)
+    rows = [(k, " ".join([f"w{r.randrange(80)}" for _ in range(r.randrange(12))] + ["scorn"] * (k % 2)), "en" if k % 3 else "de", "web", 1) for k in range(400)]
+    rows += [(400, " ".join(f"w{r.randrange(20_000)}" for _ in range(20_000)), "xx", "web", 1), (401, None, None, "web", 1)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(402)], LABELS)
+    out = toxicity.marked_texts(frame(spark, rows), labels, F.lit(True), 100)
+    assert out.count() == 402
+    return out
+
+
+def test_counts_are_of_all_rows(spark):
+    out = marked(spark)
+    count, heard = toxicity.bucket_counts(out, ["de", "en"])
+    want, words_ = np.zeros_like(count), np.zeros_like(heard)
+    for x in out.collect():
+        codes = codes_of([x.text])[0]
+        if not x.spare:
+            for k in range(toxicity.KINDS):
+                for c in {int(c) for c in codes[:, k] if c >= 0}:
+                    want[x.q, x.fold, toxicity.BASE[k] + c] += 1
+        if x.lang:
+            np.add.at(words_[:, {"de": 0, "en": 1}.get(x.lang, 2)], codes[:, 0] >> (toxicity.WORD_BITS - toxicity.LANG_BITS), 1)
+    want[:, :, want.sum(axis=(0, 1)) < toxicity.LEAST] = 0
+    assert (count == want).all() and (heard == words_).all() and heard[:, 2].sum() == 20_000
+
+
+def test_a_pass_is_the_mean_of_its_shards(spark):
+    out = marked(spark).repartition(3, "text").sortWithinPartitions("text").withColumn("part", F.spark_partition_id())
+    count, _ = toxicity.bucket_counts(out, [])
+    total = np.array([[out.where(f"not spare and q = {y} and fold = {f}").count() for f in range(toxicity.FOLDS)] for y in (0, 1)])
+    net = toxicity.Convolution.of_counts(count, total)
+    got = toxicity.trained(out.where("not spare"), net, batch=16)
+    each: dict = {}
+    for x in out.where("not spare").collect():
+        each.setdefault(x.part, []).append(x)
+    assert len(each) == 3
+    trainers = []
+    for rows in each.values():
+        t = toxicity.Trainer(copy.deepcopy(net))
+        for some in np.array_split(np.arange(len(rows)), -(-len(rows) // 16)):
+            own = [rows[i] for i in some]
+            t.step(*codes_of([x.text for x in own]), np.array([x.q for x in own]), np.array([x.fold for x in own]))
+        trainers.append(t)
+    docs = np.array([t.documents for t in trainers])
+    for k, p in enumerate(got.layers()):
+        assert p == pytest.approx(np.average([t.net.layers()[k] for t in trainers], axis=0, weights=docs), abs=1e-5)
+    met = np.array([t.met for t in trainers])
+    mean = (met[:, :, None] * [t.net.vectors for t in trainers]).sum(axis=0) / np.maximum(1, met.sum(axis=0))[:, None]
+    assert got.vectors == pytest.approx(np.where(met.any(axis=0)[:, None], mean, net.vectors), abs=1e-5) and met.any(axis=0).sum() > 50
