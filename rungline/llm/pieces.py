@@ -69,9 +69,9 @@ def numbered(texts: list[str], words: bool = False) -> tuple[list[str], np.ndarr
 
 
 class PieceEncoder:
-    """ids(text): the little-endian unsigned 32-bit ids, as bytes. Known chunks take about `keep` bytes, and what a call adds to them."""
+    """ids(text): the little-endian unsigned 32-bit ids, as bytes. Known chunks take about `keep` bytes, and what a call adds to them; then those stay that the call met."""
 
-    def __init__(self, path: str, keep: int = 72 << 20):
+    def __init__(self, path: str, keep: int = 160 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,6 +86,8 @@ class PieceEncoder:
             self.pattern = _BYTE_LEVEL
         elif [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and "[\\p{N}]|" in pre["pretokenizers"][0]["pattern"].get("Regex", "") and "Lowercase" in norm:
             self.pattern, self.lower = _WORD_LEVEL, True
+        # chunks are lower case with single spaces between, and Latin-1 letters are composed: they need no normalizer any more
+        self.ready = Tokenizer.from_str(json.dumps(spec | {"normalizer": None})) if self.lower else self.tok
         # ids that close a piece of the word-level vocabulary, or open one with a space of the byte-level vocabulary
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(1 + max(vocab.values()), bool)
@@ -93,7 +95,6 @@ class PieceEncoder:
         self.edge[[i for t, i in vocab.items() if (t.endswith(suffix) if self.lower and suffix else t.startswith("\u0120"))]] = True
         self.keep, self.held = keep, 0
         self.known: dict[str, bytes] = {"": b""}
-        self.once = bytearray(1 << 22)  # by hash: was a chunk new before? What comes but once isn't kept
         self.marks = {c: self.whole(c) for c in ".,;:!?"}
 
     def whole(self, text: str) -> bytes:
@@ -135,19 +136,17 @@ class PieceEncoder:
         if new:
             if self.held > self.keep:  # what these texts use stays: that holds the frequent chunks
                 self.known = {"": b""} | {c: g for c, g in zip(chunks, got, strict=True) if g is not None}
-                self.held, self.once = self._size(self.known), bytearray(len(self.once))
+                self.held = self._size(self.known)
             fresh = iter(self._learn(new))
             got = [next(fresh) if g is None else g for g in got]
         return got
 
     def _learn(self, new: list[str]) -> list[bytes]:
-        """The ids of new chunks; those that were new before become known."""
-        known, marks, base = self.known, self.marks, {}
-        for c in new:
-            # a word and a mark: letters and marks are never in one piece
-            c = c[:-1] if c[-1] in marks and c[-2:-1].isalpha() else c
-            if c not in known:
-                base[c] = None
+        """The ids of new chunks, which become known."""
+        known, marks = self.known, self.marks
+        # a word and a mark: letters and marks are never in one piece
+        words = [c[:-1] if c[-1] in marks and c[-2:-1].isalpha() else c for c in new]
+        base = dict.fromkeys([w for w in words if w not in known])
         # together: words between spaces, of which the ids tell where a piece ends, and chunks that begin with their only space
         joint = list(base) if self.lower else [c for c in base if c[0] == " " and len(c) > 1 and not c[1].isspace()]
         rest = [] if self.lower else [c for c in base if not (c[0] == " " and len(c) > 1 and not c[1].isspace())]
@@ -156,26 +155,17 @@ class PieceEncoder:
         for at in range(0, len(rest), 20_000):
             for c, e in zip(rest[at : at + 20_000], self.tok.encode_batch_fast(rest[at : at + 20_000], add_special_tokens=False), strict=True):
                 base[c] = array("I", e.ids).tobytes()
-        out, once, top = [], self.once, len(self.once) - 1
-        for c in new:
-            ids = base.get(c)
-            if ids is None:
-                word = c[:-1]
-                ids = (base.get(word) or known[word]) + marks[c[-1]]
-            out.append(ids)
-            h = hash(c) & top
-            if once[h]:
-                known[c] = ids
-                self.held += 170 + 3 * len(c)
-            else:
-                once[h] = 1
+        out = [base[w] if w in base else known[w] for w in words]
+        out = [ids if len(w) == len(c) else ids + marks[c[-1]] for c, w, ids in zip(new, words, out, strict=True)]
+        known.update(zip(new, out, strict=True))
+        self.held += self._size(new)
         return out
 
     def _encode(self, chunks: list[str], out: dict[str, bytes]) -> list[str]:
         """Encode chunks together, into `out`; returns them if the ids don't show where each one ends."""
         glue = " " if self.lower else ""
         texts = [glue.join(chunks[k : k + 500]) for k in range(0, len(chunks), 500)]  # short texts stay in the processor's cache
-        ids = np.array([i for e in self.tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+        ids = np.array([i for e in self.ready.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
         mark = np.flatnonzero(self.edge[ids])
         if self.lower:
             pieces = np.cumsum([1 if c.isalpha() else len(self.pattern.findall(c)) for c in chunks])

@@ -40,7 +40,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int,
 
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, z in runs(texts):
+            for a, z in runs(texts, 1 << 24):  # the more at once, the fewer chunks are looked up and encoded twice
                 for doc, x in zip(names[a:z], enc.ids_many(texts[a:z]), strict=True):
                     ids += [x, end]
                     docs_.append(doc)

@@ -212,3 +212,15 @@ def _tok():
 
 def _word():
     return _cache.setdefault("w", library(WORD))
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_chunk_is_encoded_once(path):
+    """What one call encoded, later calls look up, even if it came but once before."""
+    enc, met = pieces.PieceEncoder(path), []
+    learn = enc._learn
+    enc._learn = lambda new: met.extend(new) or learn(new)
+    texts = ["Zyxwq vutsr, naïve", "Zyxwq vutsr, naïve", "lmnop Zyxwq naïve vutsr,"]
+    tok = _tok() if path == BYTE else _word()
+    assert [np.frombuffer(enc.ids(t), "<u4").tolist() for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(met) == len(set(met))
