@@ -1,9 +1,9 @@
 """Whole-text encoding with the tokenizers library, which sees each distinct chunk of text about once.
 
-Both public vocabularies split a text by a pattern and encode each piece by itself, so texts are cut at white space into chunks, Arrow
-numbers the distinct ones, and ids that are known are looked up by number. Texts outside Latin-1, with characters whose class differs
-between pattern engines, or with the text of a special token go through the library whole, as does every text of a tokenizer whose
-splitting is not one of the two known ones."""
+Both public vocabularies split a text by a pattern and encode each piece by itself. For the byte-level one, texts are cut at white space
+into chunks, Arrow numbers the distinct ones, and ids that are known are looked up by number; for the word-level one, word_pieces finds
+pieces and their ids. Texts outside Latin-1, with characters whose class differs between pattern engines, or with the text of a special
+token go through the library whole, as does every text of a tokenizer whose splitting is not one of the two known ones."""
 
 from __future__ import annotations
 
@@ -17,10 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import worker_model
+from .word_pieces import WordTable, dealt
 
-#: The two splitting patterns, for Latin-1 texts without the characters in _ODD.
+#: The byte-level splitting pattern, for Latin-1 texts without the characters in _ODD.
 _BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _ODD = "\x1c\x1d\x1e\x1f\x85\xa0\xaa\xb2\xb3\xb5\xb9\xba\xbc\xbd\xbe"
 _CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
 _LONG = 1 << 20
@@ -60,10 +60,9 @@ def spaced(text: str) -> str:
     return _SEP.join([p for part in cuts(text, 1 << 12) for p in _BYTE_LEVEL.findall(part)]) if _pairs(text) else text.replace(" ", _SEP + " ")
 
 
-def numbered(texts: list[str], words: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct chunks of texts cut at marks (or, for words, at white space), each text's chunks by number, and where each text's end."""
-    rows = pa.array(texts, pa.large_string())
-    lists = pc.ascii_split_whitespace(rows) if words else pc.split_pattern(rows, _SEP)
+def numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks of texts cut at marks, each text's chunks by number, and where each text's end."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), _SEP)
     coded = lists.flatten().dictionary_encode()
     return coded.dictionary.to_pylist(), np.asarray(coded.indices), np.cumsum(np.asarray(pc.list_value_length(lists)), dtype=np.int64)
 
@@ -81,13 +80,14 @@ class PieceEncoder:
         spec = json.loads(self.tok.to_str())
         self.special = [a["content"] for a in spec["added_tokens"]]
         pre, norm = spec["pre_tokenizer"] or {}, json.dumps(spec["normalizer"])
-        self.pattern, self.lower = None, False
+        self.known_split, self.lower = False, False
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm == "null":
-            self.pattern = _BYTE_LEVEL
+            self.known_split = True
         elif [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and "[\\p{N}]|" in pre["pretokenizers"][0]["pattern"].get("Regex", "") and "Lowercase" in norm:
-            self.pattern, self.lower = _WORD_LEVEL, True
-        # chunks are lower case with single spaces between, and Latin-1 letters are composed: they need no normalizer any more
-        self.ready = Tokenizer.from_str(json.dumps(spec | {"normalizer": None})) if self.lower else self.tok
+            self.known_split, self.lower = True, True
+        # pieces are lower case with single spaces between, and Latin-1 letters are composed: they need neither normalizer nor pattern any more
+        split = self.lower and {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, pre["pretokenizers"][1]]}
+        self.ready = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": split})) if self.lower else self.tok
         # ids that close a piece of the word-level vocabulary, or open one with a space of the byte-level vocabulary
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(1 + max(vocab.values()), bool)
@@ -96,34 +96,31 @@ class PieceEncoder:
         self.keep, self.held = keep, 0
         self.known: dict[str, bytes] = {"": b""}
         self.marks = {c: self.whole(c) for c in ".,;:!?"}
+        self.words = WordTable(lambda new: self._learn(new), keep) if self.lower else None
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def plain(self, text: str) -> bool:
-        return self.pattern is not None and not any(s in text for s in self.special) and ordinary(text)
+        return self.known_split and not any(s in text for s in self.special) and ordinary(text)
 
     def ids(self, text: str | None) -> bytes:
         return self.ids_many([text])[0]
 
     def ids_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; chunks that are new in any of them are encoded together."""
-        ready, whole = [], {}
-        for k, t in enumerate(texts):
-            if t and not self.plain(t):
-                whole[k], t = self.whole(t), ""
-            ready.append((t.lower() if self.lower else spaced(t)) if t else "")
-        chunks, code, stop = numbered(ready, self.lower)
-        got = self._look(chunks)
-        size = np.fromiter(map(len, got), np.int32, len(got)) >> 2
-        first = np.cumsum(size, dtype=np.int32) - size
-        n = size[code]
-        end = np.cumsum(n, dtype=np.int64)
-        at = np.repeat((first[code] - (end - n)).astype(np.int32), n)
-        at += np.arange(len(at), dtype=np.int32)
-        flat = np.frombuffer(b"".join(got), "<u4")[at].tobytes()
-        cut = np.concatenate([[0], end])[np.concatenate([[0], stop])] * 4
-        return [whole[k] if k in whole else flat[a:z] for k, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))]
+        whole = {k: self.whole(t) for k, t in enumerate(texts) if t and not self.plain(t)}
+        ready = ["" if k in whole else t or "" for k, t in enumerate(texts)]
+        if self.words:
+            out = []
+            for a, z in runs(ready, _LONG):  # short runs stay in the processor's cache
+                out += self.words.texts(ready[a:z]) if z > a + 1 else [b"".join([self.words.texts([p])[0] for p in cuts(ready[a])])]
+        else:
+            chunks, code, stop = numbered([spaced(t) if t else "" for t in ready])
+            got = self._look(chunks)
+            size = np.fromiter(map(len, got), np.int32, len(got)) >> 2
+            out = dealt(np.frombuffer(b"".join(got), "<u4"), np.cumsum(size, dtype=np.int32) - size, size, code, stop)
+        return [whole.get(k, x) for k, x in enumerate(out)]
 
     @staticmethod
     def _size(chunks) -> int:
@@ -144,17 +141,22 @@ class PieceEncoder:
     def _learn(self, new: list[str]) -> list[bytes]:
         """The ids of new chunks, which become known."""
         known, marks = self.known, self.marks
-        # a word and a mark: letters and marks are never in one piece
-        words = [c[:-1] if c[-1] in marks and c[-2:-1].isalpha() else c for c in new]
-        base = dict.fromkeys([w for w in words if w not in known])
-        # together: words between spaces, of which the ids tell where a piece ends, and chunks that begin with their only space
-        joint = list(base) if self.lower else [c for c in base if c[0] == " " and len(c) > 1 and not c[1].isspace()]
-        rest = [] if self.lower else [c for c in base if not (c[0] == " " and len(c) > 1 and not c[1].isspace())]
+        if self.words:
+            base, joint, rest = {}, new, []
+        else:
+            # a word and a mark: letters and marks are never in one piece
+            words = [c[:-1] if c[-1] in marks and c[-2:-1].isalpha() else c for c in new]
+            base = dict.fromkeys([w for w in words if w not in known])
+            # together: chunks that begin with their only space
+            joint = [c for c in base if c[0] == " " and len(c) > 1 and not c[1].isspace()]
+            rest = [c for c in base if not (c[0] == " " and len(c) > 1 and not c[1].isspace())]
         for at in range(0, len(joint), 20_000):
             rest += self._encode(joint[at : at + 20_000], base)
         for at in range(0, len(rest), 20_000):
             for c, e in zip(rest[at : at + 20_000], self.tok.encode_batch_fast(rest[at : at + 20_000], add_special_tokens=False), strict=True):
                 base[c] = array("I", e.ids).tobytes()
+        if self.words:
+            return [base[c] for c in new]
         out = [base[w] if w in base else known[w] for w in words]
         out = [ids if len(w) == len(c) else ids + marks[c[-1]] for c, w, ids in zip(new, words, out, strict=True)]
         known.update(zip(new, out, strict=True))
@@ -163,19 +165,13 @@ class PieceEncoder:
 
     def _encode(self, chunks: list[str], out: dict[str, bytes]) -> list[str]:
         """Encode chunks together, into `out`; returns them if the ids don't show where each one ends."""
-        glue = " " if self.lower else ""
-        texts = [glue.join(chunks[k : k + 500]) for k in range(0, len(chunks), 500)]  # short texts stay in the processor's cache
+        glue, run = (" ", 100) if self.lower else ("", 500)
+        texts = [glue.join(chunks[k : k + run]) for k in range(0, len(chunks), run)]  # short texts stay in the processor's cache
         ids = np.array([i for e in self.ready.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
         mark = np.flatnonzero(self.edge[ids])
-        if self.lower:
-            pieces = np.cumsum([1 if c.isalpha() else len(self.pattern.findall(c)) for c in chunks])
-            if len(mark) != pieces[-1] or (np.diff(pieces, prepend=0) == 0).any():
-                return chunks
-            stop = (mark[pieces - 1] + 1) * 4
-        else:
-            if len(mark) != len(chunks) or mark[0] != 0:
-                return chunks
-            stop = np.append(mark[1:], len(ids)) * 4
+        if len(mark) != len(chunks) or (mark[-1] != len(ids) - 1 if self.lower else mark[0] != 0):
+            return chunks
+        stop = (mark + 1 if self.lower else np.append(mark[1:], len(ids))) * 4
         raw, a = ids.tobytes(), 0
         for c, z in zip(chunks, stop.tolist(), strict=True):
             out[c] = raw[a:z]

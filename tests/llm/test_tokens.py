@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rungline.llm import bpe, idcoder, packing, pieces, queries, token_output
+from rungline.llm import bpe, idcoder, packing, pieces, queries, token_output, word_pieces
 
 from ..conftest import MIDDLE
 from .cases import awkward, frame, repeated
@@ -224,3 +225,66 @@ def test_a_chunk_is_encoded_once(path):
     tok = _tok() if path == BYTE else _word()
     assert [np.frombuffer(enc.ids(t), "<u4").tolist() for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(met) == len(set(met))
+
+
+def _learned(texts, keep=160 << 20):
+    """What a new encoder by words learns from calls with each of texts, which it must encode as the library does."""
+    enc, met, tok = pieces.PieceEncoder(WORD, keep), [], _word()
+    learn = enc._learn
+    enc._learn = lambda new: met.extend(new) or learn(new)
+    for t in texts:
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t[:60]
+    return enc, met
+
+
+def test_a_word_is_encoded_once_whatever_marks_it_bears():
+    _, met = _learned(["Zyxwq zyxwq, zyxwq$$$ (zyxwq) zyxwq.%%% zyxwq!!zyxwq", "zyxwq&&& l'zyxwq"])
+    assert met.count("zyxwq") == 1
+    assert not [p for p in met if "zyxwq" in p and p != "zyxwq"]
+
+
+def test_a_special_token_in_capitals_is_text():
+    _learned(["a <|STARTOFTEXT|> b", "<|EndOfText|>", "<|startoftext|> <|STARTOFTEXT|>"])
+
+
+@given(st.text(st.sampled_from("asltdmrve'' \n\t01,_$\x00\xe9\xdf\xff"), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_pieces_are_those_of_the_pattern(text):
+    data = np.frombuffer((text + "  ").encode("latin-1"), np.uint8)
+    begin, end = word_pieces.bounds(data)
+    want = re.finditer(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+", text)
+    assert list(zip(begin.tolist(), end.tolist(), strict=True)) == [m.span() for m in want]
+
+
+def test_pieces_of_all_lengths_stay_apart_in_a_growing_table():
+    words = [c * n for c in "aqz" for n in range(1, 40)] + ["\x00", "\x00" * 7, "\x00" * 8, "\x00" * 9, "\x00" * 16]
+    enc, met = _learned([" ".join(words), " ".join(reversed(words)), *words])
+    assert len(met) == len(set(met)) == len(words)
+    rng = np.random.default_rng(3)
+    many = ["".join(map(chr, 97 + rng.integers(0, 26, 1 + k % 17))) for k in range(60_000)]
+    _, met = _learned([" ".join(many[a : a + 200]) for a in range(0, 60_000, 200)])
+    assert sorted(met) == sorted(set(many))
+
+
+def test_a_full_table_lets_go_of_what_was_not_met_lately():
+    rng = np.random.default_rng(4)
+    calls = [" ".join(["often", "o" * 20, *("".join(map(chr, 97 + rng.integers(0, 26, 18 - k % 7))) for k in range(200))]) for _ in range(400)]
+    enc, met = _learned(calls, keep=3 << 20)
+    assert met.count("often") == met.count("o" * 20) == 1
+    assert enc.words.n < len(set(met)) / 2 and enc.words.held() < 6 << 20
+    _learned(calls + calls, keep=1)
+
+
+def test_a_failure_leaves_no_piece_without_ids():
+    enc, learn, text = pieces.PieceEncoder(WORD), None, "qwrtzp zprtwq"
+    learn, enc._learn = enc._learn, lambda new: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        enc.ids(text)
+    enc._learn = learn
+    assert np.frombuffer(enc.ids(text), "<u4").tolist() == _word().encode(text, add_special_tokens=False).ids
+
+
+def test_a_very_long_text_is_cut_between_words():
+    text = "It's 12 naïve words, "
+    ids = np.array(_word().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert pieces.PieceEncoder(WORD).ids_many([text, text * 120_000, None, text]) == [ids, ids * 120_000, b"", ids]
