@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         for b in batches:
             out: list[tuple] = []
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, z in runs(texts):
+            for a, z in runs(texts, 1 << 24):  # the more at once, the fewer chunks are looked up
                 for doc, x in zip(names[a:z], enc.ids_many(texts[a:z]), strict=True):
                     ids = memoryview(x + end)
                     n = len(ids) // 4
