@@ -101,6 +101,7 @@ def files_of(k: int, parts: list[tuple[int, int]]) -> dict[str, bytes]:
     regions, texts, links, notes, lines, xml, programs = [], [], b"", [], [], [], []
     for i, z in parts:
         b, key = 100 * i + 1000, (i % 65536) << 16
+        up = i // 3 if i // 3 // PER_PROJECT == k else i + 300  # places have 16 bits; one outside the project must meet none inside
         tag = f"@{b + 6:08x}@"
         comps += [
             comp(b + 1, 2, f"P{i}", 0x13, keys=(key, 0), attrs={1: flags(200, i36=int(i % 9 == 0), b139=6 * (i % 10 == 0)), 0x12D: struct.pack("<I", b + 3)}), comp(b + 2, b + 1, "RxRoutineCollection", 0),
@@ -119,7 +120,7 @@ def files_of(k: int, parts: list[tuple[int, int]]) -> dict[str, bytes]:
             cfg = flags(4372 if long else 900, **{f"i{at[0]}": z * 1000, f"h{at[1]}": (1, 2, 4)[z % 3], f"h{at[2]}": z % 16, f"i{at[3]}": 500_000} | ({"b4316": 6 * (i % 40 == 0)} if long else {}))
             comps.append(comp(b + 40, 3, f"T{i}", 0x12, attrs={1: ids(i % 65536, (i + 1) % 65536 | 0x70000, (i + 300) % 65536) + cfg[14:]}))
         ip = address(i, z)
-        seen = flags(320, h2=1 if i % 3 else 40, h4=(7, 10, 14, 35)[i % 4], h6=z % 3, b8=z | 0x80, b9=3, b20=4 * (i % 5 == 0), h22=(i // 3) % 65536, h28=z, b305=int(i % 8 == 1))
+        seen = flags(320, h2=1 if i % 3 else 40, h4=(7, 10, 14, 35)[i % 4], h6=z % 3, b8=z | 0x80, b9=3, b20=4 * (i % 5 == 0), h22=up % 65536, h28=z, b305=int(i % 8 == 1))
         comps.append(comp(b + 50, 5, f"M{i}", 0xA4, keys=(key, 0), attrs={1: seen[:40] + (ip or "").encode().ljust(20, b"\0") + seen[60:]}))
         if ip and i % 4 < 2:
             comps.append(comp(b + 51, 0, f"${b + 51:08x}$", 0x60, attrs={9: f'<in><Port Id="1" Type="EN" Ups="False" Addr="1.1.1.1"/><Port Type="EN" Addr="{ip}"/></in><public><CatNum>CAT{z % 4}</CatNum></public>'.encode()}))
