@@ -101,6 +101,7 @@ def files_of(k: int, parts: list[tuple[int, int]]) -> dict[str, bytes]:
     regions, texts, links, notes, lines, xml, programs = [], [], b"", [], [], [], []
     for i, z in parts:
         b, key = 100 * i + 1000, (i % 65536) << 16
+        row = 1000 * (i % PER_PROJECT)  # ids have 32 bits; those of lines count within the project
         up = i // 3 if i // 3 // PER_PROJECT == k else i + 300  # places have 16 bits; one outside the project must meet none inside
         tag = f"@{b + 6:08x}@"
         comps += [
@@ -129,10 +130,10 @@ def files_of(k: int, parts: list[tuple[int, int]]) -> dict[str, bytes]:
         links += link(10 * i + 2, 0x70000 | i % 1000)
         notes += [comment(i, 5, 0, "a routine")] + ([comment(i, 5, (i % 1000) << 16, f"note {z}")] if z % 2 else [])
         first, second = (200 * i + 2, 200 * i + 1) if i % 2 == 0 else (200 * i + 1, 200 * i + 2)
-        lines += [unnamed(0x07D5, b + 4, 0, b"\0" * 8 + ids(first, second)), unnamed(0x07D2, 200 * i + 1, 0, ids(1000 * i + 90, 1000 * i + 91)), unnamed(0x07D2, 200 * i + 2, 0, ids(*range(1000 * i, 1000 * i + z % 6)))]
+        lines += [unnamed(0x07D5, b + 4, 0, b"\0" * 8 + ids(first, second)), unnamed(0x07D2, 200 * i + 1, 0, ids(row + 90, row + 91)), unnamed(0x07D2, 200 * i + 2, 0, ids(*range(row, row + z % 6)))]
         lines += [unnamed(0x07D3, 0, d, b"\0" * 8 + struct.pack("<I", state)) for d, state in ((200 * i + 1, 2), (200 * i + 2, 1)) if i % 3]
-        lines += [unnamed(0x07D1, 0, 1000 * i, counted("superseded")), unnamed(0x07D1, 0, 1000 * i + 90, counted("other"))]
-        lines += [unnamed(0x07D1, 0, 1000 * i + j, counted(f"  x{j} := {tag}.B0;" + " " * (300 if z % 10 == 0 else 0))) for j in range(z % 6) if j != 4]
+        lines += [unnamed(0x07D1, 0, row, counted("superseded")), unnamed(0x07D1, 0, row + 90, counted("other"))]
+        lines += [unnamed(0x07D1, 0, row + j, counted(f"  x{j} := {tag}.B0;" + " " * (300 if z % 10 == 0 else 0))) for j in range(z % 6) if j != 4]
         lines += [unnamed(0x089B, 0, 0, counted(tag) + counted(f"@{b + 7:08x}@"))] if i % 5 == 0 else []
         bits = "".join(f'<Member Name="B{j}" DataType="BOOL" Offset="0" Bit="{j}"/>' for j in range(z % 12 + 1))
         xml.append(f'<DataType Name="U{i}"><Members><Member Name="Z0" DataType="SINT" Offset="0" Hidden="true"/><Member Name="Z1" DataType="SINT" Offset="1" Hidden="true"/>{bits}<Member Name="Far" DataType="BOOL" Offset="0" Bit="40"/></Members></DataType>')

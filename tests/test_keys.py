@@ -30,3 +30,9 @@ def same(spark, name: str, folder: str) -> bool:
 def test_places_of_modules_have_16_bits(spark, shifted):
     """A third of these keys is 65536 less than others of them."""
     assert same(spark, "acd_modules", shifted(98200))
+
+
+def test_documents_of_large_keys(spark, shifted):
+    """A thousand lines for each of these keys are more than 32 bits count."""
+    folder = shifted(4_295_000)
+    assert same(spark, "acd_documents", folder) and same(spark, "acd_text_lines", folder)
