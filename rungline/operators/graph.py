@@ -6,6 +6,7 @@ read. Edges never come to the driver; a round's row count does."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """kept, in Parquet files: a reader takes only the columns that it needs, and Spark sees how large they are.
+
+    A checkpoint is planned with the size that was guessed for its source, and what Python parses out of a small table can be a thousand times
+    as large: joins would broadcast it, through the driver. Not for whole files in a column, which Parquet's reader takes by the thousand."""
+    _ready(df)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
     """node, depth for every node reachable from seeds(node) over edges(src, dst); seeds have depth 0. Raises if `rounds` don't suffice."""
     _ready(edges)
@@ -97,11 +109,14 @@ def call_trees(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame
     Raises if a path without a cycle is longer than `depth`."""
     _ready(edges)
     edges = edges.select("src", "dst").distinct().checkpoint()
-    out = roots.select("node", F.array("node").alias("path"), F.lit(0).alias("level"), F.lit(False).alias("recursive")).checkpoint()
+    front = roots.select("node", F.array("node").alias("path"), F.lit(0).alias("level"), F.lit(False).alias("recursive")).checkpoint()
+    out = front
     for level in range(1, depth + 1):
-        front = out.where((F.col("level") == level - 1) & ~F.col("recursive")).select(F.col("node").alias("src"), "path")
-        step = front.join(edges, "src").select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.lit(level).alias("level"), F.array_contains("path", F.col("dst")).alias("recursive"))
-        out = out.unionByName(step).checkpoint()
-        if out.where(F.col("level") == level).isEmpty():
+        # each level is made of the one before alone: a union that is read again in every round doubles its partitions
+        at = front.where(~F.col("recursive")).select(F.col("node").alias("src"), "path")
+        step = at.join(edges, "src").select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.lit(level).alias("level"), F.array_contains("path", F.col("dst")).alias("recursive"))
+        front = step.hint("rebalance").checkpoint()
+        if front.isEmpty():
             return out
+        out = out.unionByName(front)
     raise RuntimeError(f"calls are nested deeper than {depth}")
