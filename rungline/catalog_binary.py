@@ -10,7 +10,7 @@ from .operators import aoi_order, graph
 from .plans.project import Project
 from .sinks import pages
 from .sources import acd, acd_info, acd_model, acd_text, l5x, synth_acd
-from .sources.synth import table
+from .sources.synth import by_project, table
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -27,7 +27,7 @@ UNION ALL SELECT project, concat('P', i), 'Main', 1, CASE WHEN z % 7 = 0 THEN 'X
 def acd_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rungs of binary projects in region order, with names in place of ids and their comments (S-03, S-04, S-07 to S-14, P-20, J-05, J-06, G-08, W-04, A-04)."""
     m = _members(spark, sf_dir)
-    return acd.rungs(m, graph.kept(acd.comps(m))).select("project", "program", "routine", "n", "txt", "comment", long(F.col("unresolved")).alias("unresolved"))
+    return acd.rungs(m, graph.stored(acd.comps(m))).select("project", "program", "routine", "n", "txt", "comment", long(F.col("unresolved")).alias("unresolved"))
 
 
 _SECOND = "(i % 3 <> 0 OR i % 2 = 0)"
@@ -38,21 +38,21 @@ UNION ALL SELECT project, concat('P', i), j, CASE j WHEN 0 THEN 'other' ELSE ''
 def acd_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured Text of binary projects: routine, accepted document, lines (S-15, S-18, J-07)."""
     m = _members(spark, sf_dir)
-    comps = graph.kept(acd.comps(m))
-    return acd_text.routine_lines(graph.kept(acd_text.unnamed(m)), acd.routines(comps), comps).select("project", "program", "n", "txt", "missing")
+    comps = graph.stored(acd.comps(m))
+    return acd_text.routine_lines(graph.stored(acd_text.unnamed(m)), acd.routines(comps), comps).select("project", "program", "n", "txt", "missing")
 
 
 @query(f"SELECT project, i * 100 + 1004 AS owner, 200 * i + CASE WHEN {_SECOND} THEN 2 ELSE 1 END AS document, {_SECOND} OR z % 6 > 0 AS pending FROM ({_P})")
 def acd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accepted document of each text routine, and whether another one holds edits (S-15, J-07)."""
-    return acd_text.st_documents(acd_text.unnamed(_members(spark, sf_dir))).select("project", "owner", "document", "pending")
+    return acd_text.st_documents(graph.stored(acd_text.unnamed(_members(spark, sf_dir)))).select("project", "owner", "document", "pending")
 
 
 @query(f"SELECT project, concat('In', i) AS standard, concat('U', i) AS safety FROM ({_P}) WHERE i % 5 = 0")
 def acd_safety_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The safety tag map of binary projects (S-17)."""
     m = _members(spark, sf_dir)
-    return acd_text.safety_map(acd_text.unnamed(m), acd.comps(m)).select("project", "standard", "safety")
+    return acd_text.safety_map(graph.stored(acd_text.unnamed(m)), graph.stored(acd.comps(m))).select("project", "standard", "safety")
 
 
 @query(f"""SELECT project, concat('C', k) AS controller, concat(CASE WHEN k % 30 + 10 >= 21 THEN 'Studio 5000 Logix Designer' ELSE 'RSLogix 5000' END, ' v', k % 30 + 10, '.01') AS software, concat(k, '.0') AS revision, CAST(7 AS BIGINT) AS product_code
@@ -67,7 +67,7 @@ UNION ALL SELECT project, concat('U', i), concat('B', j), 'BIT', j % 8, concat('
 UNION ALL SELECT project, concat('U', i), 'Far', 'BOOL', 40, NULL FROM ({_P})""")
 def acd_type_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of binary projects, with packed bits in their hidden hosts (S-20, S-21)."""
-    e = graph.kept(acd_info.elements(_members(spark, sf_dir)))
+    e = graph.stored(acd_info.elements(_members(spark, sf_dir)))
     return acd_info.members_of_types(e).select("project", "type_name", "name", "data_type", long(F.coalesce("bit", F.lit(-1))).alias("bit"), "target")
 
 
@@ -76,7 +76,7 @@ UNION ALL SELECT project, concat('P', i), 'Loc', 'DINT', '', false, false, NULL,
 def acd_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of binary projects with the flags of their records (S-20, S-28, J-24)."""
     m = _members(spark, sf_dir)
-    got = acd_model.tags(acd_info.tags(graph.kept(acd_info.elements(m))), acd_model.tag_flags(graph.kept(acd.comps(m))))
+    got = acd_model.tags(acd_info.tags(graph.stored(acd_info.elements(m))), acd_model.tag_flags(graph.stored(acd.comps(m))))
     return got.select("project", "scope", "name", "data_type", F.coalesce(F.array_join(F.col("dims").cast("array<string>"), ","), F.lit("")).alias("dims"), "safety", "constant", "access", "produced", "consumed")
 
 
@@ -88,8 +88,8 @@ _USAGE = "CASE j % 3 WHEN 0 THEN 'Input' WHEN 1 THEN 'Output' ELSE 'InOut' END"
 def acd_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters of user-defined instructions in their stored order, else in that of creation (S-16, S-26, J-14)."""
     m = _members(spark, sf_dir)
-    types = acd_info.members_of_types(acd_info.elements(m))
-    got = acd_model.aoi_members(graph.kept(acd.comps(m)), types, acd_text.ordered_lists(acd_text.unnamed(m))).where("parameter")
+    types = acd_info.members_of_types(graph.stored(acd_info.elements(m)))
+    got = acd_model.aoi_members(graph.stored(acd.comps(m)), types, acd_text.ordered_lists(graph.stored(acd_text.unnamed(m)))).where("parameter")
     text = F.concat("name", F.lit(":"), "usage", F.when(F.col("dims").isNotNull(), F.concat(F.lit("["), F.array_join(F.col("dims").cast("array<string>"), ","), F.lit("]"))).otherwise(""))
     return got.groupBy("project", "aoi", "ordered").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", text.alias("t"))))["t"], ",").alias("params"))
 
@@ -98,7 +98,7 @@ def acd_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM ({_P}) t JOIN (SELECT unnest(range(3)) AS j) ON t.i % 10 = 0 LEFT JOIN ({_P}) p ON p.project = t.project AND p.i = t.i + CASE j WHEN 2 THEN 300 ELSE j END""")
 def acd_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks of binary projects, of either layout, and the programs that they list; an id that no program has stays null (S-27, J-08)."""
-    comps = graph.kept(acd.comps(_members(spark, sf_dir)))
+    comps = graph.stored(acd.comps(_members(spark, sf_dir)))
     tasks = acd_model.tasks(comps)
     listed = acd_model.task_programs(tasks, acd_model.programs(comps))
     return listed.join(tasks, ["project", "task"]).select("project", "task", "type", "rate_ms", "priority", "safety", long(F.col("ord")).alias("ord"), "program")
@@ -107,7 +107,7 @@ def acd_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT project, concat('P', i) AS program, 'Main' AS main_routine, i % 9 = 0 AS disabled, i % 10 = 0 OR EXISTS (SELECT 1 FROM part t WHERE t.p_partkey % 40 = 0 AND i - t.p_partkey IN (0, 1) AND floor(t.p_partkey / 200) = k) AS safety FROM ({_P})""")
 def acd_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs of binary projects; those that a safety task runs are safety programs too (S-25, J-08)."""
-    comps = graph.kept(acd.comps(_members(spark, sf_dir)))
+    comps = graph.stored(acd.comps(_members(spark, sf_dir)))
     tasks, programs = acd_model.tasks(comps), acd_model.programs(comps)
     return acd_model.with_task_safety(programs, tasks, acd_model.task_programs(tasks, programs).where("program IS NOT NULL")).select("project", "program", "main_routine", "disabled", "safety")
 
@@ -125,7 +125,7 @@ SELECT project, concat('M', i) AS module, parent, CASE v WHEN 1 THEN 'Allen-Brad
   coalesce(own, shared, concat({_KIND}, ' (code ', c, ')')) AS catalog, i % 5 = 0 AS inhibited, safety FROM p""")
 def acd_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules of binary projects with their catalog numbers, by address, by identity, by product type (S-22 to S-24, J-10, A-05)."""
-    return acd_model.modules(graph.kept(acd.comps(_members(spark, sf_dir)))).select("project", "module", "parent", "vendor", "revision", "address", "catalog", "inhibited", "safety")
+    return acd_model.modules(graph.stored(acd.comps(_members(spark, sf_dir)))).select("project", "module", "parent", "vendor", "revision", "address", "catalog", "inhibited", "safety")
 
 
 @query(f"""WITH l AS (SELECT i, j FROM ({_P}), (SELECT unnest(range(5)) AS j) WHERE {_SECOND} AND j < z % 6 AND j <> 4),
@@ -149,14 +149,14 @@ def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").selectExpr("floor(p_partkey / 200) AS k", "p_partkey", f"{one} AS program", f"{module} AS module")
     lists = [F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", c)))[c], "").alias(c) for c in ("program", "module")]
     whole = F.concat(F.lit('<RSLogix5000Content TargetType="Controller"><Controller Name="C">'), F.lit("<Modules>"), "module", F.lit("</Modules><Programs>"), "program", F.lit("</Programs></Controller></RSLogix5000Content>"))
-    return p.groupBy("k").agg(*lists).select(F.concat(F.lit("K"), F.col("k").cast("string")).alias("path"), whole.cast("binary").alias("content"))
+    return by_project(p).groupBy("k").agg(*lists).select(F.concat(F.lit("K"), F.col("k").cast("string")).alias("path"), whole.cast("binary").alias("content"))
 
 
 @query("""SELECT concat('K', CAST(floor(p_partkey / 200) AS BIGINT)) AS project, concat('P', p_partkey) AS program, routine, n, CASE WHEN routine = 'Main' THEN concat('XIC(a', p_partkey, ')OTE(b);') WHEN n = 0 THEN concat('  x := ', p_size, ';') ELSE '' END AS txt, CASE WHEN routine = 'Main' THEN p_type END AS comment
   FROM part, (SELECT 'Main' AS routine, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'Seq', 0 UNION ALL SELECT 'Seq', 1)""")
 def xml_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rungs and lines of XML projects (S-29, S-30, P-18, W-01)."""
-    p = Project(graph.kept(l5x.elements_in(_xml(spark, sf_dir))))
+    p = Project(graph.stored(l5x.elements_in(_xml(spark, sf_dir))))
     return p.units.select("project", "program", "routine", "n", "txt", "comment")
 
 
@@ -164,7 +164,7 @@ def xml_units(spark: SparkSession, sf_dir: str) -> DataFrame:
   concat(p_size, '.0') AS revision, CAST(p_size AS VARCHAR) AS address, p_size % 2 = 0 AS inhibited, p_size % 4 = 0 AND p_size % 8 <> 0 AS safety FROM part""")
 def xml_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules of XML projects with address, revision and safety (S-31)."""
-    return l5x.modules(graph.kept(l5x.elements_in(_xml(spark, sf_dir)))).select("project", "module", "parent", "catalog", "vendor", "revision", "address", "inhibited", "safety")
+    return l5x.modules(graph.stored(l5x.elements_in(_xml(spark, sf_dir)))).select("project", "module", "parent", "catalog", "vendor", "revision", "address", "inhibited", "safety")
 
 
 _THERE = "WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS i, CAST(floor(p_partkey / 200) AS BIGINT) AS k, CAST(p_size AS BIGINT) AS z, p_brand AS b FROM part), "
@@ -175,7 +175,7 @@ r(i, k, root, level) AS (SELECT i, k, i, 0 FROM u WHERE up IS NULL OR i % 10 = 1
 SELECT concat('K', r.k) AS project, concat(repeat('  ', level), '- **M', r.i, '** — ', b, ' · rev ', z, '.0 · @ ', z, CASE WHEN z % 4 = 0 AND z % 8 <> 0 THEN ' · **safety**' ELSE '' END, CASE WHEN z % 2 = 0 THEN ' · **inhibited**' ELSE '' END) AS line FROM r JOIN p ON p.i = r.i""")
 def module_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The module tree's page: modules of lost parents are roots, and so is the first of each cycle (K-13, G-06, J-09)."""
-    return pages.modules(Project(graph.kept(l5x.elements_in(_xml(spark, sf_dir))))).select("project", "line")
+    return pages.modules(Project(graph.stored(l5x.elements_in(_xml(spark, sf_dir))))).select("project", "line")
 
 
 @query("""SELECT p_partkey AS part, p_partkey % 300 + CASE WHEN p_partkey < 300 AND (SELECT min(p_partkey) FROM part) = 1 THEN -1 ELSE 0 END AS level, p_partkey AS last FROM part""")

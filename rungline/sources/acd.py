@@ -276,11 +276,13 @@ def routines(comps_: DataFrame) -> DataFrame:
 
 
 def rungs(members: DataFrame, comps_: DataFrame) -> DataFrame:
-    """project, program, aoi, routine, n, txt, comment, unresolved: ladder logic in region order; a region without text is an empty rung."""
+    """project, program, aoi, routine, n, txt, comment, unresolved: ladder logic in region order; a region without text is an empty rung.
+
+    What is parsed from `members` here is as large as the logic, whatever size Spark guesses, so none of it is broadcast."""
     own = routines(comps_).where("type IN ('RLL', 'Unknown')").withColumnRenamed("id", "owner")
-    at = region_map(comps_).join(own, ["project", "owner"]).join(rung_texts(members), ["project", "region"], "left").join(comment_links(members), ["project", "region"], "left")
+    at = region_map(comps_).join(own, ["project", "owner"]).join(rung_texts(members).hint("merge"), ["project", "region"], "left").join(comment_links(members).hint("merge"), ["project", "region"], "left")
     said = comments(members).where("rung_key IS NOT NULL").select("project", "parent_key", "member_key", F.col("rung_key").alias("key"), F.col("text").alias("comment"))
-    at = at.join(said, ["project", "parent_key", "member_key", "key"], "left")
+    at = at.join(said.hint("merge"), ["project", "parent_key", "member_key", "key"], "left")
     n = F.row_number().over(Window.partitionBy("project", "owner").orderBy("ord", "region")) - 1
     rows = at.select("project", "owner", "program", "aoi", "routine", n.cast("long").alias("n"), F.coalesce("txt", F.lit("")).alias("txt"), "comment")
     return resolved(rows, comps_, ["project", "owner", "n"]).drop("owner")

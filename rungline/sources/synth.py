@@ -25,6 +25,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def by_project(parts: DataFrame, key: str = "k", most: int = 16) -> DataFrame:
+    """Rows with the projects in `key`, some `most` projects to a partition and one partition a core at least: a project's rows are few bytes
+    and its files many, so by their size the rows of thousands would go to one task."""
+    projects = parts.select(key).distinct().count()
+    return parts.repartition(max(parts.sparkSession.sparkContext.defaultParallelism, -(-projects // most)), key)
+
+
 def rungs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """program, routine, n, txt and `more` expressions for each row of lineitem."""
     return spread(table(spark, sf_dir, "lineitem")).selectExpr(f"{PROGRAM} AS program", f"{ROUTINE} AS routine", f"CAST({NUMBER} AS BIGINT) AS n", f"{TEXT} AS txt", *more)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import acd
-from .synth import table
+from .synth import by_project, table
 
 PER_PROJECT = 200
 
@@ -155,7 +155,7 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"path": [f"K{k}"], "content": [container(files_of(k, parts))]})
 
     parts = table(spark, sf_dir, "part").select((F.floor(F.col("p_partkey") / PER_PROJECT)).alias("k"), "p_partkey", "p_size")
-    return parts.groupBy("k").applyInPandas(build, "path string, content binary")
+    return by_project(parts).groupBy("k").applyInPandas(build, "path string, content binary")
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
