@@ -29,7 +29,7 @@ def guessed(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["acd_safety_map", "acd_tasks", "acd_ladder", "acd_tags", "acd_text_lines", "module_pages", "acd_parameters"])
+@pytest.mark.parametrize("name", ["acd_safety_map", "acd_tasks", "acd_ladder", "acd_tags", "acd_text_lines", "module_pages", "acd_parameters", "acd_programs"])
 def test_no_guessed_size_is_broadcast(spark, name):
     """What is parsed from a part's project is a thousand times as large as the part's row, so it must not go through the driver as a small table."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
