@@ -4,6 +4,7 @@ import pytest
 
 from rungline import catalog_lookups as catalog
 from rungline.operators import graph
+from rungline.sources import projects, synth_acd
 
 from .conftest import SMALL
 
@@ -37,3 +38,17 @@ def test_no_guessed_size_is_broadcast(spark, name):
         assert not guessed(catalog.QUERIES[name](spark, SMALL))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_no_guessed_size_is_broadcast_to_make_tables(spark, monkeypatch):
+    """The tables that Project.of_members keeps on the way, of one project."""
+    members, made = graph.kept(synth_acd.members(spark, SMALL)), []
+    for name in ("kept", "stored"):
+        was = getattr(graph, name, None)
+        monkeypatch.setattr(graph, name, lambda df, was=was: (made.append(df), was(df))[1], raising=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tables = projects.binary_tables(members)
+        assert len(made) > 10 and not [x for df in [*made, *tables.values()] for x in guessed(df)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
