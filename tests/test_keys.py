@@ -36,3 +36,7 @@ def test_documents_of_large_keys(spark, shifted):
     """A thousand lines for each of these keys are more than 32 bits count."""
     folder = shifted(4_295_000)
     assert same(spark, "acd_documents", folder) and same(spark, "acd_text_lines", folder)
+
+
+def test_types_of_large_keys(spark, shifted):
+    assert same(spark, "acd_type_members", shifted(4_295_000))
